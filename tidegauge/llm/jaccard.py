@@ -129,8 +129,9 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
                 parts.append(rec)
             if parts:
                 flat = np.concatenate(parts)
-                flat = flat[np.argsort(flat["member"] >> U64(44), kind="stable")]
-                which = ((flat["member"] >> U64(44)).astype(np.int64) * buckets) >> 20
+                which = ((mix(flat["member"]) >> U64(44)).astype(np.int64) * buckets) >> 20  # mixed: prefixes prefer small hashes
+                order = np.argsort(which, kind="stable")
+                flat, which = flat[order], which[order]
                 cut = np.flatnonzero(np.diff(which)) + 1
                 pieces = np.split(flat, cut)
                 m = len(pieces)
