@@ -92,9 +92,8 @@ def copied_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         has = F.col("m").bitwiseAND(1 << k) != 0
         at = F.col("seq") + F.col("m").bitwiseAND((1 << k) - 1)
         rank = level.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("seq").alias("at2"), "first", "below")
-        part = windows.where(has).join(rank, F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (at == F.col("at2")))
-        part = part.select("d", "h", "seq", "m", F.xxhash64("name", F.lit(k), "first", "below").alias("name"))
-        windows = windows.where(~has).unionByName(part)
+        found = windows.join(rank, has & F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (at == F.col("at2")), "left").where(~has | F.col("first").isNotNull())
+        windows = found.select("d", "h", "seq", "m", F.when(has, F.xxhash64("name", F.lit(k), "first", "below")).otherwise(F.col("name")).alias("name"))
     windows = windows.where(F.col("m") < (1 << len(levels)))
     windows = common.stored(windows, "named-windows")
     heads = windows.groupBy("m", "name").agg(F.min(F.struct("d", "h", "seq")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("m").alias("m2"), F.col("name").alias("name2"), "e")
