@@ -109,6 +109,7 @@ def dedup(docs: DataFrame, min_words: int = 50, report: bool = False) -> DataFra
     """docs with the text less its copied lines, rows left without a line dropped; report: add lines_deleted, keep all rows."""
     gone = copied_lines(docs, min_words).groupBy("d", "h").agg(F.sort_array(F.collect_list("at")).alias("__gone"))
     gone = common.stored(gone, "deleted-lines").select(F.col("d").alias("__d"), F.col("h").alias("__h"), "__gone")
+    gone = gone.hint("merge")  # the same join at every size; lines to delete have no size bound
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
     kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
