@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
     """A DataFrame of bounded driver-side rows, held in one partition of the JVM (no Python on the executors)."""
     from pyspark.sql.types import _parse_datatype_string
 
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     typed = _parse_datatype_string(schema)
@@ -76,10 +77,36 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, base
     return joined.withColumn(out, F.col("__before") + F.col("__rn") - 1).drop("__chunk", "__rn", "__c", "__before", *[f"__k_{k}" for k in keys])
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one zstd value; numbers by byte planes, which compress better."""
+    parts, head = [], [len(arrays)]
+    for a in arrays:
+        head += [ord(a.dtype.char), len(a)]
+        raw = np.ascontiguousarray(a)
+        parts.append(raw.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+    body = np.array(head, "<i8").tobytes() + b"".join(parts)
+    return np.array([len(body)], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    body = pa.Codec("zstd").decompress(value[8:], int(np.frombuffer(value[:8], "<i8")[0]), asbytes=True)
+    n = int(np.frombuffer(body[:8], "<i8")[0])
+    head = np.frombuffer(body[8 : 8 + 16 * n], "<i8")
+    out, at = [], 8 + 16 * n
+    for i in range(n):
+        kind, length = np.dtype(chr(head[2 * i])), int(head[2 * i + 1])
+        size = kind.itemsize * length
+        planes = np.frombuffer(body[at : at + size], np.uint8).reshape(kind.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
+        at += size
+    return out
+
+
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete the files of a stored() table (part: of one folder of it) that nothing reads any more."""
     path = getattr(df, "stored_at", None)
     if path:
+        path = f"{path}/{part}" if part else path
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -113,56 +113,61 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = counts.value
         noise = float(np.median(have)) + 3 * float(np.sqrt(np.median(have)))
-        types = [docs_type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n_shingles", "class", "bucket", "postings"]
+        names = ["kind", "doc_id", "n_shingles", "class", "bucket", "postings"]
         for ids, sets in _sets(batches, n, "doc_id"):
-            keys = [_class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
-            parts, seen = [], set()
-            for s, key in zip(sets, keys):
-                if key is None or key in seen:
-                    continue
-                seen.add(key)
-                members, level, k = prefix(s, have, noise, percent, most_match)
-                rec = np.empty(len(members), POSTING)
-                rec["member"], rec["cls"], rec["size"], rec["level"], rec["match"] = members, key, len(s), level, k
-                parts.append(rec)
-            if parts:
-                flat = np.concatenate(parts)
-                which = ((mix(flat["member"]) >> U64(44)).astype(np.int64) * buckets) >> 20  # mixed: prefixes prefer small hashes
-                order = np.argsort(which, kind="stable")
-                flat, which = flat[order], which[order]
-                cut = np.flatnonzero(np.diff(which)) + 1
-                pieces = np.split(flat, cut)
-                m = len(pieces)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, types[0]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([int(x) for x in which[np.concatenate([[0], cut])]], pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names)
+            keys, m = [_class_of(s) if len(s) else None for s in sets], len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            first = {k: i for i, k in reversed(list(enumerate(keys))) if k is not None}
+            chosen = [(k, sets[i], *prefix(sets[i], have, noise, percent, most_match)) for k, i in first.items()]
+            if not chosen:
+                continue
+            about = np.array([(k, len(s), best) for k, s, _, _, best in chosen], np.int64)
+            member, level = np.concatenate([x[2] for x in chosen]), np.concatenate([x[3] for x in chosen])
+            own = np.repeat(np.arange(len(chosen)), [len(x[2]) for x in chosen])
+            which = ((mix(member) >> U64(44)).astype(np.int64) * buckets) >> 20  # mixed: prefixes prefer small hashes
+            order = np.argsort(which, kind="stable")
+            cut = np.flatnonzero(np.diff(which[order])) + 1
+            packed = []
+            for at in np.split(order, cut):
+                rows, back = np.unique(own[at], return_inverse=True)
+                cls, size, match = about[rows].T
+                packed.append(common.pack(cls, size.astype(np.int32), match.astype(np.uint8), back.astype(np.uint32), member[at], level[at].astype(np.uint8)))
+            m = len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, docs_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(which[order][np.concatenate([[0], cut])].astype(np.int32)), pa.array(packed, pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    raw = common.stored(docs.select("doc_id", "text").mapInArrow(post, f"doc_id {kind}, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings")
-    rows = raw.where("postings is null").select("doc_id", "n_shingles", "class")
+    raw = common.stored(docs.select("doc_id", "text").mapInArrow(post, f"kind int, doc_id {kind}, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings", "kind")
+    rows = raw.where("kind = 0").select("doc_id", "n_shingles", "class")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings of members that two or more classes have, of all buckets of this task."""
-        held = [np.frombuffer(b, POSTING) for batch in batches for b in batch.column(0).to_pylist()]
-        if not held:
+        got = [common.unpack(b) for batch in batches for b in batch.column(0).to_pylist()]
+        if not got:
             return
-        flat = np.concatenate(held)
-        flat = flat[np.lexsort((flat["cls"], flat["member"]))]
-        new = np.ones(len(flat), bool)
-        new[1:] = (flat["member"][1:] != flat["member"][:-1]) | (flat["cls"][1:] != flat["cls"][:-1])
-        flat = flat[new]
-        start = np.ones(len(flat), bool)
-        start[1:] = flat["member"][1:] != flat["member"][:-1]
+        member = np.concatenate([x[4] for x in got])
+        level = np.concatenate([x[5] for x in got])
+        cls, size, match = (np.concatenate([x[i][x[3]] for x in got]) for i in range(3))
+        del got
+        order = np.lexsort((cls, member))
+        member, cls = member[order], cls[order]
+        new = np.ones(len(member), bool)
+        new[1:] = (member[1:] != member[:-1]) | (cls[1:] != cls[:-1])
+        order, member, cls = order[new], member[new], cls[new]
+        start = np.ones(len(member), bool)
+        start[1:] = member[1:] != member[:-1]
         group = np.cumsum(start) - 1
-        flat = flat[np.bincount(group)[group] > 1]
-        for a in range(0, len(flat), 50_000):
-            x = flat[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x["member"].view(np.int64)), pa.array(x["cls"].astype(np.int64)), pa.array(x["size"].astype(np.int32)), pa.array(x["level"].astype(np.int32)), pa.array(x["match"].astype(np.int32))], ["member", "cls", "size", "level", "match"])
+        twice = np.bincount(group)[group] > 1
+        order, member, cls = order[twice], member[twice], cls[twice]
+        for a in range(0, len(order), 50_000):
+            at = order[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(member[a : a + 50_000].view(np.int64)), pa.array(cls[a : a + 50_000]), pa.array(size[at]), pa.array(level[at].astype(np.int32)), pa.array(match[at].astype(np.int32))], ["member", "cls", "size", "level", "match"])
 
-    lists = raw.where("postings is not null").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, level int, match int")
+    lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, level int, match int")
     lists = common.stored(lists, "jaccard-lists")
+    common.discard(raw, "kind=1")
+    common.free_shuffles(spark)
 
     involved = lists.select("cls").distinct()
     reps = rows.join(involved, F.col("class") == F.col("cls"), "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
@@ -217,9 +222,6 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
     return rows, common.stored(edges.unionByName(more), "jaccard-links")
 
 
-POSTING = np.dtype([("member", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("level", "<i2"), ("match", "<i2")])
-
-
 def join(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) for every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

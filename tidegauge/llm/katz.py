@@ -30,41 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import pack, unpack
 from .words import SPACE, U64, mix, texts
 
 END, BOS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
 
 
-def _codec():
-    return pa.Codec("zstd", compression_level=1)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; integers by byte planes, which compress better."""
-    parts, head = [], [len(arrays)]
-    for a in arrays:
-        head += [ord(a.dtype.char), len(a)]
-        raw = np.ascontiguousarray(a)
-        parts.append(raw.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
-    body = np.array(head, "<i8").tobytes() + b"".join(parts)
-    return np.array([len(body)], "<i8").tobytes() + _codec().compress(body, asbytes=True)
-
-
-def unpack(value: bytes) -> list[np.ndarray]:
-    body = _codec().decompress(value[8:], int(np.frombuffer(value[:8], "<i8")[0]), asbytes=True)
-    n = int(np.frombuffer(body[:8], "<i8")[0])
-    head = np.frombuffer(body[8 : 8 + 16 * n], "<i8")
-    out, at = [], 8 + 16 * n
-    for i in range(n):
-        kind, length = np.dtype(chr(head[2 * i])), int(head[2 * i + 1])
-        size = kind.itemsize * length
-        planes = np.frombuffer(body[at : at + size], np.uint8).reshape(kind.itemsize, length)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
-        at += size
-    return out
-
-
 def discounts(n: list[float], k: int) -> np.ndarray:
     """d(1..k) of Good-Turing with counts of counts n[1..k+1]; half a count is taken where they give none in (0, 1)."""
     out = np.ones(k + 1)
