@@ -103,7 +103,7 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return words[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int = 2, chunk_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int = 2, chunk_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
