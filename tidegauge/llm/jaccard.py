@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .words import SPACE, U64, grams, mix, texts
+from .words import SPACE, Text, U64, grams, mix, texts
 
 SKETCH = 1 << 20
 SLICES = 64
@@ -43,6 +43,18 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, ids: str | None) -> Iterato
         yield chunk.ids, [np.unique(g[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
+def _unsqueezed(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sets of texts packed by squeeze(), one at a time."""
+    codec = pa.Codec("zstd")
+    for z in column:
+        raw = z.as_py()
+        text = codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+        buf, size = np.frombuffer(text, np.uint8), len(text)
+        one = Text(None, buf, np.array([0, size]))
+        starts, ends, first = one.words(SPACE)
+        yield np.unique(grams(one.hashes(starts, ends), first, n)[0])
+
+
 def _class_of(s: np.ndarray) -> int:
     """A signed 64-bit key of a set."""
     with np.errstate(over="ignore"):
@@ -171,30 +183,37 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
 
     involved = lists.select("cls").distinct()
     reps = rows.join(involved, F.col("class") == F.col("cls"), "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    held = docs.select(F.col("doc_id").alias("__id"), F.col("text")).join(reps, F.col("__id").eqNullSafe(F.col("rep"))).select("text")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())], ["__id", "z"])
+
+    held = docs.select("doc_id", "text").mapInArrow(squeeze, f"__id {kind}, z binary")
+    held = held.join(reps.select("rep").hint("merge"), F.col("__id").eqNullSafe(F.col("rep"))).select("z")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n, None):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cls", "members"])
+        for batch in batches:
+            keys = [_class_of(s) if len(s) else None for s in _unsqueezed(batch.column(0), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0)], ["cls", "z"])
 
-    sets = held.mapInArrow(whole, "cls long, members binary").join(involved, "cls", "left_semi")
-    sets = common.stored(sets.dropDuplicates(["cls"]), "jaccard-sets")
+    whole_texts = held.mapInArrow(whole, "cls long, z binary").join(involved, "cls", "left_semi")
+    whole_texts = common.stored(whole_texts.dropDuplicates(["cls"]), "jaccard-texts")
+    common.free_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = batch.column(2), batch.column(3)
                 ok = []
-                for p, q in zip(x, y):
-                    p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                for p, q in zip(_unsqueezed(batch.column(2), n), _unsqueezed(batch.column(3), n)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     ok.append(100 * both >= percent * (len(p) + len(q) - both))
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-        one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
-        two = one.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
+        one = pairs.join(whole_texts.select(F.col("cls").alias("a"), F.col("z").alias("x")), "a")
+        two = one.join(whole_texts.select(F.col("cls").alias("b"), F.col("z").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     def fits(p: str, q: str) -> str:
