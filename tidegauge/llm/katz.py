@@ -110,7 +110,7 @@ def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int
     body = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.xxhash64(F.col(id_col), body).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), body.alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4, parts // 2)
+    parts = max(4, parts * 2 // 3)
 
     # 1. Unigrams.
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +199,10 @@ def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int
         if not got:
             return
         vocab, inverse = np.unique(np.concatenate([x[1][1] for x in got]), return_inverse=True)
-        w = np.repeat(inverse, np.concatenate([x[1][2] for x in got])).astype(np.int64)
+        w = np.repeat(inverse.astype(np.int32), np.concatenate([x[1][2] for x in got]))
         h = np.concatenate([x[1][3][x[1][4]] for x in got])
         trains = np.concatenate([x[1][0][x[1][5]] == 0 for x in got])
+        got = [(chunk, len(x[0]), x[5]) for chunk, x in got]  # chunk, its rows, row of each token
         n = np.bincount(w[trains], minlength=len(vocab))
         words, counts = hot_counts_of.value
         if len(words):
@@ -211,18 +212,20 @@ def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int
             p = np.where(n > 0, (n - given_up(np.maximum(n, 1), d1, beyond)) / max(total, 1), left)
             log_p, log_c, base = np.log10(p), np.where(n > 0, np.log10(np.maximum(n, 1)), 0.0), np.log10(n + 0.5)
         log_c[vocab == END] = 0.0
-        order = np.argsort(mix(h * _C1 + vocab[w] * _C2))
-        pair = mix(h * _C1 + vocab[w] * _C2)[order]
+        pair = mix(h * _C1 + vocab[w] * _C2)
+        order = np.argsort(pair)
+        pair = pair[order]
         at = _runs(pair)
         c = np.add.reduceat(trains[order].astype(np.int64), at)
-        seen = np.empty(len(w), np.int64)
+        seen = np.empty(len(w), np.int32)
         seen[order] = np.repeat(c, np.diff([*at, len(pair)]))
         head = order[at][c > 0]  # one token of each trained pair
         c = c[c > 0]
+        del pair, order, at, trains
         part = np.where(seen > k, np.log10(np.maximum(seen, 1) - beyond), np.where(seen > 0, 0.0, log_p[w])) - log_c[w]
         a = 0
-        for chunk, (held, _, _, _, _, row) in got:
-            b, m = a + len(row), len(held)
+        for chunk, m, row in got:
+            b = a + len(row)
             s = seen[a:b]
             classes = np.bincount((row.astype(np.int64) * k + s - 1)[(s > 0) & (s <= k)], minlength=m * k)
             yield rows(1, pack(np.bincount(row, part[a:b], m), np.bincount(row, base[w[a:b]], m), np.bincount(row, n[w[a:b]] > 0, m).astype(np.uint32), classes.astype(np.uint32)), chunk)
@@ -236,13 +239,14 @@ def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int
         s_sum = np.bincount(back, p[w[head]], len(ctx))
         cls = np.where(c > k, 0, c)
         m = np.bincount(back * (k + 1) + cls, minlength=len(ctx) * (k + 1)).astype(np.uint32)
+        del part, back, cls
         warm = is_hot(ctx)
         if warm.any():
             yield rows(4, pack(ctx[warm], s_sum[warm], m.reshape(-1, k + 1)[warm].ravel()))
         where = _bucket(ctx, parts)
         unseen = np.flatnonzero(seen == 0)
-        which = np.repeat(np.arange(len(got)), [len(x[1][5]) for x in got])[unseen]
-        row = np.concatenate([x[1][5] for x in got])[unseen]
+        which = np.repeat(np.arange(len(got)), [len(x[2]) for x in got])[unseen]
+        row = np.concatenate([x[2] for x in got])[unseen]
         chunks = np.array([x[0] for x in got], np.int64)
         uh = h[unseen]
         to = np.where(is_hot(uh), _bucket(chunks.view(np.uint64)[which] if len(which) else uh, parts), _bucket(uh, parts))
