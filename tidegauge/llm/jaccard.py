@@ -8,8 +8,8 @@ A pair is a candidate once it shares min(kx, ky) members within prefixes of that
 whole sets.
 
 Only distinct sets take part (equal sets are one class), and only members with two or more postings leave the bucket tasks.
-Candidate pairs inside one component already found are never made: first every class is compared with the least class of
-its posting lists (a star per list), components are joined, and then only candidates between different components follow.
+Candidate pairs inside one component already found are never made: in a few rounds every class is compared with a pivot of
+its posting lists and components are joined; then all candidates between different components that are left follow.
 So a group of n near copies costs about n comparisons, and no link between different components is lost.
 
 Sets and classes are told apart by 64-bit hashes (the chance of one false merge among 10^8 sets is about 3 in 10,000).
@@ -43,16 +43,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, ids: str | None) -> Iterato
         yield chunk.ids, [np.unique(g[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
-def _unsqueezed(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sets of texts packed by squeeze(), one at a time."""
-    codec = pa.Codec("zstd")
-    for z in column:
-        raw = z.as_py()
-        text = codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
-        buf, size = np.frombuffer(text, np.uint8), len(text)
-        one = Text(None, buf, np.array([0, size]))
-        starts, ends, first = one.words(SPACE)
-        yield np.unique(grams(one.hashes(starts, ends), first, n)[0])
+def _unsqueezed(z: bytes, n: int) -> np.ndarray:
+    """The set of a text packed by squeeze()."""
+    text = pa.Codec("zstd").decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+    one = Text(None, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    starts, ends, first = one.words(SPACE)
+    return np.unique(grams(one.hashes(starts, ends), first, n)[0])
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -112,7 +108,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int, most_m
     return members, np.maximum(1, np.arange(1, len(members) + 1) - one + 1).astype(np.int32), best
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, most_stars: int = 4) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, class; edges between classes a, b found up to components).
 
     The edges are all needed to join components: pairs of one component that another path already links are left out.
@@ -125,10 +121,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = counts.value
         noise = float(np.median(have)) + 3 * float(np.sqrt(np.median(have)))
-        names = ["kind", "doc_id", "n_shingles", "class", "bucket", "postings"]
-        for ids, sets in _sets(batches, n, "doc_id"):
+        names = ["kind", "doc_id", "h", "n_shingles", "class", "bucket", "postings"]
+        for both, sets in _sets(batches, n, "key"):
+            ids, hashes = both.field(0), both.field(1)
             keys, m = [_class_of(s) if len(s) else None for s in sets], len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids, hashes, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
             first = {k: i for i, k in reversed(list(enumerate(keys))) if k is not None}
             chosen = [(k, sets[i], *prefix(sets[i], have, noise, percent, most_match)) for k, i in first.items()]
             if not chosen:
@@ -145,13 +142,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
                 cls, size, match = about[rows].T
                 packed.append(common.pack(cls, size.astype(np.int32), match.astype(np.uint8), back.astype(np.uint32), member[at], level[at].astype(np.uint8)))
             m = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, docs_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(which[order][np.concatenate([[0], cut])].astype(np.int32)), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, docs_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(which[order][np.concatenate([[0], cut])].astype(np.int32)), pa.array(packed, pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    raw = common.stored(docs.select("doc_id", "text").mapInArrow(post, f"kind int, doc_id {kind}, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings", "kind")
-    rows = raw.where("kind = 0").select("doc_id", "n_shingles", "class")
+    raw = common.stored(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text").mapInArrow(post, f"kind int, doc_id {kind}, h long, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings", "kind")
+    rows = raw.where("kind = 0").select("doc_id", "h", "n_shingles", "class")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings of members that two or more classes have, of all buckets of this task."""
@@ -182,31 +179,35 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
     common.free_shuffles(spark)
 
     involved = lists.select("cls").distinct()
-    reps = rows.join(involved, F.col("class") == F.col("cls"), "left_semi").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = rows.join(involved, F.col("class") == F.col("cls"), "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    reps = reps.select(F.col("class").alias("cls"), F.col("rep.doc_id").alias("r_id"), F.col("rep.h").alias("r_h"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())], ["__id", "z"])
+            raw = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())], ["id", "h", "z"])
 
-    held = docs.select("doc_id", "text").mapInArrow(squeeze, f"__id {kind}, z binary")
-    held = held.join(reps.select("rep").hint("merge"), F.col("__id").eqNullSafe(F.col("rep"))).select("z")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_class_of(s) if len(s) else None for s in _unsqueezed(batch.column(0), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0)], ["cls", "z"])
-
-    whole_texts = held.mapInArrow(whole, "cls long, z binary").join(involved, "cls", "left_semi")
-    whole_texts = common.stored(whole_texts.dropDuplicates(["cls"]), "jaccard-texts")
+    held = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(squeeze, f"id {kind}, h long, z binary")
+    held = held.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("cls", "z")
+    whole_texts = common.stored(held.dropDuplicates(["cls"]), "jaccard-texts")
     common.free_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have: dict[int, np.ndarray] = {}
+
+            def get(cls: int, z: pa.Scalar) -> np.ndarray:
+                if cls not in have:
+                    if len(have) >= 64:
+                        have.clear()
+                    have[cls] = _unsqueezed(z.as_py(), n)
+                return have[cls]
+
             for batch in batches:
                 ok = []
-                for p, q in zip(_unsqueezed(batch.column(2), n), _unsqueezed(batch.column(3), n)):
+                for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    p, q = get(a, x), get(b, y)
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     ok.append(100 * both >= percent * (len(p) + len(q) - both))
                 keep = pa.array(ok, pa.bool_())
@@ -219,26 +220,33 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6) -
     def fits(p: str, q: str) -> str:
         return f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})"
 
-    # Stars: each class with the least class of each of its lists, the one with which it shares most members first.
-    least = lists.groupBy("member").agg(F.min(F.struct("cls", "size", "level", "match")).alias("p"))
-    star = lists.join(least, "member").where("cls <> p.cls").where(fits("size", "p.size"))
-    star = star.where("level <= least(match, p.match) and p.level <= least(match, p.match)")
-    star = star.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("match", "p.match")).alias("k")).where("n >= k")
-    best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b")).select(F.col("cls").alias("a"), "b")
-    edges = common.stored(verified(best), "jaccard-edges")
-    roots = common.stored(components(edges), "jaccard-roots")
+    # Stars: each class with one pivot, that of its lists with which it shares most members; a list's pivot changes with
+    # the round, and only classes of another component than the pivot's are compared.
+    edges, marked = None, lists.withColumn("root", F.col("cls"))
+    for turn in range(most_stars):
+        pivots = marked.groupBy("member").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "size", "level", "match", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        star = marked.join(pivots, "member").where("root <> p.root").where(fits("size", "p.size"))
+        star = star.where("level <= least(match, p.match) and p.level <= least(match, p.match)")
+        star = star.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("match", "p.match")).alias("k")).where("n >= k")
+        best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b")).select(F.col("cls").alias("a"), "b")
+        fresh = common.stored(verified(best), "jaccard-edges")
+        if fresh.isEmpty():
+            break
+        edges = fresh if edges is None else edges.unionByName(fresh)
+        roots = common.stored(components(edges), "jaccard-roots")
+        marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "level", "match", F.coalesce("root", "cls").alias("root"))
+        marked = common.stored(marked, "jaccard-marked")
+        common.free_shuffles(spark)
 
     # All other candidates, between components only. A list within one component has none.
-    marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "level", "match", F.coalesce("root", "cls").alias("root"))
-    marked = common.stored(marked, "jaccard-marked")
     mixed = marked.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("member")
-    left = marked.join(mixed, "member", "left_semi")
+    left = common.stored(marked.join(mixed, "member", "left_semi"), "jaccard-mixed")
     other = left.select("member", *[F.col(c).alias(f"o_{c}") for c in ("cls", "size", "level", "match", "root")])
     pairs = left.join(other, "member").where("cls < o_cls and root <> o_root").where(fits("size", "o_size"))
     pairs = pairs.where("level <= least(match, o_match) and o_level <= least(match, o_match)")
     pairs = pairs.groupBy(F.col("cls").alias("a"), F.col("o_cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("match", "o_match")).alias("k")).where("n >= k").select("a", "b")
-    more = verified(common.stored(pairs, "jaccard-pairs"))
-    return rows, common.stored(edges.unionByName(more), "jaccard-links")
+    more = common.stored(verified(common.stored(pairs, "jaccard-pairs")), "jaccard-links")
+    return rows, more if edges is None else edges.unionByName(more)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
