@@ -4,8 +4,8 @@ A document's set holds 64-bit hashes of its distinct word n-grams, in one global
 fixed size, then by hash. Two sets of Jaccard similarity s or more share at least k of the first |x| - ceil(s|x|) + k
 members of each, for every k. Each document picks the k (1 to `most_match`) of least estimated cost: members scanned plus
 candidates to verify, where at most the sum of all but the k-1 largest posting lists of the prefix can share k members.
-A pair is a candidate once it shares min(kx, ky) members within prefixes of that many matches; it is then verified on the
-whole sets.
+A pair is a candidate once it shares min(kx, ky) members within prefixes of that many matches and the positions of these
+leave room for the overlap that the sizes call for; it is then verified on the whole sets.
 
 Only distinct sets take part (equal sets are one class), and only members with two or more postings leave the bucket tasks.
 Candidate pairs inside one component already found are never made: in a few rounds every class is compared with a pivot of
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -90,7 +90,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int, most_match: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(members, level of each, k): the adaptive prefix of a set; a member of level j belongs to prefixes of j or more matches."""
+    """(members, position of each from 1, k): the adaptive prefix of a set in the global order."""
     df = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
     order = np.lexsort((s, df))
     size = len(s)
@@ -105,10 +105,10 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int, most_m
         if best_cost is None or cost < best_cost:
             best, best_cost = k, cost
     members = s[order[: one + best - 1]]
-    return members, np.maximum(1, np.arange(1, len(members) + 1) - one + 1).astype(np.int32), best
+    return members, np.arange(1, len(members) + 1), best
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, most_stars: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, most_stars: int = 3) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, class; edges between classes a, b found up to components).
 
     The edges are all needed to join components: pairs of one component that another path already links are left out.
@@ -131,7 +131,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
             if not chosen:
                 continue
             about = np.array([(k, len(s), best) for k, s, _, _, best in chosen], np.int64)
-            member, level = np.concatenate([x[2] for x in chosen]), np.concatenate([x[3] for x in chosen])
+            member, pos = np.concatenate([x[2] for x in chosen]), np.concatenate([x[3] for x in chosen])
             own = np.repeat(np.arange(len(chosen)), [len(x[2]) for x in chosen])
             which = ((mix(member) >> U64(44)).astype(np.int64) * buckets) >> 20  # mixed: prefixes prefer small hashes
             order = np.argsort(which, kind="stable")
@@ -140,7 +140,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
             for at in np.split(order, cut):
                 rows, back = np.unique(own[at], return_inverse=True)
                 cls, size, match = about[rows].T
-                packed.append(common.pack(cls, size.astype(np.int32), match.astype(np.uint8), back.astype(np.uint32), member[at], level[at].astype(np.uint8)))
+                packed.append(common.pack(cls, size.astype(np.int32), match.astype(np.uint8), back.astype(np.uint32), member[at], pos[at].astype(np.uint32)))
             m = len(packed)
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, docs_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(which[order][np.concatenate([[0], cut])].astype(np.int32)), pa.array(packed, pa.binary())], names)
 
@@ -156,7 +156,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         if not got:
             return
         member = np.concatenate([x[4] for x in got])
-        level = np.concatenate([x[5] for x in got])
+        pos = np.concatenate([x[5] for x in got])
         cls, size, match = (np.concatenate([x[i][x[3]] for x in got]) for i in range(3))
         del got
         order = np.lexsort((cls, member))
@@ -171,11 +171,14 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         order, member, cls = order[twice], member[twice], cls[twice]
         for a in range(0, len(order), 50_000):
             at = order[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(member[a : a + 50_000].view(np.int64)), pa.array(cls[a : a + 50_000]), pa.array(size[at]), pa.array(level[at].astype(np.int32)), pa.array(match[at].astype(np.int32))], ["member", "cls", "size", "level", "match"])
+            yield pa.RecordBatch.from_arrays([pa.array(member[a : a + 50_000].view(np.int64)), pa.array(cls[a : a + 50_000]), pa.array(size[at]), pa.array(pos[at].astype(np.int32)), pa.array(match[at].astype(np.int32))], ["member", "cls", "size", "pos", "match"])
 
-    lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, level int, match int")
+    lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, pos int, match int")
     lists = common.stored(lists, "jaccard-lists")
     common.discard(raw, "kind=1")
+    # Of a class's members only those with other postings can be common: `nth` of them have come at a position.
+    own = Window.partitionBy("cls")
+    lists = common.stored(lists.withColumns({"nth": F.row_number().over(own.orderBy("pos")), "degree": F.count(F.lit(1)).over(own)}), "jaccard-ranked")
     common.free_shuffles(spark)
 
     involved = lists.select("cls").distinct()
@@ -217,35 +220,44 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         two = one.join(whole_texts.select(F.col("cls").alias("b"), F.col("z").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    def fits(p: str, q: str) -> str:
-        return f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})"
+    # A common member at positions i, j of two sets leaves room for min(nth) common ones up to there and the rests beyond.
+    fits = f"100 * least(size, o_size) >= {percent} * greatest(size, o_size)"
+    need = f"(({percent} * (size + o_size) + {99 + percent}) div {100 + percent})"
+    level = lambda o: f"greatest(1, {o}pos - {o}size + ({percent} * {o}size + 99) div 100) <= least(match, o_match)"
+    room = f"least(nth, o_nth) + least(size - pos, o_size - o_pos) >= {need}"
 
-    # Stars: each class with one pivot, that of its lists with which it shares most members; a list's pivot changes with
-    # the round, and only classes of another component than the pivot's are compared.
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """(a, b, n) of the rows cls, o_cls of common members that pass every filter."""
+        pairs = pairs.where(f"{fits} and {level('')} and {level('o_')} and {room}")
+        sums = pairs.groupBy("cls", "o_cls").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"), F.max("o_pos").alias("o_pos"), *[F.first(c).alias(c) for c in ("size", "o_size", "match", "o_match")])
+        return sums.where(f"n >= least(match, o_match) and n + least(size - pos, o_size - o_pos) >= {need}").select(F.col("cls").alias("a"), F.col("o_cls").alias("b"), "n")
+
+    # Stars: each class with one pivot, that of its lists with which it shares most members; a list's pivot is first the class
+    # with most shared members and then changes with the round. Only classes of another component than the pivot's are compared.
     edges, marked = None, lists.withColumn("root", F.col("cls"))
+    sides = ("cls", "size", "pos", "match", "nth", "root")
     for turn in range(most_stars):
-        pivots = marked.groupBy("member").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "size", "level", "match", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        star = marked.join(pivots, "member").where("root <> p.root").where(fits("size", "p.size"))
-        star = star.where("level <= least(match, p.match) and p.level <= least(match, p.match)")
-        star = star.groupBy("cls", F.col("p.cls").alias("pivot")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("match", "p.match")).alias("k")).where("n >= k")
-        best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b")).select(F.col("cls").alias("a"), "b")
+        by = F.xxhash64("cls", F.lit(turn)) if turn else -F.col("degree")
+        pivots = marked.groupBy("member").agg(F.min(F.struct(by.alias("o"), *sides)).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        pivots = pivots.select("member", *[F.col(f"p.{c}").alias(f"o_{c}") for c in sides])
+        star = candidates(marked.join(pivots, "member").where("root <> o_root"))
+        best = star.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
         fresh = common.stored(verified(best), "jaccard-edges")
         if fresh.isEmpty():
             break
         edges = fresh if edges is None else edges.unionByName(fresh)
         roots = common.stored(components(edges), "jaccard-roots")
-        marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "level", "match", F.coalesce("root", "cls").alias("root"))
+        marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "pos", "match", "nth", "degree", F.coalesce("root", "cls").alias("root"))
         marked = common.stored(marked, "jaccard-marked")
         common.free_shuffles(spark)
 
     # All other candidates, between components only. A list within one component has none.
     mixed = marked.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("member")
     left = common.stored(marked.join(mixed, "member", "left_semi"), "jaccard-mixed")
-    other = left.select("member", *[F.col(c).alias(f"o_{c}") for c in ("cls", "size", "level", "match", "root")])
-    pairs = left.join(other, "member").where("cls < o_cls and root <> o_root").where(fits("size", "o_size"))
-    pairs = pairs.where("level <= least(match, o_match) and o_level <= least(match, o_match)")
-    pairs = pairs.groupBy(F.col("cls").alias("a"), F.col("o_cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("match", "o_match")).alias("k")).where("n >= k").select("a", "b")
-    more = common.stored(verified(common.stored(pairs, "jaccard-pairs")), "jaccard-links")
+    other = left.select("member", *[F.col(c).alias(f"o_{c}") for c in sides])
+    both = left.join(other, (left["member"] == other["member"]) & F.expr(f"cls < o_cls and root <> o_root and {fits} and {level('')} and {level('o_')} and {room}"))
+    pairs = common.stored(candidates(both).select("a", "b"), "jaccard-pairs")
+    more = common.stored(verified(pairs), "jaccard-links")
     return rows, more if edges is None else edges.unionByName(more)
 
 
