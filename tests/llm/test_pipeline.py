@@ -4,7 +4,7 @@ import corpus_pipeline
 from test_operators import brute_components, brute_lines
 from tidegauge.llm import decontam
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"  # enough labels for the quality stage
 
 
 def test_stages(spark, tmp_path):

@@ -86,7 +86,7 @@ class Model:
         self.mean, self.std = mean, std
         self.w = rng.normal(0, 1 / width, (STATS, features))
         self.b = rng.uniform(0, 2 * np.pi, features)
-        self.beta, self.edges, self.values = np.zeros(features + 1), np.array([-1.0, 2.0]), np.array([0.5])
+        self.beta, self.edges, self.values = np.zeros(features + 1), np.array([-1.0, 2.0]), np.array([0.5, 0.5])
 
     def map(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.std, -6, 6)
