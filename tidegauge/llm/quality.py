@@ -123,7 +123,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
     n = labels.count()
     if n > most_rows:
         labels = labels.where(F.col("h").cast("double") < -(2.0**63) + 2.0**64 * most_rows / n)
-    data = stats.join(labels, "doc_id").select("stats", "label", F.pmod("h", F.lit(5)).cast("int").alias("fold")).repartition(8, F.xxhash64("stats"))
+    data = stats.join(labels, "doc_id").select("stats", "label", F.pmod("h", F.lit(5)).cast("int").alias("fold"), "h").repartition(8, "h").drop("h")
     data = common.stored(data, "quality-train")
 
     def moments(batches):
