@@ -101,3 +101,38 @@ def parse_community(text: Column) -> Column:
     parts = F.split(text, ":", -1)
     a, b = F.element_at(parts, 1).try_cast("int"), F.try_element_at(parts, F.lit(2)).try_cast("int")
     return F.when(text.rlike("^[0-9]{1,5}:[0-9]{1,5}$") & (a <= 65535) & (b <= 65535), F.struct(a.alias("asn"), b.alias("number")))
+
+
+#: Names of the IP protocols 0 to 143. Those up to 252 are unassigned, 253 and 254 unknown, 255 is reserved.
+PROTOCOL_NAMES = """
+HOPOPT ICMP IGMP GGP IPV4 ST TCP CBT EGP IGP BBN_RCC_MON NVP_II PUP ARGUS_DEPRECATED EMCON XNET CHAOS UDP MUX DCN_MEAS
+HMP PRM XNS_IDP TRUNK_1 TRUNK_2 LEAF_1 LEAF_2 RDP IRTP ISO_TP4 NETBLT MFE_NSP MERIT_INP DCCP THREEPC IDPR XTP DDP IDPR_CMTP TPPPPP
+IL IPV6 SDRP IPV6_ROUTE IPV6_FRAG IDRP RSVP GRE DSR BNA ESP AH I_NLSP SWIPE_DEPRECATED NARP MOBILE TLSP SKIP IPV6_ICMP IPV6_NONXT
+IPV6_OPTS UNKNOWN_61 CFTP UNKNOWN_63 SAT_EXPAK KRYPTOLAN RVD IPPC UNKNOWN_68 SAT_MON VISA IPCV CPNX CPHB WSN PVP BR_SAT_MON SUN_ND WB_MON WB_EXPAK
+ISO_IP VMTP SECURE_VMTP VINES IPTM_OR_TTP NSFNET_IGP DGP TCF EIGRP OSPFIGP SPRITE_RPC LARP MTP AX_25 IPIP MICP_DEPRECATED SCC_SP ETHERIP ENCAP UNKNOWN_99
+GMTP IFMP PNNI PIM ARIS SCPS QNX A_N IPCOMP SNP COMPAQ_PEER IPX_IN_IP VRRP PGM UNKNOWN_114 L2TP DDX IATP STP SRP
+UTI SMP SM_DEPRECATED PTP ISISOVERIPV4 FIRE CRTP CRUDP SSCOPMCE IPLT SPS PIPE SCTP FC RSVP_E2E_IGNORE MOBILITYHEADER UDPLITE MPLS_IN_IP MANET HIP
+SHIM6 WESP ROHC ETHERNET
+""".split()
+
+
+def protocol_name(number: Column) -> Column:
+    """Registered name of a protocol number from 0 to 255, else null."""
+    named = F.try_element_at(F.split(F.lit(" ".join(PROTOCOL_NAMES)), " "), number.cast("int") + 1)
+    rest = F.when(number == 255, F.lit("RESERVED")).when(number >= 253, F.concat(F.lit("UNKNOWN_"), number.cast("string"))).otherwise(F.concat(F.lit("UNASSIGNED_"), number.cast("string")))
+    return F.when((number >= 0) & (number <= 255), F.when(number < len(PROTOCOL_NAMES), named).otherwise(rest))
+
+
+def hex_number(text: Column) -> Column:
+    """Up to 15 hex digits, with or without 0x, as a number; else null."""
+    digits = F.regexp_replace(F.lower(text), "^0x", "")
+    return F.when(digits.rlike("^[0-9a-f]{1,15}$"), F.conv(digits, 16, 10).cast("long"))
+
+
+def time_text(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def compact_time(at: Column) -> Column:
+    """As used in names of files and keys."""
+    return F.date_format(at, "dd_MM_yy_HH:mm:ss")

@@ -39,6 +39,12 @@ def by_subnet(df: DataFrame, keys: tuple[str, ...] = (), v6: bool = False) -> Da
     return rows.groupBy(*keys, "subnet_net", "subnet_len").agg(*sums(("total",) if v6 else PROTOS, v6))
 
 
+def by_rule(df: DataFrame, rules: dict[str, Column], keys: tuple[str, ...] = ("host",)) -> DataFrame:
+    """Sums of both directions for each named rule; a row counts towards every rule that it matches."""
+    sums = [F.sum(F.when(on & (F.col("direction") == n), F.col(u)).otherwise(0)).alias(f"{name}_{d}_{u}") for name, on in rules.items() for d, n in (("in", "incoming"), ("out", "outgoing")) for u in ("bytes", "packets")]
+    return df.where("host is not null").groupBy(*keys).agg(*sums)
+
+
 def by_direction(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys, "direction").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 

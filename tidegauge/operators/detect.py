@@ -85,3 +85,8 @@ def ban_timeline(attacked: DataFrame, tick_seconds: int, ban_seconds: int) -> Da
         return F.when((F.size(acc) > 0) & (x <= last["b"]), kept).otherwise(fresh)
 
     return ticks.select("host", F.inline(F.aggregate("t", empty, merge))).select("host", F.col("a").alias("banned_tick"), F.col("b").alias("unbanned_tick"))
+
+
+def active_bans(bans: DataFrame, tick: int) -> DataFrame:
+    """The bans of a timeline that hold at a tick."""
+    return bans.where((F.col("banned_tick") <= tick) & (F.col("unbanned_tick") > tick))

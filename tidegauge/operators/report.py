@@ -66,3 +66,25 @@ def graphite(prefix: str, path: Column, name: str, value: Column, at: Column) ->
 def prometheus(totals: DataFrame) -> DataFrame:
     value = lambda n, c: F.concat(F.lit(f"tidegauge_total_{n}{{direction=\""), F.col("direction"), F.lit('"} '), c.cast("string"))
     return totals.select(F.explode(F.array(value("packets", F.col("packets")), value("bits", F.col("bytes") * 8))).alias("line"))
+
+
+def attack_fields() -> list[tuple[str, str, str]]:
+    """(label, column, unit) of the speeds in an attack's text, in their order."""
+    out = [(f"Total {n} traffic", f"total_{d}_bytes", "mbps") for d, n in (("in", "incoming"), ("out", "outgoing"))]
+    out += [(f"Total {n} pps", f"total_{d}_packets", "packets per second") for d, n in (("in", "incoming"), ("out", "outgoing"))]
+    out += [(f"Total {n} flows", f"{d}_flows", "flows per second") for d, n in (("in", "incoming"), ("out", "outgoing"))]
+    for proto, label in (("fragmented", "ip fragmented"), ("dropped", "dropped"), ("tcp", "tcp"), ("tcp_syn", "syn tcp"), ("udp", "udp"), ("icmp", "icmp")):
+        for word, unit, column in (("traffic", "mbps", "bytes"), ("pps", "packets per second", "packets")):
+            out += [(f"{n} {label} {word}", f"{proto}_{d}_{column}", unit) for d, n in (("in", "Incoming"), ("out", "Outgoing"))]
+    return out
+
+
+def attack_text(have: list[str]) -> Column:
+    """The description of a classified attack, one fact a line; speeds whose columns are not in `have` are left out."""
+    lines = [F.concat(F.lit("Attack type: "), "attack_type"), F.concat(F.lit("Initial attack power: "), F.col("attack_power").cast("string"), F.lit(" packets per second"))]
+    lines += [F.concat(F.lit("Attack direction: "), "attack_direction"), F.concat(F.lit("Attack protocol: "), "attack_protocol")]
+    for label, column, unit in attack_fields():
+        if column in have:
+            value = net.mbps(F.col(column)) if unit == "mbps" else F.col(column)
+            lines.append(F.concat(F.lit(f"{label}: "), value.cast("string"), F.lit(f" {unit}")))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))

@@ -43,6 +43,7 @@ def conditional(proto: str) -> str:
     return {"total": "true", "tcp": "protocol = 6", "udp": "protocol = 17", "icmp": "protocol = 1", "fragmented": "ip_fragmented", "tcp_syn": "protocol = 6 AND flags & 2 <> 0", "dropped": "forwarding_status = 'dropped'"}[proto]
 
 
+_IP = lambda c: f"concat_ws('.', {c} >> 24, ({c} >> 16) & 255, ({c} >> 8) & 255, {c} & 255)"
 SUMS = ", ".join(f"CAST(sum(CASE WHEN {conditional(p)} AND direction = '{n}' THEN {u} ELSE 0 END) AS BIGINT) AS {p}_{d}_{u}" for p in PROTOS for d, n in (("in", "incoming"), ("out", "outgoing")) for u in ("bytes", "packets"))
 BASE = f"""WITH flows AS ({fx.FLOWS}), nets AS {values(fx.NETWORKS, "net, len")}, lpm AS (SELECT *, {best("src_ip")} AS sl, {best("dst_ip")} AS dl FROM flows),
 e0 AS (SELECT *, CASE WHEN sl IS NOT NULL AND dl IS NOT NULL THEN 'internal' WHEN sl IS NOT NULL THEN 'outgoing' WHEN dl IS NOT NULL THEN 'incoming' ELSE 'other' END AS direction FROM lpm),
@@ -276,6 +277,20 @@ def attack_type(spark, sf_dir):
     return detect.classified(detections(spark, sf_dir)).select("host", "attack_type")
 
 
+_KIND = f"CASE WHEN x_total = 0 THEN 'unknown' WHEN {_SHARE('tcp_syn')} THEN 'syn_flood' WHEN {_SHARE('icmp')} THEN 'icmp_flood' WHEN {_SHARE('fragmented')} THEN 'ip_fragmentation' WHEN {_SHARE('udp')} THEN 'udp_flood' ELSE 'unknown' END"
+_MBPS = lambda c: f"CAST(trunc({c} / 1000.0::DOUBLE / 1000.0::DOUBLE * 8) AS BIGINT)"
+_FACTS = " || ".join(f"'{label}: ' || {_MBPS(c) if unit == 'mbps' else c} || ' {unit}' || chr(10)" for label, c, unit in report.attack_fields() if c in [*EMA_COLUMNS, "in_flows", "out_flows"])
+
+
+@query(
+    BASE + TICKS + HOSTS + SETTINGS + DETECTED + CLASSIFIED + f""" SELECT host, 'Attack type: ' || {_KIND} || chr(10) || 'Initial attack power: ' || x_total || ' packets per second' || chr(10) || 'Attack direction: ' || attack_direction || chr(10) ||
+'Attack protocol: ' || CASE WHEN x_tcp >= x_udp AND x_tcp >= x_icmp THEN 'tcp' WHEN x_udp >= x_icmp THEN 'udp' ELSE 'icmp' END || chr(10) || {_FACTS} AS text FROM c1"""
+)
+def attack_text(spark, sf_dir):
+    found = detect.classified(detections(spark, sf_dir))
+    return found.select("host", report.attack_text(found.columns).alias("text"))
+
+
 # Samples and bans over instant speeds above 30 packets per second.
 ATTACKED = f", hit AS (SELECT host, tick FROM ticks WHERE trunc(total_in_packets / {float(fx.TICK)}) > 30 OR trunc(total_out_packets / {float(fx.TICK)}) > 30)"
 
@@ -304,6 +319,11 @@ def ban_timeline(spark, sf_dir):
     return detect.ban_timeline(attacked(spark, sf_dir), fx.TICK, fx.BAN)
 
 
+@query(f"SELECT host, {_IP('host')} || '/32' AS prefix, banned_tick FROM ({SQL['ban_timeline']}), (SELECT max(CAST(floor(epoch(ts) / {fx.TICK}) AS BIGINT)) AS hi FROM events) WHERE banned_tick <= hi AND unbanned_tick > hi")
+def banlist(spark, sf_dir):
+    return detect.active_bans(ban_timeline(spark, sf_dir), last_tick(spark, sf_dir)).select("host", net.cidr_text(F.col("host"), F.lit(32)).alias("prefix"), "banned_tick")
+
+
 def _top(order: str, direction: str):
     column = report.metric(order, direction)
 
@@ -324,7 +344,6 @@ for _order in ("packets", "bytes", "flows", "tcp_packets", "udp_bytes", "icmp_pa
     for _direction in ("incoming", "outgoing"):
         _top(_order, _direction)
 
-_IP = lambda c: f"concat_ws('.', {c} >> 24, ({c} >> 16) & 255, ({c} >> 8) & 255, {c} & 255)"
 
 
 @query(BASE + f"SELECT {_IP('subnet_net')} || '/' || subnet_len AS network, total_in_packets, total_in_bytes, total_out_packets, total_out_bytes FROM (SELECT subnet_net, subnet_len, {SUMS} FROM e WHERE subnet_len IS NOT NULL GROUP BY 1, 2)")
@@ -467,6 +486,35 @@ def fn_row_json(spark, sf_dir):
     return fx.flows(spark, sf_dir).select("event_id", report.row_json().alias("json"))
 
 
+@query(BASE + ", r AS (SELECT host, direction, bytes, packets, destination_port = 53 AS dns, ip_fragmented AS parts FROM e WHERE host IS NOT NULL) SELECT host, " + ", ".join(f"CAST(sum(CASE WHEN {r} AND direction = '{n}' THEN {u} ELSE 0 END) AS BIGINT) AS {r}_{d}_{u}" for r in ("dns", "parts") for d, n in (("in", "incoming"), ("out", "outgoing")) for u in ("bytes", "packets")) + " FROM r GROUP BY host")
+def flexible_counters(spark, sf_dir):
+    return counters.by_rule(enriched(spark, sf_dir), {"dns": F.col("destination_port") == 53, "parts": F.col("ip_fragmented")})
+
+
+@query(f"SELECT CAST(n AS INT) AS number, CASE WHEN n < {len(net.PROTOCOL_NAMES)} THEN {net.PROTOCOL_NAMES!r}[n + 1] WHEN n = 255 THEN 'RESERVED' WHEN n >= 253 THEN 'UNKNOWN_' || n WHEN n <= 252 THEN 'UNASSIGNED_' || n END AS name FROM (SELECT unnest(range(0, 256)) AS n)")
+def fn_protocol_name(spark, sf_dir):
+    d = spark.range(256).select(F.col("id").cast("int").alias("number"))
+    return d.select("number", net.protocol_name(F.col("number")).alias("name"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS text, strftime(ts, '%d_%m_%y_%H:%M:%S') AS compact FROM events")
+def fn_time_text(spark, sf_dir):
+    at = F.col("arrival_time")
+    return fx.flows(spark, sf_dir).select("event_id", net.time_text(at).alias("text"), net.compact_time(at).alias("compact"))
+
+
+@query("SELECT printf('%x', src_ip) AS hex, src_ip AS number FROM (SELECT DISTINCT src_ip FROM (" + fx.FLOWS + "))")
+def fn_hex_number(spark, sf_dir):
+    h = F.lower(F.hex("src_ip"))
+    return fx.flows(spark, sf_dir).select("src_ip").distinct().select(h.alias("hex"), net.hex_number(h).alias("number"))
+
+
+@query("SELECT * FROM (VALUES ('65001:666', 65001, 666), ('0:0', 0, 0), ('65536:1', NULL, NULL), ('1', NULL, NULL), ('a:b', NULL, NULL)) t(text, asn, number)")
+def fn_community(spark, sf_dir):
+    d = spark.sql("SELECT explode(array('65001:666', '0:0', '65536:1', '1', 'a:b')) AS text").withColumn("c", net.parse_community(F.col("text")))
+    return d.select("text", "c.asn", "c.number")
+
+
 # Histograms and system counters.
 def _buckets(kind: str) -> str:
     names = counters._V5 if kind == "v5" else [(0, "0"), *counters._V9]

@@ -45,3 +45,14 @@ def attack_json(attacks: DataFrame) -> DataFrame:
 
 def key_values(attacks: DataFrame, prefix: str = "tidegauge") -> DataFrame:
     return attack_json(attacks).select(F.concat_ws("_", F.lit(prefix), net.ip_text(F.col("host")), F.lit("information")).alias("key"), "value")
+
+
+def attack_files(attacks: DataFrame, at) -> DataFrame:
+    """name, value: the text of each classified attack, under the name of its host and time."""
+    name = F.concat(net.ip_text(F.col("host")), F.lit("_"), net.compact_time(at), F.lit(".txt"))
+    return attacks.select(name.alias("name"), report.attack_text(attacks.columns).alias("value"))
+
+
+def write_attacks(attacks: DataFrame, at, path: str) -> None:
+    """Each attack's text in a folder of its own name."""
+    attack_files(attacks, at).write.mode("append").partitionBy("name").text(path)

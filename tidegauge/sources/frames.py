@@ -94,6 +94,15 @@ def pcap(data: bytes) -> Iterator[tuple[float, bytes]]:
         at += 16 + size
 
 
+def pcap_bytes(packets: list[tuple[float, bytes]], snap: int = 65535) -> bytes:
+    """A classic pcap file of Ethernet frames (time, frame), each cut to `snap` bytes."""
+    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snap, 1)]
+    for at, frame in packets:
+        micros = round(at * 1_000_000)
+        out.append(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, min(len(frame), snap), len(frame)) + frame[:snap])
+    return b"".join(out)
+
+
 def frames_to_flows(frames: DataFrame, ratio: int = 1) -> DataFrame:
     """frames: arrival_time, frame. Flow columns and the parser's status, one row per frame."""
 
