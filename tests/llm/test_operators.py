@@ -103,13 +103,16 @@ def test_jaccard_empty(docs):
     assert jaccard.join(docs([]).where("false")).collect() == []
 
 
+BLANKS = " \t\r\x0b\x0c"
+
+
 def brute_lines(rows, least=50):
     seqs = []
     for d, t in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is not None, r[0])):
-        seqs.append((d, [(i, s.strip(" ")) for i, s in enumerate(t.split("\n")) if s.strip(" ")]))
+        seqs.append((d, [(i, s.strip(BLANKS)) for i, s in enumerate(t.split("\n")) if s.strip(BLANKS)]))
     windows, first = [], {}
     for k, (_, ls) in enumerate(seqs):
-        count = [s.count(" ") + 1 for _, s in ls]
+        count = [len(re.findall(r"[^\x20\x09-\x0D]+", s)) for _, s in ls]
         found = set()
         for a in range(len(ls)):
             for step in (1, -1):
@@ -146,6 +149,25 @@ def test_line_dedup(docs, corpus):
     assert line_dedup.dedup(docs([]).where("false")).collect() == []
 
 
+def test_line_dedup_of_blanks(docs):
+    """Tabs part words, runs of blanks are no words, and line ends of both kinds make equal lines."""
+    tabs, wide = "\t".join(f"t{i}" for i in range(60)), "a" + " " * 80 + "b"
+    rows = [(1, f"{tabs}\r\nfirst\r\n\t\r"), (2, f"second\n{tabs}\n"), (3, f"third\n{wide}"), (4, f"fourth\n{wide}"), (5, f"\t\r\n{tabs}")]
+    got = {r["doc_id"]: (r["lines_deleted"], r["text"]) for r in line_dedup.dedup(docs(rows), report=True).collect()}
+    assert {d: n for d, (n, _) in got.items() if n} == brute_lines(rows) == {2: 1, 5: 1}
+    assert got[2][1] == "second\n" and got[1][1] == rows[0][1] and got[4][1] == rows[3][1]
+    assert 5 not in {r["doc_id"] for r in line_dedup.dedup(docs(rows)).collect()}
+
+
+def test_line_dedup_of_a_long_text(docs):
+    """A text of very many lines, half of them copies, takes time in proportion to its lines."""
+    block = "\n".join(" ".join(f"b{i}w{j}" for j in range(12)) for i in range(2000))
+    own = "\n".join(f"own {i}" for i in range(2000))
+    rows = [(1, block), (2, "\n".join([own, block] * 2))]
+    got = {r["doc_id"]: r["lines_deleted"] for r in line_dedup.dedup(docs(rows), report=True).collect()}
+    assert got == {1: 0, 2: 6000}
+
+
 def test_best_fit_decreasing():
     rng = random.Random(5)
     for _ in range(30):

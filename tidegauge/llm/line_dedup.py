@@ -1,6 +1,6 @@
 """Line deduplication by a suffix array over line ids, built by distributed prefix doubling. DataFrame functions only.
 
-The lines of all texts (blank ones aside) are one long sequence of line ids with a border after each text. Suffixes that
+The lines of all texts (blank ones aside, blanks at their ends cut) are one long sequence of line ids with a border after each text. Suffixes that
 share their first 2^k lines have one rank at level k: (id of the first line, number of suffixes with that first line
 that come before). Level k+1 orders the suffixes of one rank by the rank 2^k lines further on, so sorting is local to a
 rank, and inside it to ranges of the next rank. A suffix alone in its rank, or whose continuation is, shares no longer
@@ -26,18 +26,23 @@ from pyspark.sql import functions as F
 from . import common
 
 RANGES = 64
+BLANKS = " \t\r\x0b\x0c"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(d, h, at, seq, line, words): document key, line number, number among its non-blank lines, line id, words."""
-    keyed = docs.where("text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("s"))), lambda x: x["s"] != "").alias("all"))
+    keyed = docs.where("text is not null").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("at"), _trimmed(x).alias("s"))), lambda x: x["s"] != "").alias("all"))
     one = keyed.select("d", "h", F.posexplode("all").alias("seq", "l"))
-    blanks = F.length("l.s") - F.length(F.replace(F.col("l.s"), F.lit(" "), F.lit("")))
-    return one.select("d", "h", F.col("l.at").alias("at"), "seq", F.xxhash64("l.s").alias("line"), (blanks + 1).alias("words"))
+    return one.select("d", "h", F.col("l.at").alias("at"), "seq", F.xxhash64("l.s").alias("line"), F.regexp_count("l.s", F.lit(WORD)).alias("words"))
 
 
 def _levels(active: DataFrame, levels: int) -> list[DataFrame]:
@@ -111,9 +116,11 @@ def dedup(docs: DataFrame, min_words: int = 50, report: bool = False) -> DataFra
     gone = common.stored(gone, "deleted-lines").select(F.col("d").alias("__d"), F.col("h").alias("__h"), "__gone")
     gone = gone.hint("merge")  # the same join at every size; lines to delete have no size bound
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("__gone", i))
+    # The lines are an own column of the rows that lose some, and the kept numbers a hash difference: linear in the lines.
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), _lines(F.col("text"))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     if report:
         return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_deleted"))
-    joined = joined.where(F.col("__gone").isNull() | F.exists(kept, lambda x: F.trim(x) != ""))
+    joined = joined.where(F.col("__gone").isNull() | F.exists(kept, lambda x: _trimmed(x) != ""))
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
