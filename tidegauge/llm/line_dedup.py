@@ -72,8 +72,13 @@ def copied_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(d, h, at): the lines to delete."""
     every = lines(docs.select("doc_id", "text"))
     slim = common.stored(every, "lines")
-    copies = slim.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("line").alias("k"))
-    active = slim.join(copies, F.col("line") == F.col("k"), "left_semi").groupBy("d", "h", "seq").agg(F.first("at").alias("at"), F.first("line").alias("line"), F.first("words").alias("words"))
+    copies = common.stored(slim.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("line").alias("k"), "n"), "line-copies")
+    # Lines with over a thousandth of all rows (so under a thousand lines) are told by a broadcast, and their rows spread by
+    # position; the rows of all others meet their line in the join.
+    hot = F.col("n") > slim.count() / 1000
+    tagged = slim.join(F.broadcast(copies.where(hot).select(F.col("k").alias("hot"))), F.col("line") == F.col("hot"), "left")
+    tagged = tagged.withColumn("key", F.when(F.col("hot").isNull(), F.col("line")).otherwise(F.xxhash64("d", "h", "seq"))).withColumn("hot", F.col("hot").isNotNull())
+    active = tagged.join(copies.where(~hot).select("k"), F.col("key") == F.col("k"), "left").where("hot or k is not null").groupBy("d", "h", "seq").agg(F.first("at").alias("at"), F.first("line").alias("line"), F.first("words").alias("words"))
     active = common.stored(active, "repeated-lines")
     levels = _levels(active, max(1, (min_words).bit_length()))
 
