@@ -236,6 +236,22 @@ def test_packing(docs, corpus):
     assert packing.pack(docs([]).where("false")).collect() == []
 
 
+def test_packing_padding():
+    """Little padding where a third of the rests have one length, and where all texts are short."""
+    rng = random.Random(8)
+    skewed = Counter([rng.randrange(1, 1024) for _ in range(4000)] + [300] * 2000)
+    for counts, most in ((skewed, 0.045), (Counter({300: 3000}), 0.125), (Counter([300] * 1000 + [rng.randrange(1, 400) for _ in range(2000)]), 0.025)):
+        fill, at = Counter(), Counter()
+        for l, a, b, first, offset in packing.assign(counts, 1024):
+            assert a == at[l]
+            at[l] = b
+            for sequence in range(first, first + b - a):
+                assert fill[sequence] == offset
+                fill[sequence] += l
+        assert at == counts and max(fill.values()) <= 1024 and sorted(fill) == list(range(len(fill)))
+        assert sum(fill.values()) >= (1 - most) * 1024 * len(fill)
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "u3", "same"), (1, "u1", "same"), (2, "u2\r\nx", None), (4, None, ""), (5, "u", "é" * 50000), (None, "n", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
