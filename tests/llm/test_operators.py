@@ -370,6 +370,23 @@ def test_ann(spark):
     assert ann.search(none, books, none).collect() == []
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.02])
+def test_ann_of_near_copies(spark, noise):
+    """A third of all vectors are near copies of one: their codes tie, and the true 20 are found all the same."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000, 64))
+    x[::3] = x[0] + noise * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    indexed, books = ann.index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in ann.search(indexed, books, indexed.where("vec_id % 225 = 0 or vec_id % 900 = 1")).collect():
+        got[r["query_id"]].append(r["score"])
+    assert len(got) == 50
+    for q, scores in got.items():
+        s = np.delete(x @ x[q], q)
+        assert len(scores) == 20 and min(scores) >= np.sort(s)[-20] - 1e-12
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([3.0, 1, 2, 5]), np.ones(4)).tolist() == [2, 2, 2, 5]
 

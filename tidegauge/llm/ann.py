@@ -2,11 +2,13 @@
 
 A vector is approximated by a sum of one codeword from each of several full-dimensional codebooks. Codebooks are fitted
 level by level on residuals of a bounded sample (`sample` vectors of least hash), then encoding keeps a beam of partial sums per
-vector. Every vector is indexed: its codes and the norm of its approximation are stored beside it, in a table.
+vector. Every vector is indexed: its codes, the norm of its approximation and a bound of its error are stored beside it, in a
+table.
 
 A search takes the queries in blocks of bounded size. For each block, each partition of the index adds up lookup tables
-(query times codeword) over the codes, keeps the `rerank` best of its rows and reranks these by exact products of the
-original vectors in double precision, so only the k best of each partition and query are shuffled.
+(query times codeword) over the codes. The `rerank` best rows of a batch are reranked by exact products of the original
+vectors in double precision, then all rows whose rough score plus error bound times the query's norm reaches the k-th best
+found so far: no row of the true k is lost, however many have one code. Only the k best of each partition and query are shuffled.
 
 Edge cases: vectors that are null, all zero, of another dimension than most or hold a null or non-finite component take no
 part, as queries or candidates; equal vectors tie and go by id; fewer than k candidates are all returned; a row never
@@ -45,10 +47,14 @@ class Codebooks:
             books.append(book)
         return Codebooks(np.array(books, np.float32))
 
-    def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, norms of the approximations), by beam search over the levels."""
+    def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, norms of the approximations, bounds of the error), by beam search over the levels.
+
+        A score by lookup tables is off by no more than the bound times the query's norm, float32 rounding included.
+        """
         levels, words, dim = self.books.shape
-        all_codes, norms = np.empty((len(x), levels), np.uint8), np.empty(len(x), np.float32)
+        all_codes, norms, errors = np.empty((len(x), levels), np.uint8), np.empty(len(x), np.float32), np.empty(len(x))
+        rounding = (levels + dim + 8) * 2.0**-22 * np.linalg.norm(self.books.astype(np.float64), axis=2).max(1).sum()
         for a in range(0, len(x), 512):
             part = x[a : a + 512].astype(np.float32)
             n = len(part)
@@ -64,7 +70,9 @@ class Codebooks:
             pick = (rest * rest).sum(2).argmin(1)
             all_codes[a : a + n] = codes[np.arange(n), pick]
             norms[a : a + n] = np.linalg.norm(part - rest[np.arange(n), pick], axis=1)
-        return all_codes, norms
+            approximation = self.books[np.arange(levels), all_codes[a : a + n]].astype(np.float64).sum(1)
+            errors[a : a + n] = np.linalg.norm(x[a : a + n] - approximation, axis=1) * (1 + 1e-9) + rounding
+        return all_codes, norms, errors
 
 
 def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,12 +101,12 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def index(vectors: DataFrame, levels: int = 16, words: int = 256, beam: int = 4, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, Codebooks | None]:
-    """The stored table (vec_id, v, codes, norm) of all usable vectors, and the codebooks."""
+    """The stored table (vec_id, v, codes, norm, error) of all usable vectors, and the codebooks."""
     spark = vectors.sparkSession
     packed = common.stored(_packed(vectors, id_col, vec_col), "ann-vectors")
     sizes = packed.groupBy(F.length("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     if not sizes:
-        return packed.select("vec_id", "v", F.lit(b"").alias("codes"), F.lit(0.0).cast("float").alias("norm")), None
+        return packed.select("vec_id", "v", F.lit(b"").alias("codes"), F.lit(0.0).cast("float").alias("norm"), F.lit(0.0).alias("error")), None
     bytes_, total = sizes[0]["n"], sizes[0]["c"]
     packed = packed.where(F.length("v") == bytes_)
     chosen = packed
@@ -113,10 +121,10 @@ def index(vectors: DataFrame, levels: int = 16, words: int = 256, beam: int = 4,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, v in _usable(batch):
-                codes, norms = shared.value.encode(v, beam)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "v", "codes", "norm"])
+                codes, norms, errors = shared.value.encode(v, beam)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(errors, pa.float64())], ["vec_id", "v", "codes", "norm", "error"])
 
-    return common.stored(packed.repartition(F.xxhash64("vec_id")).mapInArrow(encode, "vec_id long, v binary, codes binary, norm float"), "ann-index"), books
+    return common.stored(packed.repartition(F.xxhash64("vec_id")).mapInArrow(encode, "vec_id long, v binary, codes binary, norm float, error double"), "ann-index"), books
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -148,26 +156,44 @@ def search(indexed: DataFrame, books: Codebooks | None, queries: DataFrame, k: i
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q, luts = shared.value
             held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q_ids)
+
+            def add(j: int, near: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+                near = near[ids[near] != q_ids[j]]
+                exact, who = (v[near] * q[j]).sum(1), ids[near]
+                if held[j] is not None:
+                    exact, who = np.concatenate([held[j][0], exact]), np.concatenate([held[j][1], who])
+                top = _best(exact, who, k)
+                held[j] = exact[top], who[top]
+
             for batch in batches:
                 for ids, v in _usable(batch):
                     codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+                    error = batch.column(3).to_numpy()
+                    size = np.linalg.norm(v, axis=1).max()
                     for a in range(0, len(q_ids), 64):
                         rough = luts[0][a : a + 64][:, codes[:, 0]]
                         for m in range(1, codes.shape[1]):
                             rough += luts[m][a : a + 64][:, codes[:, m]]
+                        norm = np.linalg.norm(q[a : a + 64], axis=1)
+                        open_ = np.empty(rough.shape, bool)
+                        least = np.full(len(rough), -np.inf)
                         for r, row in enumerate(rough):
-                            j = a + r
                             near = _best(row, ids, rerank + 1)
-                            near = near[ids[near] != q_ids[j]]
-                            exact, who = (v[near] * q[j]).sum(1), ids[near]
-                            if held[j] is not None:
-                                exact, who = np.concatenate([held[j][0], exact]), np.concatenate([held[j][1], who])
-                            top = _best(exact, who, k)
-                            held[j] = exact[top], who[top]
+                            add(a + r, near, ids, v)
+                            if len(held[a + r][0]) == k:
+                                least[r] = held[a + r][0][-1]
+                            open_[r] = ~(row + norm[r] * error < least[r])
+                            open_[r, near] = False
+                        some = np.flatnonzero(open_.any(0))
+                        if len(some):
+                            # Products of the whole block; their last bits vary, so add() makes those of the rows that reach again.
+                            near_enough = v[some] @ q[a : a + 64].T >= least - 1e-9 * norm * size
+                            for r in np.flatnonzero((open_[:, some].T & near_enough).any(0)):
+                                add(a + r, some[open_[r, some] & near_enough[:, r]], ids, v)
             have = [j for j, h in enumerate(held) if h is not None and len(h[0])]
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[have], pa.int64()), pa.array([held[j][1].tolist() for j in have], pa.list_(pa.int64())), pa.array([held[j][0].tolist() for j in have], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
-        some = indexed.select("vec_id", "v", "codes").mapInArrow(scan, "query_id long, ids array<long>, scores array<double>")
+        some = indexed.select("vec_id", "v", "codes", "error").mapInArrow(scan, "query_id long, ids array<long>, scores array<double>")
         found = some if found is None else found.unionByName(some)
     if found is None:
         return empty
