@@ -99,6 +99,18 @@ def test_jaccard_keeps_one(docs):
     assert {r["doc_id"] for r in jaccard.one_each(docs(rows)).collect()} == want
 
 
+def test_jaccard_keeps_one_of_repeated_and_null_ids(docs):
+    """A clean row stays whatever else has its id; of repeated rows and of copies without ids one stays."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(0, a), (1, a), (1, b), (None, a), (2, c), (2, c), (3, c + " more"), (None, d), (None, d + " more"), (None, d), (None, e), (7, None), (7, None), (8, " "), (8, " ")]
+    for part, want in ((rows, [(0, a), (1, b), (2, c), (None, e), (7, None), (7, None), (8, " "), (8, " ")]), (rows[:4], [(0, a), (1, b)])):
+        got = [(r["doc_id"], r["text"]) for r in jaccard.one_each(docs(part)).collect()]
+        group = [x for x in got if x[1] in (d, d + " more")]
+        assert len(group) == (part is rows)
+        assert sorted(map(repr, set(got) - set(group))) == sorted(map(repr, set(want)))
+        assert len(got) == len(want) + len(group)
+
+
 def test_jaccard_empty(docs):
     assert jaccard.join(docs([]).where("false")).collect() == []
 

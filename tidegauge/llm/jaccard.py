@@ -274,7 +274,23 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, id
 
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each component: rows with the component's id stay."""
-    found = join(docs.select("doc_id", "text"), n, percent)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs with one row of each component: that of least (doc_id, text hash), a null id last; of rows equal in both, any one.
+
+    Rows without a set (null or wordless text) all stay.
+    """
+    rows, edges = links(docs.select("doc_id", "text"), n, percent)
+    roots = components(edges)
+    keys = rows.where("class is not null").groupBy("doc_id", "h", "class").agg(F.count(F.lit(1)).alias("times"))
+    classes = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("least"))
+    of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    tops = of.groupBy("root").agg(F.min("least").alias("kept"))
+    named = of.join(tops, "root").select(F.col("class").alias("k"), "kept")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("h") == F.col("kept.h"))
+    marks = keys.join(named, F.col("class") == F.col("k")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays"), "times")
+    marks = common.stored(marks.where("not __stays or times > 1").drop("times"), "jaccard-marks")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    if marks.where("__stays").isEmpty():
+        return docs.join(marks, same, "left_anti")
+    marked = docs.join(marks, same, "left")
+    repeated = marked.where("__stays").dropDuplicates(["__id", "__h"])
+    return marked.where("__stays is null").unionByName(repeated).drop("__id", "__h", "__stays")
