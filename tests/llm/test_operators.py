@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tidegauge.llm import ann, chat, decontam, jaccard, katz, line_dedup, packing, quality, queries, shards, warc, words
+from tidegauge.llm import ann, chat, components, decontam, jaccard, katz, line_dedup, packing, quality, queries, shards, warc, words
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -111,6 +111,13 @@ def test_jaccard_keeps_one_of_repeated_and_null_ids(docs):
         assert len(got) == len(want) + len(group)
 
 
+def test_components_converge_or_fail(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError, match="not converged"):
+        components.components(edges, most_rounds=1)
+
+
 def test_jaccard_empty(docs):
     assert jaccard.join(docs([]).where("false")).collect() == []
 

@@ -12,7 +12,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, root): the least node each node is connected with. Nodes without edges are absent.
 
     Each star round links a node's larger neighbours (or smaller ones and itself) to the least; per-node minima are
-    pre-aggregated, so a hub costs one row per map task. Rounds are logarithmic in the longest path.
+    pre-aggregated, so a hub costs one row per map task. Rounds are logarithmic in the longest path; an error is raised where
+    `most_rounds` of them do not end with two equal ones.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
@@ -29,6 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: not converged after {most_rounds} rounds")
     nodes = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = e.select(F.col("v").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
     return nodes.unionByName(roots)
