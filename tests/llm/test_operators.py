@@ -224,7 +224,10 @@ def test_shards(docs, corpus):
 
 
 def test_packing(docs, corpus):
-    encode = packing.encoder()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for frame in (corpus, docs(ODD + [(9, "a <|endoftext|> b")])):
         rows = [tuple(r) for r in packing.pack(frame).collect()]
         fill, by = defaultdict(list), defaultdict(list)
@@ -241,18 +244,52 @@ def test_packing(docs, corpus):
             used = sum(length for parts in fill.values() for _, length in parts)
             assert used > 0.95 * 1024 * len(fill)
             for d, t in [(r["doc_id"], r["text"]) for r in corpus.limit(30).collect()]:
-                ids = np.array([*encode(t), 0], "<u4")
+                ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4")
                 for start, length, crc, total in by[d]:
                     assert total == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
         else:
             assert [x[3] for x in by[1]] == [1] and len(by[4]) == 2
-    from tokenizers import Tokenizer
+    assert packing.pack(docs([]).where("false")).collect() == []
+
+
+def test_packing_ids():
+    """The ids of the library, on long runs of one class of characters, special strings and a table that outgrows what is kept."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for _, t in ODD + [(0, "a <|endoftext|> b")]:
-        assert encode(t or "") == whole.encode(t or "", add_special_tokens=False).ids
-    assert packing.pack(docs([]).where("false")).collect() == []
+    whole, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    some = [" ", "\t", "\n", "\r\n", "\x1c", "\x85", "\xa0", "a", "é", "1", "²", "'", "s", "'ll", "日本", "\u200b", "\u3000", "\u0301", "😀", "_", "<|", "|>", "\x00", "\U0001d4b3"]
+    texts = [c * 1_000_000 for c in (" ", "\n", "a", "1", "'")] + [" " * 500_000 + "a", "a <|endoftext|> b", ""] + [t or "" for _, t in ODD]
+    texts += ["".join(rng.choices(some, k=rng.randint(1, 14))) for _ in range(3000)]
+    encode = packing.Encoder(most=500)
+    for a in range(0, len(texts), 64):
+        for t, ids in zip(texts[a : a + 64], encode(texts[a : a + 64]), strict=True):
+            assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("percent", (100, 90, 50, 0))
+def test_packing_takes_the_sequence_of_least_cost(percent):
+    """Piece by piece: longest first, to the open sequence of least cost that has room."""
+    rng = random.Random(percent)
+    for hot in (0, 300):
+        counts = Counter(rng.choice((rng.randrange(1, 1025), rng.randrange(1, 60), 1024)) for _ in range(700))
+        if hot:
+            counts[hot] += 400
+        cost, fill, want = [], [], Counter()
+        opened = -(-sum(l * c for l, c in counts.items() if l < 1024) // 1024) * percent // 100
+        cost, fill = [0.0] * opened, [0] * opened
+        for l in sorted((l for l in counts if l < 1024), reverse=True):
+            for left in range(counts[l], 0, -1):
+                room = [i for i in range(len(fill)) if fill[i] + l <= 1024]
+                if not room:
+                    more = -(-left // (1024 // l))
+                    room = range(len(fill), len(fill) + more)
+                    cost, fill = cost + [0.0] * more, fill + [0] * more
+                at = min(room, key=lambda i: (cost[i], fill[i], i))
+                want[counts[1024] + at, fill[at], l] += 1
+                cost[at], fill[at] = cost[at] + (l + l * l / 512), fill[at] + l
+        got = Counter((first + i, offset, l) for l, a, b, first, offset in packing._assign(counts, 1024, 512, percent)[0] if l < 1024 for i in range(b - a))
+        assert got == want
 
 
 def test_packing_padding():

@@ -14,9 +14,9 @@ rows; very long texts are many full pieces; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,39 +25,67 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict = {}
+#: The pre-token pattern of byte_bpe_50k.json.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoder(path: str | None = None):
-    """texts -> lists of ids of byte_bpe_50k.json without special tokens added; path: that file.
+class Encoder:
+    """texts -> lists of ids of a byte-level tokenizers file, without special tokens added.
 
-    The same merges run as byte ranks (faster) where a text has no string of a special token.
+    Pre-tokens do not touch each other in byte-level BPE, so the library encodes each distinct one once and its ids are kept,
+    `most` of them at a time. A text with the string of a special token goes to the library whole.
     """
-    import base64
-    import os
 
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    def __init__(self, path: str | None = None, most: int = 200_000):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.cut, self.most, self.have = regex.compile(PIECES).findall, most, {}
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for group in self._groups(texts):
+            found = [None if any(s in t for s in self.special) else self.cut(t) for t in group]
+            if len(self.have) > self.most:
+                self.have.clear()
+            self._learn({p for pieces in found if pieces for p in pieces if p not in self.have})
+            for text, pieces in zip(group, found):
+                if pieces is None:
+                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+                else:
+                    yield np.fromiter(chain.from_iterable(map(self.have.__getitem__, pieces)), "<u4")
+
+    @staticmethod
+    def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= most:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def _learn(self, pieces: set[str]) -> None:
+        fresh = list(pieces)
+        if fresh:
+            one = self.whole.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = one.ids, np.cumsum(np.bincount(np.array(one.word_ids), minlength=len(fresh))).tolist()
+            a = 0
+            for p, b in zip(fresh, ends):
+                self.have[p] = tuple(ids[a:b])
+                a = b
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The process's Encoder of a file."""
     if path not in _loaded:
-        whole = Tokenizer.from_file(path)
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        fast, ranked = None, f"{os.path.splitext(path)[0]}.tiktoken"
-        if os.path.exists(ranked):
-            with open(ranked, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _loaded[path] = whole, special, fast
-    whole, special, fast = _loaded[path]
-
-    def encode(text: str) -> list[int]:
-        if fast is None or any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
-
-    return encode
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
 
 
 def assign(counts: dict[int, int], length: int, width: int = 512) -> list[tuple[int, int, int, int, int]]:
@@ -117,8 +145,8 @@ def pieces(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, id
         encode = encoder(tokenizer)
         for batch in batches:
             ids, out = batch.column(0), ([], [], [], [], [])
-            for row, text in enumerate(batch.column(1)):
-                tokens = np.array([*encode(text.as_py() or ""), 0], "<u4")
+            for row, tokens in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
+                tokens = np.append(tokens, np.zeros(1, "<u4"))
                 for a in range(0, len(tokens), length):
                     part = tokens[a : a + length]
                     for x, v in zip(out, (row, a, len(part), zlib.crc32(part.tobytes()), len(tokens))):
