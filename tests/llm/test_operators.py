@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tidegauge.llm import ann, chat, components, decontam, jaccard, katz, line_dedup, packing, quality, queries, shards, warc, words
+from tidegauge.llm import ann, chat, common, components, decontam, jaccard, katz, line_dedup, packing, quality, queries, shards, warc, words
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -485,3 +485,16 @@ def test_decontamination_blocks(spark, docs):
     clean = decontam.decontaminate(docs(rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=1)
     assert sorted(map(repr, [r["doc_id"] for r in clean.collect()])) == sorted(repr(d) for d, _, n, _ in want if not n)
     assert decontam.find_items(docs(rows), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
+
+
+def test_spread_join(spark):
+    """A key with most rows, null keys, keys without a partner and a payload that is null: as a plain left join."""
+    rows = [(i, 7 if i % 3 else i % 11, None if i % 50 == 0 else "x", i) for i in range(5000)]
+    big = spark.createDataFrame(rows, "id long, a long, b string, p long").repartition(5)
+    n = Counter((a, b) for _, a, b, _ in rows if b)
+    small = [(a, b, c, None if a == 3 else a * 10) for (a, b), c in n.items() if a != 5]
+    got = common.spread_join(big, spark.createDataFrame(small, "x long, y string, n long, q long"), {"a": "x", "b": "y"}, "n", ["q"], ["id"])
+    want = {(x, y): q for x, y, _, q in small}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*r, want.get((r[1], r[2])))) for r in rows)
+    empty = common.spread_join(big, spark.createDataFrame([], "x long, y string, n long, q long"), {"a": "x", "b": "y"}, "n", ["q"], ["id"])
+    assert empty.count() == 5000 and empty.where("q is not null").count() == 0

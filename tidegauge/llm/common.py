@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,25 @@ def chunks_of(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: dict[str, str], count: str, payload: list[str], by: list[str]) -> DataFrame:
+    """big with the payload columns of small's row of its keys (null where there is none), whatever share of big one key has.
+
+    keys: big's column -> small's. small has one row a key, with the number of big's rows of that key in `count`. Keys with over
+    a thousandth of all rows (so fewer than a thousand) come by broadcast, and their rows, like rows with a null key, are
+    spread in the shuffle by the columns `by`.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    named = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys.values())], F.struct(*payload).alias("__p"), F.col(count).alias("__n"))
+    hot = named.where(F.col("__n") > total / 1000).drop("__n").withColumnsRenamed({f"__k{i}": f"__h{i}" for i in range(len(keys))} | {"__p": "__hot"})
+    cold = named.where(F.col("__n") <= total / 1000).drop("__n").withColumn("__s", F.lit(0))
+    same = lambda side: reduce(and_, [F.col(k) == F.col(f"__{side}{i}") for i, k in enumerate(keys)])
+    away = reduce(or_, [F.col(k).isNull() for k in keys], F.col("__hot").isNotNull())
+    tagged = big.join(F.broadcast(hot), same("h"), "left").withColumn("__salt", F.when(away, 1 + F.pmod(F.xxhash64(*by), F.lit(4096))).otherwise(0))
+    joined = tagged.join(cold, same("k") & (F.col("__salt") == F.col("__s")), "left")
+    found = F.coalesce("__hot", "__p")
+    return joined.select(*big.columns, *[found[c].alias(c) for c in payload])
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, base: Column | None = None) -> DataFrame:
     """Gapless rank from 0 of each row among those with equal keys, however many rows one key has.
 

@@ -266,11 +266,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, id
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows, edges = links(docs, n, percent, most_match)
     roots = components(edges)
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", "n", F.coalesce("root", "class").alias("root"))
     tops = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(tops, "root").select(F.col("class").alias("k"), "component_id")
-    return rows.join(named, F.col("class") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = common.stored(of.join(tops, "root").select("class", "n", "component_id"), "jaccard-named")
+    found = common.spread_join(rows, named, {"class": "class"}, "n", ["component_id"], ["doc_id", "h"])
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -281,12 +282,12 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows, edges = links(docs.select("doc_id", "text"), n, percent)
     roots = components(edges)
     keys = rows.where("class is not null").groupBy("doc_id", "h", "class").agg(F.count(F.lit(1)).alias("times"))
-    classes = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("least"))
-    of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    classes = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
+    of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", "n", F.coalesce("root", "class").alias("root"))
     tops = of.groupBy("root").agg(F.min("least").alias("kept"))
-    named = of.join(tops, "root").select(F.col("class").alias("k"), "kept")
+    named = common.stored(of.join(tops, "root").select("class", "n", "kept"), "jaccard-named")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("h") == F.col("kept.h"))
-    marks = keys.join(named, F.col("class") == F.col("k")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays"), "times")
+    marks = common.spread_join(keys, named, {"class": "class"}, "n", ["kept"], ["doc_id", "h"]).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays"), "times")
     marks = common.stored(marks.where("not __stays or times > 1").drop("times"), "jaccard-marks")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
     if marks.where("__stays").isEmpty():

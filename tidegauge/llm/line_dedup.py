@@ -106,8 +106,8 @@ def copied_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         windows = found.select("d", "h", "seq", "m", F.when(has, F.xxhash64("name", F.lit(k), "first", "below")).otherwise(F.col("name")).alias("name"))
     windows = windows.where(F.col("m") < (1 << len(levels)))
     windows = common.stored(windows, "named-windows")
-    heads = windows.groupBy("m", "name").agg(F.min(F.struct("d", "h", "seq")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("m").alias("m2"), F.col("name").alias("name2"), "e")
-    later = windows.join(heads, (F.col("m") == F.col("m2")) & (F.col("name") == F.col("name2")))
+    heads = windows.groupBy("m", "name").agg(F.min(F.struct("d", "h", "seq")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = common.spread_join(windows, common.stored(heads, "window-heads"), {"m": "m", "name": "name"}, "n", ["e"], ["d", "h", "seq"]).where("e is not null")
     own = F.col("d").eqNullSafe(F.col("e.d")) & (F.col("h") == F.col("e.h"))
     later = later.where(~own | (F.col("seq") >= F.col("e.seq") + F.col("m")))
     gone = later.select("d", "h", F.explode(F.sequence("seq", F.col("seq") + F.col("m") - 1)).alias("seq")).distinct()

@@ -142,7 +142,7 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     runs = even_bins(classes, shards) if capacity is None else best_fit_decreasing(classes, capacity)[0]
     plan = common.rows(spark, runs, "rw long, r0 long, r1 long, shard int")
     ranked = common.rank_within(groups, ["__w"], group, "__rank")
-    placed = ranked.join(plan, (F.col("__w") == F.col("rw")) & (F.col("__rank") >= F.col("r0")) & (F.col("__rank") < F.col("r1"))).select(*[F.col(c).alias(f"g_{c}") for c in group], "shard")
-    of = sized.join(placed, (F.col("__h") == F.col("g___h")) & (F.col("text_crc32") == F.col("g_text_crc32")) & (F.col("size") == F.col("g_size")))
+    placed = ranked.join(plan, (F.col("__w") == F.col("rw")) & (F.col("__rank") >= F.col("r0")) & (F.col("__rank") < F.col("r1"))).select(*group, "__copies", "shard")
+    of = common.spread_join(sized, common.stored(placed, "shard-plan"), {c: c for c in group}, "__copies", ["shard"], ["doc_id"])
     out = common.rank_within(of.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")

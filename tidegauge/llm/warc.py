@@ -198,8 +198,9 @@ def write(pages: DataFrame, path: str, file_bytes: int = 256 << 20, least: int =
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     sums = common.stored(source.select("page_id", F.octet_length("html").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sum")), "warc-sums").where(F.col("size") >= least)
-    first = sums.groupBy("sum", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select(F.col("sum").alias("s"), F.col("first"))
-    copies = sums.join(first, F.col("sum") == F.col("s")).where("page_id is null or page_id <> first").select(F.col("page_id").alias("copy"), F.col("sum").alias("copy_sum"), "first").distinct()
+    first = sums.groupBy("sum", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    copies = common.spread_join(sums, common.stored(first, "warc-first"), {"sum": "sum", "size": "size"}, "n", ["first"], ["page_id"]).where("first is not null and (page_id is null or page_id <> first)")
+    copies = copies.select(F.col("page_id").alias("copy"), F.col("sum").alias("copy_sum"), "first").distinct()
     copies = common.stored(copies, "warc-copies")
     joined = source.join(copies, F.col("page_id").eqNullSafe(F.col("copy")) & (F.sha1(F.col("html").cast("binary")) == F.col("copy_sum")), "left").select("page_id", "url", "html", "first")
 
