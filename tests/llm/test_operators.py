@@ -355,45 +355,62 @@ def test_chat(spark):
     assert chat.tree(table.where("false"))[1].collect() == []
 
 
-def brute_katz(rows, held, k=5, beyond=0.1):
-    texts = [spaced(t) + ["\0"] for _, t in rows]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+def brute_katz(rows, held, order=3, k=5):
+    """(n_tokens, n_known, train_tokens, base_score, score) of each row, by dictionaries of tuples."""
+    texts = [["\1"] * (order - 1) + spaced(t) + ["\0"] for _, t in rows]
+    grams = [Counter() for _ in range(order)]
     for w, h in zip(texts, held):
         if not h:
-            uni.update(w)
-            for x, y in zip(["\1", *w], w):
-                bi[x, y] += 1
-                ctx[x] += 1
-    n, v = sum(uni.values()), len(uni)
-    of = lambda c: katz.discounts([0.0] + [float(sum(1 for x in c.values() if x == r)) for r in range(1, k + 2)], k)
-    d1, d2 = of(uni), of(bi)
-    star = lambda c, d: d[c] * c if c <= k else c - beyond
-    left = 1 - sum(star(c, d1) for c in uni.values()) / n if n else 1.0
-    p1 = lambda w: star(uni[w], d1) / n if uni[w] else left
-    s, g = defaultdict(float), defaultdict(float)
-    for (x, y), c in bi.items():
-        s[x] += p1(y)
-        g[x] += c - star(c, d2)
-    p = lambda x, y: star(bi[x, y], d2) / ctx[x] if bi[x, y] else g[x] / ctx[x] / (1 - s[x]) * p1(y) if ctx[x] else p1(y)
-    for x in list(ctx)[:20]:
-        assert abs(sum(p(x, y) for y in uni) + p(x, "unseen") - 1) < 1e-9
-    return [(len(w), sum(1 for x in w if uni[x]), n, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(x, y)) for x, y in zip(["\1", *w], w))) for w in texts]
-
-
-@pytest.mark.parametrize("which", ["odd", "none", "corpus"])
-def test_katz(docs, corpus, which):
-    rows = ODD if which != "corpus" else [(r["doc_id"], r["text"]) for r in corpus.collect()]
-    frame = docs(ODD) if which != "corpus" else corpus
+            for i in range(order - 1, len(w)):
+                for m in range(order):
+                    grams[m][tuple(w[i - m : i + 1])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    d = [katz.discounts([0.0] + [float(sum(1 for x in c.values() if x == r)) for r in range(1, k + 2)], k) for c in grams]
+    star = lambda c, m: d[m][c] * c if c <= k else float(c)
+    sums = [defaultdict(lambda: [0, 0.0, 0.0]) for _ in range(order)]
+
+    def p(words):
+        m = len(words) - 1
+        low = p(words[1:]) if m else 1.0
+        if words[:-1] not in sums[m]:
+            return low
+        c, given, s = sums[m][words[:-1]]
+        if given < 1e-9 * c:
+            c, given = c + 1, 1.0
+        return star(grams[m][words], m) / c if grams[m][words] else given / c / (1 - s) * low
+
+    for m in range(order):
+        found = defaultdict(lambda: [0, 0.0, 0.0])
+        for words, c in grams[m].items():
+            x = found[words[:-1]]
+            x[0] += c
+            x[1] += c - star(c, m)
+            x[2] += p(words[1:]) if m else 0.0
+        sums[m] = found
+    for m in range(1, order):
+        for x in random.Random(1).sample(sorted(sums[m]), min(12, len(sums[m]))):
+            assert abs(sum(p((*x, y)) for y, in grams[0]) + p((*x, "\2")) - 1) < 1e-9
+    own = [w[order - 1 :] for w in texts]
+    return [(len(w), sum(1 for x in w if grams[0][x,]), n, sum(math.log10((grams[0][x,] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(tuple(t[i - order + 1 : i + 1]))) for i in range(order - 1, len(t)))) for w, t in zip(own, texts)]
+
+
+#: Contexts of every kind: one word with most tokens, one pair, one word over and over, counts that are all above k.
+SKEWED = [(i, " ".join(["of the", f"w{i % 17} of the", "a a a a", f"x{i} y{i % 5}", "the"][(i * 7 + j) % 5] for j in range(20))) for i in range(90)]
+
+
+@pytest.mark.parametrize("which,order,bucket_bytes", [("odd", 3, 16 << 20), ("none", 3, 1000), ("corpus", 3, 200_000), ("corpus", 2, 16 << 20), ("skewed", 3, 1500), ("skewed", 4, 700), ("skewed", 2, 700), ("odd", 1, 1000)])
+def test_katz(docs, corpus, which, order, bucket_bytes):
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()] if which == "corpus" else SKEWED if which == "skewed" else ODD
+    frame = corpus if which == "corpus" else docs(rows)
     column = F.lit(True) if which == "none" else F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     held = [which == "none" or (d is not None and zlib.crc32(str(d).encode()) % 5 == 1) for d, _ in rows]
-    got = katz.score(frame, column, chunk_bytes=100_000).collect()
-    want = brute_katz(rows, held)
-    key = lambda x: tuple(round(v, 5) for v in x)
+    got = katz.score(frame, column, order=order, chunk_bytes=100_000 if which == "corpus" else 1000, bucket_bytes=bucket_bytes).collect()
+    want = brute_katz(rows, held, order)
     have = sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
     want = sorted((repr(d), *w) for (d, _), w in zip(rows, want))
     assert [x[:4] for x in have] == [x[:4] for x in want]
     for a, b in zip(have, want):
-        assert a[4] == pytest.approx(b[4], rel=1e-7, abs=1e-6) and a[5] == pytest.approx(b[5], rel=1e-7, abs=1e-6)
+        assert a[4] == pytest.approx(b[4], rel=1e-9, abs=1e-9) and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9)
 
 
 def test_katz_empty(docs):

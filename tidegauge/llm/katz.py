@@ -1,23 +1,27 @@
-"""A Katz backoff bigram model: Good-Turing discounted counts, exactly normalised backoff weights, whole-text scores.
-
-p(w | h) = d(c) c(h, w) / c(h) where the pair was seen, else alpha(h) p(w); p(w | h) = p(w) where h was not seen as a
-context; p(w) = d(c) c(w) / N, and the unknown word has the mass that these leave. d(c) is Good-Turing's up to `k`; above,
-a count gives up `beyond` of one count, so every context leaves some mass. With D(h) the count given up after h and S(h) the
-sum of p(w) over the words seen after h, alpha(h) = (D(h) / c(h)) / (1 - S(h)), which makes every p(. | h) sum to 1 over
-the known words, the end and the unknown word.
-
-Tables (64-bit word hashes, in the shared folder): `unigrams` (word, n), `bigrams` (packed by bucket of the second word), and
-`contexts` (packed sums D, S by context bucket). They are never joined token by token in the JVM. Tokens travel once, packed, to the bucket of
-their word, where c(w), c(h, w) and p(w) are at hand. log c(h) needs no context lookup: each word is the next token's
-context exactly once, so its own bucket subtracts log c(w) there. Only tokens of unseen pairs go on to the bucket of
-their context, to add log(D(h) / (1 - S(h))). Words with more than a small share of all tokens are dealt by
-(word, context) to many buckets with their counts sent along; their number is bounded by that share.
-
-The text is passed `waves` times, each over a part of the word space, so shuffle space is that part only.
+"""A Katz backoff model of any order: Good-Turing discounted counts, exactly normalised backoff weights, whole-text scores.
+
+p(w | h) = d(c) c(h, w) / c(h) where the n-gram was seen in training, else alpha(h) p(w | h') with h' one word shorter, and
+p(w | h') where h was never a context; the shortest is p(w) = d(c) c(w) / N, and the unknown word has the mass that these
+leave. d(c) is Good-Turing's up to `k` for each order, and 1 above. A context whose counts are all above k would leave no
+mass, and unseen words would have probability 0: it counts one more event, unseen. With D(h) the mass that h gives up and
+S(h) the sum of p(w | h') over the words seen after h, alpha(h) = D(h) / (1 - S(h)), so every p(. | h) sums to 1 over the known
+words, the end and the unknown word. Texts begin with order - 1 start marks and close with an end.
+
+Tables in the shared folder: `unigrams` (word, n), `ngrams` (distinct n-grams of all texts with training counts, packed by
+bucket), `shared` (n-grams of common contexts), `answers` (for each bucket, the lower-order counts that it needs). N-grams are
+dealt to buckets by their nearest context word, so all orders of a context meet in one. A context that is too common for
+that is dealt by its next word back, and by the whole n-gram if need be; counts of common contexts are in `shared`, and
+their few sums go to all buckets by broadcast. Buckets ask `unigrams` and `shared` for the counts of their words in one join.
+Scoring reads the tables: tokens travel once, packed, to the bucket of their n-gram, which evaluates the recursion for
+each distinct n-gram and sums by row.
+
+Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. At most 8 contexts a
+bucket and order are common. Scoring passes the text `waves` times, each over a part of the buckets, so that its shuffle is
+that part only. Words and n-grams are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty, its only token is the end; rows equal in doc_id and text count as often as they
 occur and get equal scores; without training rows every token has probability 1 (the unknown word); an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. docs must give the same rows in the same order when it is read again, as a table does.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,10 +39,11 @@ from .words import SPACE, U64, mix, texts
 
 END, BOS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
+_END = int(np.array([END]).view(np.int64)[0])
 
 
 def discounts(n: list[float], k: int) -> np.ndarray:
-    """d(1..k) of Good-Turing with counts of counts n[1..k+1]; half a count is taken where they give none in (0, 1)."""
+    """d(0..k) of Good-Turing with counts of counts n[1..k+1]; half a count is taken where they give none in (0, 1)."""
     out = np.ones(k + 1)
     top = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
@@ -47,39 +52,39 @@ def discounts(n: list[float], k: int) -> np.ndarray:
     return out
 
 
-def given_up(c: np.ndarray, d: np.ndarray, beyond: float) -> np.ndarray:
-    """How much of each count c (> 0) is given up."""
+def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d(c) c of each count."""
     k = len(d) - 1
-    return np.where(c <= k, (1 - d[np.minimum(c, k)]) * c, beyond)
+    return np.where(c <= k, d[np.minimum(c, k)], 1.0) * c
+
+
+def weights(c: np.ndarray, given: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(denominators, backoff weights) of contexts with counts c that give up `given` of them, and lower sums s."""
+    least = given <= 1e-9 * np.maximum(c, 1)
+    total = c + least
+    return total, np.where(least, 1.0, given) / np.maximum(total, 1) / np.maximum(1 - s, 1e-300)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
-    """(keys, ids, held flags, word hashes, context hashes, row of each token) of about `most` bytes of text."""
+    """(keys, ids, held flags, word hashes, row of each token) of about `most` bytes of text; each row closes with END."""
     held, size = [], 0
 
     def flush():
-        keys = np.concatenate([x[0] for x in held])
         base = np.cumsum([0] + [len(x[0]) for x in held])[:-1]
-        return keys, pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]), np.concatenate([x[5] + b for x, b in zip(held, base)])
+        return *(np.concatenate([x[i] for x in held]) if i != 1 else pa.concat_arrays([x[1] for x in held]) for i in range(4)), np.concatenate([x[4] + b for x, b in zip(held, base)])
 
     for batch in batches:
         rows = pa.RecordBatch.from_arrays([batch.column(3), pa.array(np.arange(batch.num_rows))], ["text", "row"])
         for chunk in texts(iter([rows]), "text", "row"):
-            at = chunk.ids.to_numpy()
             starts, ends, first = chunk.words(SPACE)
             h = chunk.hashes(starts, ends)
             count = np.diff(first)
-            ends_at = first[1:] + np.arange(len(count))
             w = np.empty(len(h) + len(count), np.uint64)
             is_end = np.zeros(len(w), bool)
-            is_end[ends_at] = True
+            is_end[first[1:] + np.arange(len(count))] = True
             w[is_end], w[~is_end] = END, h
-            c = np.empty_like(w)
-            c[1:] = w[:-1]
-            c[ends_at - count] = BOS
-            keys = batch.column(0).take(chunk.ids).to_numpy(zero_copy_only=False)
-            flags = batch.column(2).take(chunk.ids).to_numpy(zero_copy_only=False)
-            held.append((keys, batch.column(1).take(pa.array(at)), flags.astype(bool), w, c, np.repeat(np.arange(len(count)), count + 1)))
+            take = lambda i: batch.column(i).take(chunk.ids)
+            held.append((take(0).to_numpy(zero_copy_only=False), take(1), take(2).to_numpy(zero_copy_only=False).astype(bool), w, np.repeat(np.arange(len(count)), count + 1)))
             size += len(chunk.buf)
             if size >= most:
                 yield flush()
@@ -88,277 +93,434 @@ def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
         yield flush()
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((mix(h) >> U64(40)).astype(np.int64) * n) >> 24
+def _words(w: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct words and BOS, [indexes of the words, of the words before, ...])."""
+    names, at = np.unique(w, return_inverse=True)
+    start = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    cols = [at.astype(np.int64)]
+    for _ in range(order - 1):
+        back = np.empty_like(cols[0])
+        back[1:] = cols[-1][:-1]
+        back[start] = len(names)
+        cols.append(back)
+    return np.append(names, BOS), cols
+
+
+def _key(cols: list[np.ndarray], size: int) -> np.ndarray:
+    """One integer for equal tuples of indexes below size, in their order of columns."""
+    key, most = cols[0], size
+    for c in cols[1:]:
+        if most * size >= 2**62:
+            found, key = np.unique(key, return_inverse=True)
+            most = len(found)
+        key, most = key * size + c, most * size
+    return key
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
-def _counted(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(words, kind="stable")
-    words, counts = words[order], counts[order]
-    at = _runs(words)
-    return words[at], np.add.reduceat(counts, at) if len(at) else counts
+def _chains(names: np.ndarray, cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of (word and m words before it) and of (these m words), for m = 0..; the latter are zeros for m = 0."""
+    grams, contexts = [names[cols[0]]], [np.zeros(len(cols[0]), np.uint64)]
+    for m, c in enumerate(cols[1:], 1):
+        h = names[c] * _C2 + U64(m)
+        grams.append(mix(grams[-1] * _C1 + h))
+        contexts.append(mix(contexts[-1] * _C1 + h))
+    return grams, contexts
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, whether found) of each key."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _depth(contexts: list[np.ndarray], common_ones: list[np.ndarray]) -> np.ndarray:
+    """Words before that deal an n-gram: the least number that is no common context, or all (and the word itself)."""
+    depth = np.ones(len(contexts[0]), np.int8)
+    for m in range(1, len(contexts)):
+        deeper = (depth == m) & _find(common_ones[m], contexts[m])[1]
+        depth[deeper] = m + 1
+    return depth
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return ((mix(h) >> U64(32)) % U64(n)).astype(np.int64)
 
 
-def score(docs: DataFrame, held_out, k: int = 5, beyond: float = 0.1, waves: int = 2, chunk_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(grams: list[np.ndarray], contexts: list[np.ndarray], depth: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each n-gram."""
+    h = grams[-1].copy()
+    for m in range(1, len(contexts)):
+        h = np.where(depth == m, contexts[m], h)
+    return _bucket(h, n)
+
+
+def _compact(names: np.ndarray, cols: list[np.ndarray]) -> list[np.ndarray]:
+    """[the names that the columns use, the columns over these]."""
+    used, at = np.unique(np.concatenate(cols), return_inverse=True)
+    return [names[used], *(x.astype(np.uint32) for x in np.split(at, len(cols)))]
+
+
+def _merged(messages: list[list[np.ndarray]], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of several (names, columns, counts), with the sum of their counts, in order of (before, word, further before)."""
+    names, at = np.unique(np.concatenate([x[0] for x in messages]), return_inverse=True)
+    base = np.cumsum([0] + [len(x[0]) for x in messages])
+    cols = [np.concatenate([at[b + x[1 + i]] for x, b in zip(messages, base)]) for i in range(order)]
+    n = np.concatenate([x[1 + order] for x in messages]).astype(np.int64)
+    key = _key([cols[1], cols[0], *cols[2:]] if order > 1 else cols, len(names))
+    by = np.argsort(key)
+    first = _runs(key[by])
+    return names, [c[by[first]] for c in cols], np.add.reduceat(n[by], first)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its rows without it) of rows sorted by bucket, the first column."""
+    now, held = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for bucket, *rest in zip(*cols):
+            if held and bucket != now:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(tuple(rest))
+    if held:
+        yield now, held
+
+
+def _value(col: Column, d: np.ndarray) -> Column:
+    """kept() as a Column of a count column."""
+    factor = F.when(col <= len(d) - 1, F.element_at(F.array(*[F.lit(float(x)) for x in d]), (F.least(col, F.lit(len(d) - 1)) + 1).cast("int"))).otherwise(1.0)
+    return factor * col
+
+
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2, chunk_bytes: int = 10 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
+    id_list = pa.list_(to_arrow_type(docs.schema[id_col].dataType))
     body = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.xxhash64(F.col(id_col), body).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), body.alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4, parts * 2 // 3)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
+    share = 1 / (8 * buckets)  # of all tokens: more makes a context common
 
-    # 1. Unigrams.
+    # 1. Unigrams, and contexts that may be common: a context with that share of all tokens has it in some chunk.
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, held, w, _, row in _tokens(batches, chunk_bytes):
-            words, n = np.unique(w[~held[row]], return_counts=True)
-            at = _bucket(words, parts)
-            order = np.argsort(at, kind="stable")
-            words, n, at = words[order], n[order].astype(np.int64), at[order]
-            cut = _runs(at)
-            if len(cut):
-                yield pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array([pack(x, y) for x, y in zip(np.split(words, cut[1:]), np.split(n, cut[1:]))], pa.binary())], ["bucket", "data"])
+        for _, _, held, w, row in _tokens(batches, chunk_bytes):
+            names, cols = _words(w, row, order)
+            n = np.bincount(cols[0][~held[row]], minlength=len(names))[:-1]
+            seen = np.flatnonzero(n)
+            at = _bucket(names[seen], buckets)
+            by = np.argsort(at, kind="stable")
+            cut = _runs(at[by])
+            out = [(0, int(at[by[a]]), pack(names[seen[by[a:b]]], n[seen[by[a:b]]].astype(np.uint32))) for a, b in zip(cut, [*cut[1:], len(by)])]
+            some, level = np.arange(len(w)), 1
+            counts = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+            while level < order and len(some):
+                part = [c[some] for c in cols[: level + 1]]
+                _, same, times = np.unique(_key(part[1:], len(names)), return_inverse=True, return_counts=True)
+                often = times >= max(1, share * len(w))
+                some = some[often[same]]
+                if len(some):
+                    x = _chains(names, [c[some] for c in cols[: level + 1]])[1][level]
+                    found, times = np.unique(x, return_counts=True)
+                    counts = [np.concatenate(p) for p in zip(counts, (found, times.astype(np.uint32), np.full(len(found), level, np.uint32)))]
+                level += 1
+            out.append((1, -1, pack(*counts, np.array([len(w)], np.int64))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "data"])
 
     def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(b) for batch in batches for b in batch.column(0).to_pylist()]
-        if got:
-            words, n = _counted(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
-            for a in range(0, len(words), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["word", "n"])
+        for _, rows in _by_bucket(batches):
+            got = [unpack(r[0]) for r in rows]
+            names, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([x[1] for x in got])).round().astype(np.int64)
+            for a in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["key", "n"])
+
+    def open_reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                x, times, level, tokens = unpack(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(level, 0).astype(np.int32)), pa.array(np.append(x.view(np.int64), 0)), pa.array(np.append(times, tokens).astype(np.int64))], ["level", "x", "n"])
 
-    unigrams = source.mapInArrow(count_words, "bucket int, data binary").repartition(parts, "bucket").select("data").mapInArrow(add_words, "word long, n long")
+    first = common.stored(source.mapInArrow(count_words, "kind int, bucket int, data binary"), "katz-words", "kind")
+    unigrams = first.where("kind = 0").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add_words, "key long, n long")
     unigrams = common.stored(unigrams, "katz-unigrams")
-    sums = unigrams.agg(F.sum("n"), F.count(F.lit(1)), *[F.sum((F.col("n") == r).cast("long")) for r in range(1, k + 2)]).first()
-    total, distinct = sums[0] or 0, sums[1]
-    n1 = [0.0] + [float(x or 0) for x in sums[2:]]
-    d1 = discounts(n1, k)
-    left = (sum((1 - d1[r]) * r * n1[r] for r in range(1, k + 1)) + beyond * (distinct - sum(n1[1 : k + 1]))) / total if total else 1.0
-    common_from = max(2, -(-total // (8 * parts)))
-    hot = {r["word"]: r["n"] for r in unigrams.where(F.col("n") >= common_from).collect()}  # 8 * parts words at most
-    hot_words = np.sort(np.array(list(hot), np.int64).view(np.uint64))
-    hot_counts = np.array([hot[int(x)] for x in hot_words.view(np.int64)], np.int64)
-    trained = hot.get(int(np.array([END]).view(np.int64)[0]))
-    if trained is None:
-        found = unigrams.where(F.col("word") == int(np.array([END]).view(np.int64)[0])).first()
-        trained = found["n"] if found else 0
-    log_bos = float(np.log10(trained)) if trained else 0.0
-    hot_counts_of = spark.sparkContext.broadcast((hot_words, hot_counts))
-
-    def is_hot(h: np.ndarray) -> np.ndarray:
-        words = hot_counts_of.value[0]
-        if not len(words):
-            return np.zeros(len(h), bool)
-        return words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h
-
-    # 2. Tokens to the buckets of their words.
-    def deal(wave: int):
+    reports = first.where("kind = 1").select("data").mapInArrow(open_reports, "level int, x long, n long").groupBy("level", "x").agg(F.sum("n").alias("n"))
+    reports = common.stored(reports, "katz-reports")
+    tokens = reports.where("level = 0").agg(F.sum("n")).first()[0] or 0
+    found = reports.where(f"level > 0 and n >= {share * tokens}").collect()  # at most 8 a bucket and level
+    often = [np.sort(np.array([r["x"] for r in found if r["level"] == m], np.int64).view(np.uint64)) for m in range(order)]
+    common.discard(first)
+    common.free_shuffles(spark)
+    classes = lambda col: [F.sum((F.col(col) == r).cast("long")).alias(f"c{r}") for r in range(1, k + 2)]
+    sums = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), *classes("n")).first()
+    total, distinct = sums["n"] or 0, sums["v"]
+    counts_of = {0: np.array([0] + [sums[f"c{r}"] or 0 for r in range(1, k + 2)], np.int64)}
+    shared_often = spark.sparkContext.broadcast(often)
+
+    # 2. N-grams of all texts with their training counts, to their buckets; those of common contexts by themselves, too.
+    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = shared_often.value
+        for _, _, held, w, row in _tokens(batches, chunk_bytes):
+            names, cols = _words(w, row, order)
+            key = _key([*cols[1:2], cols[0], *cols[2:]], len(names))
+            by = np.argsort(key)
+            start = _runs(key[by])
+            n = np.add.reduceat((~held[row])[by].astype(np.int64), start)
+            cols = [c[by[start]] for c in cols]
+            grams, contexts = _chains(names, cols)
+            depth = _depth(contexts, ones)
+            out = []
+
+            def deal(level: int, at: np.ndarray, parts: list[np.ndarray], n: np.ndarray) -> None:
+                by = np.argsort(at, kind="stable")
+                cut = _runs(at[by])
+                for a, b in zip(cut, [*cut[1:], len(by)]):
+                    mine = by[a:b]
+                    out.append((level, int(at[mine[0]]), pack(*_compact(names, [p[mine] for p in parts]), n[mine].astype(np.uint32))))
+
+            deal(0, _dealt(grams, contexts, depth, buckets), cols, n)
+            for m in range(1, order):
+                mine = np.flatnonzero((depth > m) & (n > 0))
+                if len(mine):
+                    parts = [c[mine] for c in cols[: m + 1]]
+                    _, one, same = np.unique(grams[m][mine], return_index=True, return_inverse=True)
+                    deal(m, _bucket(grams[m][mine[one]], buckets), [p[one] for p in parts], np.bincount(same, n[mine]).round().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "level", "data"])
+
+    TABLE = ["kind", "bucket", "key", "n", "ctx", "lower", "data"]
+    KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows_of(kind: int, bucket: int, m: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), *(pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in zip(TABLE[2:], KINDS[2:]))], TABLE)
+
+    def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = shared_often.value
+        for bucket, rows in _by_bucket(batches):
+            for level in range(order):
+                got = [unpack(data) for l, data in rows if l == level]
+                if not got:
+                    continue
+                names, cols, n = _merged(got, level + 1 if level else order)
+                del got
+                grams, contexts = _chains(names, cols)
+                if level:  # n-grams of common contexts: all of each is here
+                    signed = lambda x: x.view(np.int64)
+                    for a in range(0, len(n), 100_000):
+                        s = slice(a, a + 100_000)
+                        yield rows_of(1 + level, bucket, len(n[s]), key=signed(grams[level][s]), n=n[s], ctx=signed(contexts[level][s]), lower=signed(grams[level - 1][s]))
+                    continue
+                yield rows_of(0, bucket, 1, data=[pack(names, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32))])
+                depth = _depth(contexts, ones)
+                asked = np.unique(np.concatenate([grams[0], *(grams[m][depth > m] for m in range(1, order))])).view(np.int64)
+                for a in range(0, len(asked), 100_000):
+                    yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
+                for m in range(1, order):
+                    start = _runs(_key([cols[1], cols[0], *cols[2 : m + 1]], len(names)))
+                    c = np.add.reduceat(n, start)[depth[start] <= m]
+                    yield rows_of(1 + order, bucket, 1, key=[m], data=[pack(np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2).astype(np.int64))])
+
+    dealt = source.mapInArrow(count_ngrams, "bucket int, level int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tables = common.stored(dealt.mapInArrow(add_ngrams, "kind int, bucket int, key long, n long, ctx long, lower long, data binary"), "katz-ngrams", "kind")
+    del dealt
+    common.free_shuffles(spark)
+    shared = [unigrams] + [tables.where(F.col("kind") == 1 + m).select("key", "n", "ctx", "lower") for m in range(1, order)]
+
+    def add_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([m] * (k + 2), pa.int64()), pa.array(range(k + 2), pa.int32()), pa.array(unpack(data)[0])], ["m", "r", "n"])
+
+    inside = tables.where(F.col("kind") == 1 + order).select("key", "data").mapInArrow(add_plain, "m long, r int, n long").groupBy("m", "r").agg(F.sum("n").alias("n")).collect()
+    for m in range(1, order):
+        outside = shared[m].agg(*classes("n")).first()
+        counts_of[m] = np.array([0] + [outside[f"c{r}"] or 0 for r in range(1, k + 2)], np.int64)
+        for r in inside:
+            if r["m"] == m:
+                counts_of[m][r["r"]] += r["n"]
+    d = [discounts([float(x) for x in counts_of[m]], k) for m in range(order)]
+    given = sum((1 - d[0][r]) * r * counts_of[0][r] for r in range(1, k + 1))
+    denominator, left = (float(x[0]) for x in weights(np.array([total]), np.array([given]), np.zeros(1))) if total else (1.0, 1.0)
+
+    # 3. Sums of common contexts, shortest first: each of their n-grams meets its lower order's count in one join.
+    about: list[tuple] = [None]
+    lower = unigrams.select(F.col("key").alias("lk"), (_value(F.col("n"), d[0]) / denominator).alias("p"))
+    for m in range(1, order):
+        per = shared[m].join(lower, F.col("lower") == F.col("lk")).groupBy("ctx").agg(F.sum("n").alias("c"), F.sum(F.col("n") - _value(F.col("n"), d[m])).alias("g"), F.sum("p").alias("s")).collect() if len(often[m]) else []
+        per = sorted((int(np.array([r["ctx"]], np.int64).view(np.uint64)[0]), r["c"], r["g"], r["s"]) for r in per)  # common contexts only
+        x, c, g, s = (np.array([r[i] for r in per], t) for i, t in enumerate((np.uint64, np.int64, float, float)))
+        under, alpha = weights(c, g, s)
+        about.append((x, under, alpha))
+        known = common.rows(spark, list(zip(x.view(np.int64).tolist(), under.astype(float).tolist())), "x long, under double")
+        lower = shared[m].join(F.broadcast(known), F.col("ctx") == F.col("x")).select(F.col("key").alias("lk"), (_value(F.col("n"), d[m]) / F.col("under")).alias("p"))  # 8 a bucket at most
+
+    # 4. What buckets ask for: counts of their words, and of n-grams of common contexts.
+    have = shared[0].select(F.col("key").alias("k2"), "n")
+    for m in range(1, order):
+        have = have.unionByName(shared[m].select(F.col("key").alias("k2"), "n"))
+
+    def pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, key, n = (batch.column(i).to_numpy() for i in range(3))
+            by = np.argsort(bucket, kind="stable")
+            cut = _runs(bucket[by])
+            parts = [by[a:b] for a, b in zip(cut, [*cut[1:], len(by)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[by][cut]), pa.array([pack(key[p], n[p]) for p in parts], pa.binary())], ["bucket", "data"])
+
+    asked = tables.where("kind = 1").select("bucket", "key").join(have, F.col("key") == F.col("k2")).select("bucket", "key", "n")
+    answers = common.stored(asked.repartition(buckets, "bucket").mapInArrow(pack_answers, "bucket int, data binary"), "katz-answers")
+    common.discard(tables, "kind=1")
+    common.free_shuffles(spark)
+    model = spark.sparkContext.broadcast((d, about, denominator, left))
+
+    # 5. Tokens to the buckets of their n-grams.
+    def deal_tokens(wave: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for keys, ids, held, w, c, row in _tokens(batches, chunk_bytes):
+            ones = shared_often.value
+            for keys, ids, held, w, row in _tokens(batches, chunk_bytes):
                 with np.errstate(over="ignore"):
                     chunk = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64) + np.arange(1, len(keys) + 1, dtype=np.uint64) * _C1)) + U64(len(w))], np.uint64)).view(np.int64)[0])
                 out = []
                 if wave == 0:
-                    counts = np.bincount(row, minlength=len(keys))
-                    out.append((-1, b"", pack(keys, held.astype(np.uint8), counts.astype(np.uint32)), ids))
-                salted = np.where(is_hot(w), w + c * _C1, w)
-                at = _bucket(salted, parts * waves)
+                    out.append((-1 - chunk % buckets, 3, chunk, pack(keys, held.astype(np.uint8), np.bincount(row, minlength=len(keys)).astype(np.uint32)), ids.to_pylist()))
+                names, cols = _words(w, row, order)
+                key = _key([*cols[1:2], cols[0], *cols[2:]], len(names))
+                by = np.argsort(key, kind="stable")  # rows ascend in each n-gram
+                start = _runs(key[by])
+                times = np.diff([*start, len(by)])
+                cols = [c[by[start]] for c in cols]
+                grams, contexts = _chains(names, cols)
+                at = _dealt(grams, contexts, _depth(contexts, ones), buckets)
+                sorted_rows = row[by]
                 mine = np.flatnonzero(at % waves == wave)
-                order = mine[np.lexsort((c[mine], w[mine], at[mine]))]
-                at_s, w_s, c_s, row_s = at[order], w[order], c[order], row[order]
-                cut = _runs(at_s)
-                for a, b in zip(cut, [*cut[1:], len(order)]):
-                    ww, cc = w_s[a:b], c_s[a:b]
-                    first = _runs(ww)
-                    names, idx = np.unique(cc, return_inverse=True)
-                    out.append((int(at_s[a]) // waves, pack(held.astype(np.uint8), ww[first], np.diff([*first, b - a]).astype(np.uint32), names, idx.astype(np.uint32), row_s[a:b].astype(np.uint32)), None, None))
-                for bucket, tokens, about, own in out:
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([tokens if own is None else None], pa.binary()), pa.array([about], pa.binary()), pa.array([own.to_pylist() if own is not None else None], pa.list_(ids.type))], ["bucket", "chunk", "tokens", "about", "ids"])
+                mine = mine[np.argsort(at[mine], kind="stable")]
+                cut = _runs(at[mine])
+                for a, b in zip(cut, [*cut[1:], len(mine)]):
+                    g = mine[a:b]
+                    size = times[g]
+                    spots = np.repeat(start[g] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                    gram, r = np.repeat(np.arange(len(g)), size), sorted_rows[spots]
+                    one = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (r[1:] != r[:-1])]))
+                    data = pack(*_compact(names, [c[g] for c in cols]), np.bincount(gram[one], minlength=len(g)).astype(np.uint32), r[one].astype(np.uint32), np.diff([*one, len(r)]).astype(np.uint32))
+                    out.append((int(at[g[0]]), 2, chunk, data, None))
+                    if len(out) >= 64:
+                        yield message(out)
+                        out = []
+                if out:
+                    yield message(out)
 
         return run
 
-    dealt_schema = f"bucket int, chunk long, tokens binary, about binary, ids array<{id_kind}>"
+    def message(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), id_list))], ["bucket", "kind", "chunk", "data", "ids"])
+
+    schema = f"bucket int, kind int, chunk long, data binary, ids array<{id_kind}>"
+
+    def evaluated(table: list[np.ndarray], answered: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(sorted n-gram hashes, log10 p, log10 (c + 0.5), known) of a bucket's distinct n-grams."""
+        d, about, denominator, left = model.value
+        names, cols, n = table[0], [c.astype(np.int64) for c in table[1 : 1 + order]], table[1 + order].astype(np.int64)
+        keys = np.concatenate([x[0] for x in answered]) if answered else np.zeros(0, np.int64)
+        keys = keys.view(np.uint64)
+        by = np.argsort(keys)
+        keys, values = keys[by], (np.concatenate([x[1] for x in answered]) if answered else np.zeros(0, np.int64))[by]
+
+        def counted(x: np.ndarray) -> np.ndarray:
+            at, found = _find(keys, x)
+            return np.where(found, values[at], 0) if len(values) else np.zeros(len(x), np.int64)
+
+        grams, contexts = _chains(names, cols)
+        depth = _depth(contexts, shared_often.value)
+        c = counted(grams[0])
+        base, known = np.log10(c + 0.5), c > 0
+        p = np.where(known, kept(c, d[0]) / denominator, left)
+        for m in range(1, order):
+            start = _runs(_key([cols[1], cols[0], *cols[2 : m + 1]], len(names)))
+            group = np.repeat(np.arange(len(start)), np.diff([*start, len(n)]))
+            # One entry for each n-gram of m words before; these have one lower-order value.
+            x, low, own = contexts[m][start], p[start], depth[start] <= m
+            count = np.add.reduceat(n, start)
+            if not own.all():
+                count[~own] = counted(grams[m][start[~own]])
+            under, alpha = np.zeros(len(start)), np.ones(len(start))
+            hot_x, hot_under, hot_alpha = about[m]
+            at, found = _find(hot_x, x)
+            found &= ~own
+            under[found], alpha[found] = hot_under[at[found]], hot_alpha[at[found]]
+            mine = np.flatnonzero(own)
+            ctx, back = np.unique(x[mine], return_inverse=True)
+            total_of = np.bincount(back, count[mine], len(ctx))
+            lost = np.bincount(back, count[mine] - kept(count[mine], d[m]), len(ctx))
+            below = np.bincount(back, np.where(count[mine] > 0, low[mine], 0.0), len(ctx))
+            u, a = weights(total_of, lost, below)
+            trained = total_of > 0
+            under[mine], alpha[mine] = np.where(trained, u, 0.0)[back], np.where(trained, a, 1.0)[back]
+            value = np.where(count > 0, kept(count, d[m]) / np.maximum(under, 1.0), np.where(under > 0, alpha, 1.0) * low)
+            p = value[group]
+        by = np.argsort(grams[-1])
+        return grams[-1][by], np.log10(p)[by], base[by], known[by]
 
-    # 3. In each bucket: counts, local parts of the scores, sums by context, unseen pairs.
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "chunk", "target", "data", "ids"]
-
-        def rows(kind, data, chunk=None, target=None, ids=None):
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), pa.array([target], pa.int32()), pa.array([data], pa.binary()), ids if ids is not None else pa.nulls(1, id_list)], names)
-
-        got = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(2)[i].is_valid:
-                    got.append((batch.column(1)[i].as_py(), unpack(batch.column(2)[i].as_py())))
-                else:
-                    yield rows(0, batch.column(3)[i].as_py(), batch.column(1)[i].as_py(), None, batch.column(4).slice(i, 1))
-        if not got:
-            return
-        vocab, inverse = np.unique(np.concatenate([x[1][1] for x in got]), return_inverse=True)
-        w = np.repeat(inverse.astype(np.int32), np.concatenate([x[1][2] for x in got]))
-        h = np.concatenate([x[1][3][x[1][4]] for x in got])
-        trains = np.concatenate([x[1][0][x[1][5]] == 0 for x in got])
-        got = [(chunk, len(x[0]), x[5]) for chunk, x in got]  # chunk, its rows, row of each token
-        n = np.bincount(w[trains], minlength=len(vocab))
-        words, counts = hot_counts_of.value
-        if len(words):
-            at = np.minimum(np.searchsorted(words, vocab), len(words) - 1)
-            n = np.where(words[at] == vocab, counts[at], n)
-        with np.errstate(divide="ignore"):
-            p = np.where(n > 0, (n - given_up(np.maximum(n, 1), d1, beyond)) / max(total, 1), left)
-            log_p, log_c, base = np.log10(p), np.where(n > 0, np.log10(np.maximum(n, 1)), 0.0), np.log10(n + 0.5)
-        log_c[vocab == END] = 0.0
-        pair = mix(h * _C1 + vocab[w] * _C2)
-        order = np.argsort(pair)
-        pair = pair[order]
-        at = _runs(pair)
-        c = np.add.reduceat(trains[order].astype(np.int64), at)
-        seen = np.empty(len(w), np.int32)
-        seen[order] = np.repeat(c, np.diff([*at, len(pair)]))
-        head = order[at][c > 0]  # one token of each trained pair
-        c = c[c > 0]
-        del pair, order, at, trains
-        part = np.where(seen > k, np.log10(np.maximum(seen, 1) - beyond), np.where(seen > 0, 0.0, log_p[w])) - log_c[w]
-        a = 0
-        for chunk, m, row in got:
-            b = a + len(row)
-            s = seen[a:b]
-            classes = np.bincount((row.astype(np.int64) * k + s - 1)[(s > 0) & (s <= k)], minlength=m * k)
-            yield rows(1, pack(np.bincount(row, part[a:b], m), np.bincount(row, base[w[a:b]], m), np.bincount(row, n[w[a:b]] > 0, m).astype(np.uint32), classes.astype(np.uint32)), chunk)
-            a = b
-        yield rows(3, pack(np.array([(c == r).sum() for r in range(k + 2)], np.int64)))
-        by_word = np.lexsort((h[head], w[head]))
-        yield rows(5, pack(vocab, np.bincount(w[head], minlength=len(vocab)).astype(np.uint32), h[head][by_word], c[by_word].astype(np.uint32)))
-
-        # Sums by context: S and the pairs by count class (0: above k).
-        ctx, back = np.unique(h[head], return_inverse=True)
-        s_sum = np.bincount(back, p[w[head]], len(ctx))
-        cls = np.where(c > k, 0, c)
-        m = np.bincount(back * (k + 1) + cls, minlength=len(ctx) * (k + 1)).astype(np.uint32)
-        del part, back, cls
-        warm = is_hot(ctx)
-        if warm.any():
-            yield rows(4, pack(ctx[warm], s_sum[warm], m.reshape(-1, k + 1)[warm].ravel()))
-        where = _bucket(ctx, parts)
-        unseen = np.flatnonzero(seen == 0)
-        which = np.repeat(np.arange(len(got)), [len(x[2]) for x in got])[unseen]
-        row = np.concatenate([x[2] for x in got])[unseen]
-        chunks = np.array([x[0] for x in got], np.int64)
-        uh = h[unseen]
-        to = np.where(is_hot(uh), _bucket(chunks.view(np.uint64)[which] if len(which) else uh, parts), _bucket(uh, parts))
-        for t in range(parts):
-            x = np.flatnonzero((where == t) & ~warm)
-            y = np.flatnonzero(to == t)
-            y = y[np.lexsort((uh[y], which[y]))]
-            if len(x) or len(y):
-                yield rows(2, pack(ctx[x], s_sum[x], m.reshape(-1, k + 1)[x].ravel(), chunks, which[y].astype(np.uint32), uh[y], row[y].astype(np.uint32)), None, t)
+        for _, rows in _by_bucket(batches):
+            table = [unpack(x[2]) for x in rows if x[0] == 0]
+            if table:
+                found, log_p, base, known = evaluated(table[0], [unpack(x[2]) for x in rows if x[0] == 1])
+                del table
+            out = []
+            for kind, chunk, data, ids in rows:
+                if kind == 3:
+                    out.append((0, 3, chunk, data, ids))
+                if kind == 2:
+                    names, *cols, size, row, times = unpack(data)
+                    cols = [c.astype(np.int64) for c in cols]
+                    at = np.repeat(np.searchsorted(found, _chains(names, cols)[0][-1]), size)
+                    some, back = np.unique(row, return_inverse=True)
+                    out.append((0, 2, chunk, pack(some, np.bincount(back, log_p[at] * times), np.bincount(back, base[at] * times), np.bincount(back, known[at] * times).astype(np.uint32)), None))
+                if len(out) >= 64:
+                    yield message(out)
+                    out = []
+            if out:
+                yield message(out)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_list = pa.list_(to_arrow_type(docs.schema[id_col].dataType))
     stages = []
+    stored_model = tables.where("kind = 0").select("bucket", "kind", F.lit(None).cast("long").alias("chunk"), "data", F.lit(None).cast(f"array<{id_kind}>").alias("ids"))
+    stored_model = stored_model.unionByName(answers.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("chunk"), "data", F.lit(None).cast(f"array<{id_kind}>").alias("ids")))
     for wave in range(waves):
-        dealt = source.mapInArrow(deal(wave), dealt_schema).repartition(parts, "bucket")
-        stages.append(common.stored(dealt.mapInArrow(in_bucket, f"kind int, chunk long, target int, data binary, ids array<{id_kind}>"), "katz-bigrams", "kind"))
-        del dealt
+        moved = source.mapInArrow(deal_tokens(wave), schema).unionByName(stored_model.where(F.col("bucket") % waves == wave))
+        moved = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        stages.append(common.stored(moved.mapInArrow(in_bucket, schema), "katz-sums"))
+        del moved
         common.free_shuffles(spark)
-    both = stages[0]
-    for x in stages[1:]:
-        both = both.unionByName(x)
-    kind = lambda i: both.where(F.col("kind") == i)
-
-    # 4. Discounts of pairs; the contexts that are common words.
-    def add_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(b)[0] for batch in batches for b in batch.column(0).to_pylist()]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.sum(got, axis=0).tolist(), pa.int64()), pa.array(range(k + 2), pa.int32())], ["n", "r"])
-
-    n2 = {r["r"]: r["n"] for r in kind(3).select("data").mapInArrow(add_plain, "n long, r int").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    d2 = discounts([float(n2.get(r, 0)) for r in range(k + 2)], k)
-    weight = np.array([beyond] + [(1 - d2[r]) * r for r in range(1, k + 1)])  # given up by a pair of each class
-
-    def combine(ctx: np.ndarray, s: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        names, back = np.unique(ctx, return_inverse=True)
-        return names, np.bincount(back, s, len(names)), np.bincount(back, m.reshape(-1, k + 1) @ weight, len(names))
-
-    def add_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(b) for batch in batches for b in batch.column(0).to_pylist()]
-        if got:
-            names, s, g = combine(*(np.concatenate([x[i] for x in got]) for i in range(3)))
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(s), pa.array(g)], ["word", "s", "g"])
-
-    warm = kind(4).select("data").mapInArrow(add_hot, "word long, s double, g double").groupBy("word").agg(F.sum("s").alias("s"), F.sum("g").alias("g")).collect()
-    warm = sorted((int(np.array([r["word"]], np.int64).view(np.uint64)[0]), r["s"], r["g"]) for r in warm)  # common words only
-    shared = spark.sparkContext.broadcast((np.array([x[0] for x in warm], np.uint64), np.array([x[1] for x in warm]), np.array([x[2] for x in warm])))
-
-    # 5. Unseen pairs at their contexts.
-    def in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(b) for batch in batches for b in batch.column(0).to_pylist()]
-        if not got:
-            return
-        names, s, g = combine(*(np.concatenate([x[i] for x in got] + [extra]) for i, extra in zip(range(3), (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint32)))))
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(names, s, g)], pa.binary())], ["kind", "chunk", "data"])
-        hot_names, hot_s, hot_g = shared.value
-        names, s, g = np.concatenate([names, hot_names]), np.concatenate([s, hot_s]), np.concatenate([g, hot_g])
-        order = np.argsort(names)
-        names, add = names[order], (np.log10(g) - np.log10(np.maximum(1 - s, 1e-300)))[order]
-        sums: dict[int, list] = {}
-        for _, _, _, chunks, which, uh, row in got:
-            if not len(uh) or not len(names):
-                continue
-            at = np.minimum(np.searchsorted(names, uh), len(names) - 1)
-            value = np.where(names[at] == uh, add[at], 0.0)
-            for a, b in zip((cut := _runs(which)), [*cut[1:], len(which)]):
-                rows, back = np.unique(row[a:b], return_inverse=True)
-                sums.setdefault(int(chunks[which[a]]), []).append((rows, np.bincount(back, value[a:b], len(rows))))
-        for chunk, found in sums.items():
-            rows, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([6], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(rows, np.bincount(back, np.concatenate([x[1] for x in found]), len(rows)))], pa.binary())], ["kind", "chunk", "data"])
-
-    contexts = common.stored(kind(2).select("target", "data").repartition(parts, "target").select("data").mapInArrow(in_context, "kind int, chunk long, data binary"), "katz-contexts", "kind")
-    common.free_shuffles(spark)
+    common.discard(tables)
+    common.discard(answers)
 
     # 6. One total for each row.
-    log_d = np.array([0.0] + [np.log10(r * d2[r]) for r in range(1, k + 1)])
-
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        about: dict[int, list[tuple]] = {}
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                what, chunk, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), unpack(batch.column(2)[i].as_py())
-                if what == 0:
-                    about.setdefault(chunk, []).append((*data, batch.column(3)[i].values))
-                    continue
-                if what == 6:
-                    score, base, known = np.bincount(data[0], data[1]), np.zeros(1), np.zeros(1)
-                else:
-                    score = data[0] + data[3].reshape(-1, k) @ log_d[1:]
-                    base, known = data[1], data[2].astype(float)
-                held = sums.setdefault(chunk, [])
-                held.append((score, base, known))
-                if len(held) > 1:
-                    sums[chunk] = [tuple(_plus(x, y) for x, y in zip(*held))]
-        for chunk, equal in about.items():
+        for chunk, rows in _by_bucket(batches):
+            equal = [(*unpack(data), ids) for kind, data, ids in rows if kind == 3]
             keys, held_flag, count, _ = equal[0]
-            m = len(keys)
-            score, base, known = (_plus(x, np.zeros(m)) / len(equal) for x in sums[chunk][0])  # equal chunks share an id
+            score, base, known = (np.zeros(len(keys)) for _ in range(3))
+            for kind, data, _ in rows:
+                if kind == 2:
+                    some, *parts = unpack(data)
+                    for x, part in zip((score, base, known), parts):
+                        x[some] += part
+            score, base, known = score / len(equal), base / len(equal), known / len(equal)  # equal chunks share an id
             base = base - count * np.log10(total + 0.5 * (distinct + 1))
             for *_, ids in equal:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(score - log_bos)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    last = kind(0).unionByName(kind(1)).select("kind", "chunk", "data", "ids")
-    last = last.unionByName(contexts.where("kind = 6").select("kind", "chunk", "data", F.lit(None).cast(f"array<{id_kind}>").alias("ids")))
-    return last.repartition(parts, "chunk").mapInArrow(total_up, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_list.value_type), pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-
-def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    if len(x) < len(y):
-        x, y = y, x
-    out = x.copy()
-    out[: len(y)] += y
-    return out
+    last = stages[0]
+    for x in stages[1:]:
+        last = last.unionByName(x)
+    last = last.select("chunk", "kind", "data", "ids").repartition("chunk").sortWithinPartitions("chunk")
+    return last.mapInArrow(total_up, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
