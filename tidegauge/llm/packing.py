@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,61 +23,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import U64, mix, span_hashes
 
 _loaded: dict = {}
-#: The pre-token pattern of byte_bpe_50k.json.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTER, _NUMBER, _OTHER, _SPACE, _UNSEEN = range(5)
 
 
 class Encoder:
-    """texts -> lists of ids of a byte-level tokenizers file, without special tokens added.
+    """texts -> arrays of ids of a byte-level tokenizers file, without special tokens added.
 
     Pre-tokens do not touch each other in byte-level BPE, so the library encodes each distinct one once and its ids are kept,
-    `most` of them at a time. A text with the string of a special token goes to the library whole.
+    about `most` of them at a time. Pre-tokens are cut for whole arrays of code points and told apart by 64-bit hashes. A text with
+    the string of a special token goes to the library whole.
     """
 
-    def __init__(self, path: str | None = None, most: int = 200_000):
+    def __init__(self, path: str | None = None, most: int = 400_000):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cut, self.most, self.have = regex.compile(PIECES).findall, most, {}
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for group in self._groups(texts):
-            found = [None if any(s in t for s in self.special) else self.cut(t) for t in group]
-            if len(self.have) > self.most:
-                self.have.clear()
-            self._learn({p for pieces in found if pieces for p in pieces if p not in self.have})
-            for text, pieces in zip(group, found):
-                if pieces is None:
-                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-                else:
-                    yield np.fromiter(chain.from_iterable(map(self.have.__getitem__, pieces)), "<u4")
-
-    @staticmethod
-    def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+        self.kinds, self.most = np.full(0x110000, _UNSEEN, np.uint8), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def __call__(self, texts: list[str], group: int = 1 << 21) -> Iterator[np.ndarray]:
         held, size = [], 0
         for t in texts:
             held.append(t)
             size += len(t)
-            if size >= most:
-                yield held
+            if size >= group:
+                yield from self._encode(held)
                 held, size = [], 0
         if held:
-            yield held
-
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = list(pieces)
-        if fresh:
-            one = self.whole.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            ids, ends = one.ids, np.cumsum(np.bincount(np.array(one.word_ids), minlength=len(fresh))).tolist()
-            a = 0
-            for p, b in zip(fresh, ends):
-                self.have[p] = tuple(ids[a:b])
-                a = b
+            yield from self._encode(held)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [any(s in t for s in self.special) for t in texts]
+        flat = "".join("" if o else t for o, t in zip(odd, texts))
+        points = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+        offsets = np.cumsum([0] + [0 if o else len(t) for o, t in zip(odd, texts)])
+        starts = self._cut(points, offsets)
+        ends = np.append(starts[1:], len(points))
+        keys, first, back = np.unique(span_hashes(lambda lo, hi: mix(points[lo:hi].astype(U64)), starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._forget()
+        near = np.searchsorted(self.keys, keys)
+        fresh = np.flatnonzero(np.append(self.keys, U64(0))[near] != keys)
+        if len(fresh):
+            self._learn(keys[fresh], [flat[a:b] for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())])
+        slot = np.searchsorted(self.keys, keys)[back]
+        size = self.size[slot]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[slot] - upto[:-1], size) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(starts, offsets)]
+        for text, o, a, b in zip(texts, odd, bounds, bounds[1:]):
+            yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4") if o else ids[a:b]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        one = self.whole.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        size = np.bincount(np.array(one.word_ids, np.int64), minlength=len(pieces))
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.array(one.ids, "<u4")])
+        keys = np.concatenate([self.keys, keys])
+        by = np.argsort(keys)
+        self.keys, self.at, self.size = keys[by], np.concatenate([self.at, at])[by], np.concatenate([self.size, size])[by]
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        found = self.kinds[points]
+        if (found == _UNSEEN).any():
+            import regex
+
+            for c in np.unique(points[found == _UNSEEN]).tolist():
+                self.kinds[c] = next((k for k, p in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\p{White_Space}")) if regex.match(p, chr(c))), _OTHER)
+            found = self.kinds[points]
+        return found
+
+    def _cut(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the file's pre-tokens start: a contraction, or a run of letters, numbers or others with the blank before it,
+        or a run of white space less its last character where more text follows."""
+        n = len(points)
+        if not n:
+            return np.zeros(0, np.int64)
+        kind = self._kinds(points)
+        row = np.zeros(n + 1, bool)
+        row[offsets] = True
+        new = row[:n].copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], n)
+        follows = ~row[end]  # more of the same text
+        starts = new.copy()
+        space = (kind[at] == _SPACE) & follows
+        starts[end[space] - 1] = True
+        starts[end[space & (points[end - 1] == 32)]] = False
+        mark = np.flatnonzero((points[at] == 39) & (end - at == 1) & starts[at] & follows)
+        mark = mark[kind[end[mark]] == _LETTER]
+        if len(mark):
+            a, z = end[mark], end[mark + 1]  # the letters after the apostrophe
+            one, two = points[a], np.where(z - a > 1, points[np.minimum(a + 1, n - 1)], 0)
+            is_ = lambda *cs: np.isin(one, [ord(c) for c in cs])
+            size = np.where(is_("s", "t", "m", "d"), 1, np.where((is_("r", "v") & (two == ord("e"))) | (is_("l") & (two == ord("l"))), 2, 0))
+            starts[a[size > 0]] = False
+            rest = (size > 0) & (a + size < z)
+            starts[(a + size)[rest]] = True
+        return np.flatnonzero(starts)
 
 
 def encoder(path: str | None = None) -> Encoder:

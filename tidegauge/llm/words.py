@@ -70,19 +70,23 @@ class Text:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each word; polynomial over bytes, taken from prefix sums in blocks."""
-        out = np.empty(len(starts), np.uint64)
-        block, a = 1 << 21, 0
-        while a < len(starts):
-            lo = starts[a]
-            b = max(a + 1, int(np.searchsorted(ends, lo + block)))
-            hi = ends[b - 1]
-            raw = _BYTE[LOWER[self.buf[lo:hi]]]
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(raw * _power(_BASE, len(raw)), out=sums[1:])
-            s, e = starts[a:b] - lo, ends[a:b] - lo
-            out[a:b] = (sums[e] - sums[s]) * _power(_INV, len(raw) + 1)[s] + (e - s).astype(np.uint64) * _MUL[0]
-            a = b
-        return mix(out)
+        return span_hashes(lambda lo, hi: _BYTE[LOWER[self.buf[lo:hi]]], starts, ends)
+
+
+def span_hashes(values, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [start, end), spans ascending; values(lo, hi): 64-bit numbers of the places from lo to hi."""
+    out = np.empty(len(starts), np.uint64)
+    block, a = 1 << 21, 0
+    while a < len(starts):
+        lo = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, lo + block)))
+        hi = ends[b - 1]
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values(lo, hi) * _power(_BASE, hi - lo), out=sums[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = (sums[e] - sums[s]) * _power(_INV, hi - lo + 1)[s] + (e - s).astype(np.uint64) * _MUL[0]
+        a = b
+    return mix(out)
 
 
 def texts(batches: Iterator[pa.RecordBatch], text: str = "text", ids: str | None = None, most: int = 4 << 20) -> Iterator[Text]:
