@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .words import SPACE, Text, U64, grams, mix, texts
+from .words import SPACE, Text, U64, distinct, grams, mix, texts
 
 SKETCH = 1 << 20
 SLICES = 64
@@ -40,7 +40,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, ids: str | None) -> Iterato
     for chunk in texts(batches, "text", ids):
         starts, ends, first = chunk.words(SPACE)
         g, at = grams(chunk.hashes(starts, ends), first, n)
-        yield chunk.ids, [np.unique(g[a:b]) for a, b in zip(at[:-1], at[1:])]
+        yield chunk.ids, [distinct(g[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 def _unsqueezed(z: bytes, n: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def _unsqueezed(z: bytes, n: int) -> np.ndarray:
     text = pa.Codec("zstd").decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
     one = Text(None, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     starts, ends, first = one.words(SPACE)
-    return np.unique(grams(one.hashes(starts, ends), first, n)[0])
+    return distinct(grams(one.hashes(starts, ends), first, n)[0])
 
 
 def _class_of(s: np.ndarray) -> int:
