@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import LOWER, SPACE, texts
+from .words import LOWER, SPACE, distinct, texts
 
 #: Byte classes: 0 lower, 1 upper, 2 digit, 3 blank, 4 newline, 5 sentence punctuation, 6 other ASCII symbols, 7 non-ASCII
 _CLASS = np.full(256, 6, np.uint8)
@@ -56,7 +56,7 @@ def statistics(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa
             out[i, 10], out[i, 11] = l.mean() / 10, l.std() / 10
             out[i, 12], out[i, 13] = len(counts) / k, counts.max() / k
             out[i, 14] = (w[1:] == w[:-1]).mean() if k > 1 else 0
-            out[i, 15] = len(np.unique(w[1:] * np.uint64(3) + w[:-1])) / (k - 1) if k > 1 else 1
+            out[i, 15] = len(distinct(w[1:] * np.uint64(3) + w[:-1])) / (k - 1) if k > 1 else 1
             out[i, 16], out[i, 17] = symbol[a:b].mean(), caps[a:b].mean()
             out[i, 18], out[i, 19] = (l <= 3).mean(), (l >= 12).mean()
             p = counts / k
