@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import pack, unpack
-from .words import SPACE, U64, mix, texts
+from .words import SPACE, U64, distinct, mix, texts
 
 END, BOS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
@@ -263,7 +263,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
     common.free_shuffles(spark)
     classes = lambda col: [F.sum((F.col(col) == r).cast("long")).alias(f"c{r}") for r in range(1, k + 2)]
     sums = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), *classes("n")).first()
-    total, distinct = sums["n"] or 0, sums["v"]
+    total, vocabulary = sums["n"] or 0, sums["v"]
     counts_of = {0: np.array([0] + [sums[f"c{r}"] or 0 for r in range(1, k + 2)], np.int64)}
     shared_often = spark.sparkContext.broadcast(often)
 
@@ -321,7 +321,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
                     continue
                 yield rows_of(0, bucket, 1, data=[pack(names, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32))])
                 depth = _depth(contexts, ones)
-                asked = np.unique(np.concatenate([grams[0], *(grams[m][depth > m] for m in range(1, order))])).view(np.int64)
+                asked = distinct(np.concatenate([grams[0], *(grams[m][depth > m] for m in range(1, order))])).view(np.int64)
                 for a in range(0, len(asked), 100_000):
                     yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
                 for m in range(1, order):
@@ -515,7 +515,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
                     for x, part in zip((score, base, known), parts):
                         x[some] += part
             score, base, known = score / len(equal), base / len(equal), known / len(equal)  # equal chunks share an id
-            base = base - count * np.log10(total + 0.5 * (distinct + 1))
+            base = base - count * np.log10(total + 0.5 * (vocabulary + 1))
             for *_, ids in equal:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_list.value_type), pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
