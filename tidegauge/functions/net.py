@@ -74,13 +74,47 @@ def clear_bit(value: Column, number: int) -> Column:
 
 
 def v6_hex(text: Column) -> Column:
-    """A v6 address with or without '::' as 32 hex digits; null where it is none."""
-    low = F.lower(text)
-    count = lambda s: F.when(s == "", 0).otherwise(F.size(F.split(s, ":", -1)))
-    head, tail = F.substring_index(low, "::", 1), F.when(F.instr(low, "::") > 0, F.substring_index(low, "::", -1)).otherwise("")
-    missing = 8 - count(head) - count(tail)
-    groups = F.concat(F.when(head == "", F.array().cast("array<string>")).otherwise(F.split(head, ":", -1)), F.when(F.instr(low, "::") > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, ":", -1)))
-    return F.when(low.rlike("^[0-9a-f:]+$") & (F.size(groups) == 8), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    """A v6 address as 32 hex digits; null where it is none. One '::' at most, groups of up to four digits, a dotted end allowed."""
+    low = F.lower(F.trim(text))
+    dotted = F.regexp_extract(low, rf":(({_OCTET}\.){{3}}{_OCTET})$", 1)
+    v4 = ip_number(dotted)
+    group = lambda shift: F.lower(F.hex(F.shiftright(v4, shift).bitwiseAND(65535)))
+    low = F.when(dotted == "", low).otherwise(F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(dotted)), group(16), F.lit(":"), group(0)))
+    well = low.rlike("^[0-9a-f:]+$") & ~low.rlike("[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$")
+    parts = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1))
+    short = F.instr(low, "::") > 0
+    head, tail = parts(F.substring_index(low, "::", 1)), F.when(short, parts(F.substring_index(low, "::", -1))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(head) - F.size(tail)
+    groups = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+    fits = F.when(short, missing >= 1).otherwise(missing == 0)
+    return F.when(well & fits, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def is_v6_host(text: Column) -> Column:
+    return v6_hex(text).isNotNull()
+
+
+def is_zero_v6(hex32: Column) -> Column:
+    return hex32 == "0" * 32
+
+
+def v6_prefix(text: Column) -> Column:
+    """'addr/len' as (net, len) with the bits after len cleared, else null."""
+    length = F.regexp_extract(text, "^[^/]+/([0-9]{1,3})$", 1).try_cast("int")
+    masked = F.concat(*[F.lpad(F.lower(F.hex(masked_part(p, length, i))), 8, "0") for i, p in enumerate(v6_parts(v6_hex(F.substring_index(text, "/", 1))))])
+    return F.when((length <= 128) & masked.isNotNull(), F.struct(masked.alias("net"), length.alias("len")))
+
+
+def v6_parts(hex32: Column) -> list[Column]:
+    """Four numbers of 32 bits each."""
+    return [F.conv(F.substring(hex32, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
+
+
+def masked_part(part: Column, length: Column | int, index: int) -> Column:
+    """The index-th part of an address with the bits after length cleared."""
+    free = F.greatest(F.lit(0), F.least(F.lit(32), 32 * (index + 1) - (F.lit(length) if isinstance(length, int) else length)))
+    size = F.pow(F.lit(2.0), free).cast("long")
+    return part - part % size
 
 
 def v6_text(hex32: Column) -> Column:
@@ -91,11 +125,6 @@ def v6_text(hex32: Column) -> Column:
     return F.when(first == "", full).otherwise(F.concat(F.substring(full, F.lit(1), at - 1), F.lit(":"), F.substring(full, at + F.length(first), F.lit(64))))
 
 
-def v6_bits(hex32: Column) -> Column:
-    """128 characters 0 and 1."""
-    return F.concat(*[F.lpad(F.conv(F.substring(hex32, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(4)])
-
-
 def parse_community(text: Column) -> Column:
     """'a:b' with both parts 0..65535, else null."""
     parts = F.split(text, ":", -1)
@@ -136,3 +165,22 @@ def time_text(at: Column) -> Column:
 def compact_time(at: Column) -> Column:
     """As used in names of files and keys."""
     return F.date_format(at, "dd_MM_yy_HH:mm:ss")
+
+
+def whole_number(text: str) -> int | None:
+    """A setting's value as a whole number, else None."""
+    text = text.strip()
+    return int(text) if text.lstrip("+-").isdigit() else None
+
+
+def split_url(url: str) -> tuple[str, str, int, str] | None:
+    """(scheme, host, port, path) of an http or https address, with the scheme's own port where none is given; else None."""
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            return None
+        return parts.scheme, parts.hostname, parts.port or (443 if parts.scheme == "https" else 80), parts.path or "/"
+    except ValueError:
+        return None

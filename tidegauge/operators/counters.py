@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,19 @@ def by_direction(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys, "direction").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
+def totals(df: DataFrame, keys: tuple[str, ...] = (), v6: bool = False) -> DataFrame:
+    """Packets and bytes of each direction, of all rows and by protocol."""
+    sums = [F.sum(F.when(_condition(p, v6), F.col(u)).otherwise(0)).alias(u if p == "total" else f"{p}_{u}") for p in PROTOS for u in ("packets", "bytes")]
+    return df.groupBy(*keys, "direction").agg(*sums)
+
+
+def both_versions(*parts: DataFrame) -> DataFrame:
+    """Totals of one shape (v4 and v6) added up."""
+    keys = [c for c in parts[0].columns if c in ("tick", "direction")]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in every.columns if c not in keys])
+
+
 def sessions(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sums by session of tcp and udp: host, direction, protocol, the other address and both ports."""
     other = F.when(F.col("direction") == "outgoing", F.col("dst_ip")).otherwise(F.col("src_ip"))
@@ -87,9 +101,9 @@ def ema(ticks: DataFrame, key: str, columns: list[str], period: int, constant: i
     def merge(acc, x):
         return F.struct(x["tick"].alias("tick"), *[step(x[c], fade(acc[c], x["tick"] - acc["tick"] - 1), keep).alias(c) for c in columns])
 
-    folded = rows.withColumn("__a", F.aggregate("__s", start, merge))
     end = F.lit(last_tick) if isinstance(last_tick, int) else last_tick
-    return folded.select(key, *[fade(F.col(f"__a.{c}"), end - F.col("__a.tick")).alias(c) for c in columns])
+    folded = rows.withColumn("__a", F.aggregate("__s", start, merge)).withColumn("__end", end)
+    return folded.select(key, *[fade(F.col(f"__a.{c}"), F.col("__end") - F.col("__a.tick")).alias(c) for c in columns])
 
 
 def ema_series(ticks: DataFrame, key: str, column: str, period: int, constant: int, first: int, last: int) -> DataFrame:
@@ -133,3 +147,15 @@ def duration_bucket(seconds: Column, kind: str = "v9") -> Column:
     for most, name in _V5 if kind == "v5" else _V9:
         out = out.when(seconds <= most, name)
     return out.otherwise("180+")
+
+
+def system(rows: DataFrame, period: float, keys: tuple[str, ...] = ("tick",)) -> DataFrame:
+    """keys, name, type, value of what was seen: rows by IP version, rows of other protocols and their rate."""
+    version, other = F.col("ip_protocol_version"), ~F.col("protocol").isin(1, 6, 17, 58)
+    n = lambda on: F.count_if(on)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"), n(version == 4).alias("b"), n(version == 6).alias("c"), n(~version.isin(4, 6)).alias("d"), n(other).alias("e"))
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), value.cast("long").alias("value")) for name, kind, value in (
+        ("total_simple_packets_processed", "counter", F.col("a")), ("total_ipv4_packets", "counter", F.col("b")), ("total_ipv6_packets", "counter", F.col("c")), ("unknown_ip_version_packets", "counter", F.col("d")),
+        ("total_unparsed_packets", "counter", F.col("e")), ("total_unparsed_packets_speed", "gauge", F.col("e") / float(period)),
+    )]))
+    return found.select(*keys, one.alias("x")).select(*keys, "x.name", "x.type", "x.value")

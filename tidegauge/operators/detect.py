@@ -32,6 +32,17 @@ def with_group(hosts: DataFrame, hostgroups: DataFrame) -> DataFrame:
     return hosts.join(groups, (F.col("subnet_net") == F.col("__n")) & (F.col("subnet_len") == F.col("__l")), "left").withColumn("host_group", F.coalesce("__g", F.lit("global"))).drop("__n", "__l", "__g")
 
 
+def threshold_text(name: Column) -> Column:
+    """What a threshold measures, in words; unknown for other names."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in NAMES.items() for x in p]), name), F.lit("unknown"))
+
+
+def detect_v6(hosts: DataFrame, settings: DataFrame) -> DataFrame:
+    """v6 hosts over a threshold of the global group, if that allows v6 bans (enable_ban_ipv6); host_group is always global."""
+    own = settings.where("group = 'global' and enable_ban_ipv6").withColumn("enable_ban", F.lit(True))
+    return detect(hosts.withColumn("host_group", F.lit("global")), own)
+
+
 def detect(hosts: DataFrame, settings: DataFrame) -> DataFrame:
     """hosts (with host_group) whose group allows bans and a threshold is exceeded; groups without settings use 'global'.
 
@@ -55,7 +66,14 @@ def classified(hosts: DataFrame) -> DataFrame:
     protocol = F.when(side("tcp") == most, "tcp").when(side("udp") == most, "udp").otherwise("icmp")
     share = lambda p: side(p).cast("double") / side("total").cast("double") > 0.9
     kind = F.when(side("total") == 0, "unknown").when(share("tcp_syn"), "syn_flood").when(share("icmp"), "icmp_flood").when(share("fragmented"), "ip_fragmentation").when(share("udp"), "udp_flood").otherwise("unknown")
-    return df.withColumns({"attack_power": side("total"), "attack_protocol": protocol, "attack_type": kind})
+    return df.withColumns({"attack_power": side("total"), "attack_protocol": protocol, "attack_type": kind, "attack_detection_direction": F.lit("unknown")})
+
+
+def free_to_ban(detected: DataFrame, *taken: DataFrame) -> DataFrame:
+    """Detected hosts that no table of hosts (bans, captures under way) has already."""
+    for hosts in taken:
+        detected = detected.join(hosts.select("host").distinct(), "host", "left_anti")
+    return detected
 
 
 def sample(flows: DataFrame, detections: DataFrame, count: int = 20, patience: int = 120) -> DataFrame:
@@ -87,6 +105,14 @@ def ban_timeline(attacked: DataFrame, tick_seconds: int, ban_seconds: int) -> Da
     return ticks.select("host", F.inline(F.aggregate("t", empty, merge))).select("host", F.col("a").alias("banned_tick"), F.col("b").alias("unbanned_tick"))
 
 
+def banlist(v4: DataFrame, v6: DataFrame) -> DataFrame:
+    """prefix, version, banned_tick of active bans: v4 hosts as /32, v6 hosts as /128."""
+    from ..functions import net
+
+    first = v4.select(net.cidr_text(F.col("host"), F.lit(32)).alias("prefix"), F.lit(4).alias("version"), "banned_tick")
+    return first.unionByName(v6.select(F.concat(net.v6_text(F.col("host")), F.lit("/128")).alias("prefix"), F.lit(6).alias("version"), "banned_tick"))
+
+
 def active_bans(bans: DataFrame, tick: int) -> DataFrame:
     """The bans of a timeline that hold at a tick."""
     return bans.where((F.col("banned_tick") <= tick) & (F.col("unbanned_tick") > tick))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +37,19 @@ def lpm(df: DataFrame, networks: DataFrame, ip: str, net_out: str, len_out: str,
 
 
 def lpm6(df: DataFrame, networks: DataFrame, ip: str, net_out: str, len_out: str) -> DataFrame:
-    """As lpm, for 32 hex digit v6 addresses."""
+    """As lpm, for 32 hex digit v6 addresses: joins on the masked 32-bit parts that a length reaches."""
+    df = df.withColumns({f"__a{i}": p for i, p in enumerate(net.v6_parts(F.col(ip)))})
     found = []
     for length in lengths_of(networks):
-        mine = networks.where(F.col("len") == length).select(F.substring(net.v6_bits(F.col("net")), 1, length).alias(f"__k{length}"), F.col("net").alias(f"__n{length}")).dropDuplicates([f"__k{length}"])
-        df = df.join(mine, F.substring(net.v6_bits(F.col(ip)), 1, length) == F.col(f"__k{length}"), "left")
+        parts = range(max(1, -(-length // 32)))
+        mine = networks.where(F.col("len") == length).select(*[net.masked_part(p, length, i).alias(f"__k{length}_{i}") for i, p in enumerate(net.v6_parts(F.col("net"))) if i in parts], F.col("net").alias(f"__n{length}"))
+        keys = [f"__k{length}_{i}" for i in parts]
+        same = reduce(and_, [net.masked_part(F.col(f"__a{i}"), length, i) == F.col(k) for i, k in zip(parts, keys)])
+        df = df.join(mine.dropDuplicates(keys), same, "left").drop(*keys)
         found.append(length)
     none = F.lit(None).cast("string")
     out = df.withColumns({net_out: F.coalesce(*[F.col(f"__n{l}") for l in found], none), len_out: F.coalesce(*[F.when(F.col(f"__n{l}").isNotNull(), F.lit(l)) for l in found], F.lit(None).cast("int"))})
-    return out.drop(*[f"__{k}{l}" for l in found for k in "nk"])
+    return out.drop(*[f"__n{l}" for l in found], *[f"__a{i}" for i in range(4)])
 
 
 def inside(df: DataFrame, networks: DataFrame, ip: str, how: str = "semi") -> DataFrame:

@@ -72,8 +72,9 @@ def tick_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.by_host(enriched(spark, sf_dir), ("host", "tick"))
 
 
-def last_tick(spark: SparkSession, sf_dir: str) -> int:
-    return fx.flows(spark, sf_dir).agg(F.max(counters.tick_of(fx.TICK))).first()[0]
+def last_tick(spark: SparkSession, sf_dir: str):
+    """A scalar subquery over the one column it needs."""
+    return fx.flows(spark, sf_dir).agg(F.max(counters.tick_of(fx.TICK))).scalar()
 
 
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,7 @@ def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def averaged_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages at the last tick with flow rates, own subnet and group."""
     avg = averages(spark, sf_dir)
-    last = last_tick(spark, sf_dir)
-    flows = counters.flow_counts(enriched(spark, sf_dir).where(F.col("tick") == last)).select("host", *[(F.col(c) / float(fx.TICK)).cast("long").alias(c) for c in ("in_flows", "out_flows")])
+    flows = counters.flow_counts(enriched(spark, sf_dir).where(F.col("tick") == last_tick(spark, sf_dir))).select("host", *[(F.col(c) / float(fx.TICK)).cast("long").alias(c) for c in ("in_flows", "out_flows")])
     hosts = avg.join(flows, "host", "left").fillna(0, ["in_flows", "out_flows"])
     return detect.with_group(enrich.lpm(hosts, fx.networks(spark), "host", "subnet_net", "subnet_len"), fx.hostgroups(spark))
 
@@ -100,7 +100,7 @@ hosts AS (SELECT h1.*, coalesce(grp, 'global') AS host_group FROM h1 LEFT JOIN g
 )
 _PAIR = {"flows": ("in_flows", "out_flows")} | {n: tuple(f"{p}_{d}_{u}" if u == "packets" else f"CAST(trunc({p}_{d}_{u} / 1000.0::DOUBLE / 1000.0::DOUBLE * 8) AS BIGINT)" for d in ("in", "out")) for n, p, u in detect.CHECKS if p}
 VERDICT = "CASE " + " ".join(f"WHEN {_PAIR[n][0]} > s.{n} OR {_PAIR[n][1]} > s.{n} THEN '{n}'" for n, _, _ in detect.CHECKS) + " END"
-SETTINGS = f", s AS {values(fx.SETTINGS, 'grp, enable_ban, ' + ', '.join(fx.CHECK_COLUMNS))}"
+SETTINGS = f", s AS {values(fx.SETTINGS, 'grp, enable_ban, ' + ', '.join(fx.CHECK_COLUMNS) + ', enable_ban_ipv6')}"
 
 
 @query(f"SELECT count(*) AS n, CAST(sum(number_of_packets) AS BIGINT) AS packets, CAST(sum(length) AS BIGINT) AS bytes, min(src_ip) AS min_src, max(dst_ip) AS max_dst, CAST(sum(flags) AS BIGINT) AS flags FROM ({fx.FLOWS})")
@@ -340,7 +340,7 @@ def _top(order: str, direction: str):
     query(BASE + (SESS if order == "flows" else "") + f" SELECT host, {ip} AS ip, {column} AS value FROM {table} WHERE host <> 0 ORDER BY {column} DESC, host LIMIT {fx.TOP}")(run)
 
 
-for _order in ("packets", "bytes", "flows", "tcp_packets", "udp_bytes", "icmp_packets"):
+for _order in ("packets", "bytes", "flows", *(f"{p}_{u}" for p in ("tcp", "udp", "icmp", "tcp_syn", "fragmented") for u in ("packets", "bytes"))):
     for _direction in ("incoming", "outgoing"):
         _top(_order, _direction)
 
@@ -361,9 +361,10 @@ def flow_dump(spark, sf_dir):
     return report.flow_dump(counters.sessions(enriched(spark, sf_dir)), fx.SAMPLE)
 
 
-@query(BASE + "SELECT direction || ' packets' AS name, CAST(sum(packets) AS BIGINT) AS value, 'pps' AS unit FROM e GROUP BY direction UNION ALL SELECT direction || ' bits', CAST(sum(bytes) * 8 AS BIGINT), 'bps' FROM e GROUP BY direction")
-def api_total_counters(spark, sf_dir):
-    return report.long_counters(counters.by_direction(enriched(spark, sf_dir)))
+@query(BASE + "SELECT ports, count(*) AS n FROM (SELECT host, count(DISTINCT destination_port) AS ports FROM e WHERE direction = 'incoming' AND protocol = 6 GROUP BY host) GROUP BY 1")
+def local_port_histogram(spark, sf_dir):
+    once = enriched(spark, sf_dir).where("direction = 'incoming' and protocol = 6").select("host", "destination_port").distinct()
+    return once.groupBy("host").agg(F.count(F.lit(1)).alias("ports")).groupBy("ports").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(BASE + "SELECT remote_hosts, count(*) AS n FROM (SELECT host, count(DISTINCT src_ip) AS remote_hosts FROM e WHERE direction = 'incoming' AND protocol = 6 GROUP BY host) GROUP BY 1")
@@ -377,7 +378,7 @@ _RULE_SQL = [
     "(destination_port IN (53) AND protocol = 17)",
     "(src_ip >= 3405803776 AND src_ip < 3405803840 AND flags & 63 = 2)",
     "(ip_fragmented AND vlan = 100)",
-    "(length <= 65635 AND (length % 65536 IN (64, 1500) OR ip_length % 65536 IN (64, 1500)))",
+    f"(length <= 65635 AND (length % 65536 IN ({fx.LENGTHS}) OR ip_length % 65536 IN ({fx.LENGTHS})))",
     "(dst_ip = 167772165)",
 ]
 
@@ -477,23 +478,18 @@ def fn_row_text(spark, sf_dir):
     return fx.flows(spark, sf_dir).select("event_id", report.row_text().alias("line"))
 
 
-@query(
-    f"""SELECT event_id, '{{"timestamp":' || CAST(floor(epoch(arrival_time)) AS BIGINT) || ',"source_ip":"' || {_IP('src_ip')} || '","destination_ip":"' || {_IP('dst_ip')} || '"' ||
-CASE WHEN protocol IN (6, 17) THEN ',"source_port":' || source_port || ',"destination_port":' || destination_port ELSE '' END || ',"protocol":"' || CASE protocol WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' ELSE 'unknown' END || '"' ||
-CASE WHEN protocol = 6 THEN ',"tcp_flags":"' || coalesce(nullif(concat_ws(',', CASE WHEN flags & 2 <> 0 THEN 'syn' END, CASE WHEN flags & 16 <> 0 THEN 'ack' END), ''), '-') || '"' ELSE '' END || ',"length":' || length || ',"packets":' || number_of_packets || ',"sample_ratio":' || sample_ratio || '}}' AS json FROM ({fx.FLOWS})"""
-)
-def fn_row_json(spark, sf_dir):
-    return fx.flows(spark, sf_dir).select("event_id", report.row_json().alias("json"))
-
-
 @query(BASE + ", r AS (SELECT host, direction, bytes, packets, destination_port = 53 AS dns, ip_fragmented AS parts FROM e WHERE host IS NOT NULL) SELECT host, " + ", ".join(f"CAST(sum(CASE WHEN {r} AND direction = '{n}' THEN {u} ELSE 0 END) AS BIGINT) AS {r}_{d}_{u}" for r in ("dns", "parts") for d, n in (("in", "incoming"), ("out", "outgoing")) for u in ("bytes", "packets")) + " FROM r GROUP BY host")
 def flexible_counters(spark, sf_dir):
     return counters.by_rule(enriched(spark, sf_dir), {"dns": F.col("destination_port") == 53, "parts": F.col("ip_fragmented")})
 
 
-@query(f"SELECT CAST(n AS INT) AS number, CASE WHEN n < {len(net.PROTOCOL_NAMES)} THEN {net.PROTOCOL_NAMES!r}[n + 1] WHEN n = 255 THEN 'RESERVED' WHEN n >= 253 THEN 'UNKNOWN_' || n WHEN n <= 252 THEN 'UNASSIGNED_' || n END AS name FROM (SELECT unnest(range(0, 256)) AS n)")
+_NAMED = "(0, 'HOPOPT'), (1, 'ICMP'), (2, 'IGMP'), (4, 'IPV4'), (6, 'TCP'), (8, 'EGP'), (17, 'UDP'), (27, 'RDP'), (33, 'DCCP'), (41, 'IPV6'), (46, 'RSVP'), (47, 'GRE'), (50, 'ESP'), (51, 'AH'), (58, 'IPV6_ICMP'), (88, 'EIGRP'), (89, 'OSPFIGP'), (103, 'PIM'), (112, 'VRRP'), (115, 'L2TP'), (132, 'SCTP'), (136, 'UDPLITE'), (137, 'MPLS_IN_IP'), (143, 'ETHERNET')"
+
+
+@query(f"SELECT * FROM (VALUES {_NAMED}) t(number, name) UNION ALL SELECT CAST(n AS INT), CASE WHEN n = 255 THEN 'RESERVED' WHEN n >= 253 THEN 'UNKNOWN_' || n ELSE 'UNASSIGNED_' || n END FROM (SELECT unnest(range(144, 256)) AS n)")
 def fn_protocol_name(spark, sf_dir):
-    d = spark.range(256).select(F.col("id").cast("int").alias("number"))
+    numbers = [0, 1, 2, 4, 6, 8, 17, 27, 33, 41, 46, 47, 50, 51, 58, 88, 89, 103, 112, 115, 132, 136, 137, 143]
+    d = spark.range(256).where(F.col("id").isin(*numbers) | (F.col("id") >= 144)).select(F.col("id").cast("int").alias("number"))
     return d.select("number", net.protocol_name(F.col("number")).alias("name"))
 
 
@@ -531,17 +527,6 @@ for _kind in ("v5", "v9"):
     query(f"SELECT {_buckets(_kind)} AS bucket, count(*) AS n FROM (SELECT CAST(trunc((flow_end - flow_start) / 1000.0::DOUBLE) AS BIGINT) AS d FROM ({fx.FLOWS})) GROUP BY 1")(_hist)
 
 
-@query(f"SELECT 'end_reason_' || (event_id % 5 + 1) AS name, count(*) AS n FROM ({fx.FLOWS}) GROUP BY 1")
-def end_reason_counts(spark, sf_dir):
-    return fx.flows(spark, sf_dir).groupBy(F.concat(F.lit("end_reason_"), (F.col("event_id") % 5 + 1).cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(BASE + "SELECT name, value, kind FROM (SELECT count(*) AS a, count(*) FILTER (direction = 'other') AS b, count(DISTINCT host) AS c FROM e) t, LATERAL (VALUES ('total_ipv4_packets', a, 'counter'), ('non_own_packets', b, 'counter'), ('known_hosts', c, 'gauge')) v(name, value, kind)")
-def system_counters(spark, sf_dir):
-    e = enriched(spark, sf_dir).agg(F.count(F.lit(1)).alias("a"), F.sum(F.when(F.col("direction") == "other", 1).otherwise(0)).alias("b"), F.count_distinct("host").alias("c"))
-    return e.selectExpr("stack(3, 'total_ipv4_packets', a, 'counter', 'non_own_packets', b, 'counter', 'known_hosts', c, 'gauge') as (name, value, kind)")
-
-
 @query(f"SELECT agent_ipv4_address, arg_max(sample_ratio, event_id) AS rate FROM ({fx.FLOWS}) GROUP BY 1")
 def sampling_gauges(spark, sf_dir):
     return fx.flows(spark, sf_dir).groupBy("agent_ipv4_address").agg(F.max_by("sample_ratio", "event_id").alias("rate"))
@@ -554,44 +539,6 @@ def unparsed_rate(spark, sf_dir):
 
 
 # Sinks' payloads.
-@query(BASE + f"SELECT 'total_traffic,direction=' || direction || ' bytes=' || CAST(sum(bytes) AS BIGINT) || ',packets=' || CAST(sum(packets) AS BIGINT) || ' ' || (tick * {fx.TICK} * 1000000000) AS line FROM e GROUP BY tick, direction")
-def line_protocol(spark, sf_dir):
-    t = counters.by_direction(enriched(spark, sf_dir), ("tick",)).withColumn("at", F.timestamp_seconds(F.col("tick") * fx.TICK))
-    return t.select(report.line_protocol("total_traffic", {"direction": F.col("direction")}, ["packets", "bytes"], F.col("at")).alias("line"))
-
-
-@query(BASE + TICKS + f" SELECT 'tidegauge.hosts.' || replace({_IP('host')}, '.', '_') || '.incoming.pps ' || CAST(trunc(total_in_packets / {float(fx.TICK)}) AS BIGINT) || ' ' || tick * {fx.TICK} AS line FROM ticks WHERE trunc(total_in_packets / {float(fx.TICK)}) <> 0")
-def graphite_lines(spark, sf_dir):
-    t = counters.speed(tick_table(spark, sf_dir), ["total_in_packets"], fx.TICK).where("total_in_packets <> 0").withColumn("at", F.timestamp_seconds(F.col("tick") * fx.TICK))
-    path = F.concat(F.lit(""), net.ip_text(F.col("host")))
-    return t.select(report.graphite("tidegauge.hosts", path, "incoming.pps", F.col("total_in_packets"), F.col("at")).alias("line"))
-
-
-@query(BASE + ", t AS (SELECT direction, CAST(sum(packets) AS BIGINT) AS p, CAST(sum(bytes) * 8 AS BIGINT) AS b FROM e GROUP BY 1) SELECT 'tidegauge_total_packets{direction=\"' || direction || '\"} ' || p AS line FROM t UNION ALL SELECT 'tidegauge_total_bits{direction=\"' || direction || '\"} ' || b FROM t")
-def prometheus_lines(spark, sf_dir):
-    return report.prometheus(counters.by_direction(enriched(spark, sf_dir)))
-
-
-@query(BASE + TICKS + f" SELECT CAST(to_timestamp(tick * {fx.TICK}) AT TIME ZONE 'UTC' AS DATE) AS metric_date, {_IP('host')} AS host, tick, total_in_packets AS packets_incoming, total_out_packets AS packets_outgoing, total_in_bytes * 8 AS bits_incoming, total_out_bytes * 8 AS bits_outgoing FROM ticks")
-def host_metrics(spark, sf_dir):
-    from .sinks import host_metrics as table
-
-    return table(tick_table(spark, sf_dir), fx.TICK)
-
-
-@query(BASE + "SELECT CAST(to_timestamp(tick * 3600) AT TIME ZONE 'UTC' AS DATE) AS metric_date, tick, direction, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) * 8 AS BIGINT) AS bits FROM e GROUP BY tick, direction")
-def total_metrics(spark, sf_dir):
-    from .sinks import total_metrics as table
-
-    return table(counters.by_direction(enriched(spark, sf_dir), ("tick",)), fx.TICK)
-
-
-@query(BASE + f"SELECT {_IP('subnet_net')} || '/' || subnet_len AS network, tick, CAST(sum(CASE direction WHEN 'incoming' THEN packets ELSE 0 END) AS BIGINT) AS packets_incoming, CAST(sum(CASE direction WHEN 'outgoing' THEN packets ELSE 0 END) AS BIGINT) AS packets_outgoing FROM e WHERE subnet_len IS NOT NULL GROUP BY ALL")
-def network_metrics(spark, sf_dir):
-    t = counters.by_subnet(enriched(spark, sf_dir), ("tick",))
-    return t.select(net.cidr_text(F.col("subnet_net"), F.col("subnet_len")).alias("network"), "tick", F.col("total_in_packets").alias("packets_incoming"), F.col("total_out_packets").alias("packets_outgoing"))
-
-
 @query(BASE + TICKS + HOSTS + SETTINGS + DETECTED + f" SELECT {_IP('host')} || '/32' AS prefix, 'announce' AS action FROM found UNION ALL SELECT DISTINCT {_IP('subnet_net')} || '/' || subnet_len, 'announce' FROM found")
 def announcements(spark, sf_dir):
     from .sinks import announcements as table
@@ -634,19 +581,6 @@ def v6_top_hosts(spark, sf_dir):
     return counters.by_host(e, v6=True).orderBy(F.desc("total_in_packets"), "host").limit(7).select("host", "total_in_packets", "total_out_packets")
 
 
-@query("SELECT * FROM (VALUES ('2001:db8::1', '20010db8000000000000000000000001', '2001:0db8::0001'), ('::', '00000000000000000000000000000000', ':0000'), ('fe80::1:2', 'fe800000000000000000000000010002', 'fe80::0001:0002'), ('no', NULL, NULL)) t(text, hex, printed)")
-def fn_v6_text(spark, sf_dir):
-    d = spark.sql("SELECT explode(array('2001:db8::1', '::', 'fe80::1:2', 'no')) AS text")
-    h = net.v6_hex(F.col("text"))
-    return d.select("text", h.alias("hex"), net.v6_text(h).alias("printed"))
-
-
-@query(f"WITH f AS (SELECT event_id, 1024 + event_id % 50000 AS p, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 64 END AS t FROM ({fx.FLOWS})) SELECT count(*) AS n, count(*) FILTER (t IS NULL) AS missing FROM f")
-def ingest_defaults(spark, sf_dir):
-    f = fx.flows(spark, sf_dir).withColumn("ttl", F.when(F.col("event_id") % 5 != 0, F.col("ttl")))
-    return f.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ttl").isNull()).alias("missing"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top incoming hosts by averaged packets, with the verdict of their group's thresholds."""
     hosts = averaged_hosts(spark, sf_dir)
@@ -657,3 +591,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["top_hosts_verdict"] = flagship
 SQL["top_hosts_verdict"] = BASE + TICKS + HOSTS + SETTINGS + f", v AS (SELECT hosts.host, {VERDICT} AS threshold FROM hosts JOIN s ON host_group = s.grp WHERE s.enable_ban) SELECT h.host, {_IP('h.host')} AS ip, total_in_packets AS average_pps, coalesce(threshold, '-') AS threshold FROM (SELECT * FROM hosts WHERE host <> 0 ORDER BY total_in_packets DESC, host LIMIT {fx.TOP}) h LEFT JOIN v USING (host)"
+
+from . import metrics, wire  # noqa: E402, F401  (they register their queries here)

@@ -26,5 +26,13 @@ def prefixes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prefixes6(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim("value").alias("p")).where(F.col("p").contains(":"))
-    return lines.select(net.v6_hex(F.substring_index("p", "/", 1)).alias("net"), F.substring_index("p", "/", -1).cast("int").alias("len")).where("net is not null").distinct()
+    """(net, len) of the valid IPv6 prefixes in text files, host bits masked off."""
+    lines = spark.read.text(path).select(net.v6_prefix(F.trim("value")).alias("p"))
+    return lines.where("p is not null").select("p.net", "p.len").distinct()
+
+
+def rules(spark: SparkSession, path: str) -> list[str]:
+    """The valid traffic rules in text files, one JSON document a line; rules are compiled into the plan, so they come to the driver."""
+    from ..operators import rules as parser
+
+    return [r[0] for r in spark.read.text(path).where(F.trim("value") != "").collect() if parser.parse(r[0])]

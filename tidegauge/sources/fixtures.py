@@ -26,14 +26,15 @@ FLOWS = """SELECT event_id, ts AS arrival_time, 4 AS ip_protocol_version,
 NETWORKS = [(167772160, 23), (167772160, 24), (167772416, 25)]
 HOSTGROUPS = [(167772160, 24, "servers", 0), (167772416, 26, "never", 1), (167772160, 23, "quiet", 2), (167772160, 24, "late", 3)]
 WHITELIST = [(167772160, 29)]
-#: group, enable_ban and thresholds; None: the check is off
-SETTINGS = [("global", True, 60, None, 1, None, 40, 50, None, None, 1), ("servers", True, 20, 2, 1, 25, None, 10, 1, None, None), ("quiet", False, 1, 1, 1, 1, 1, 1, 1, 1, 1)]
+#: group, enable_ban, thresholds (None: the check is off), enable_ban_ipv6
+SETTINGS = [("global", True, 60, None, 1, None, 40, 50, None, None, 1, True), ("servers", True, 20, 2, 1, 25, None, 10, 1, None, None, False), ("quiet", False, 1, 1, 1, 1, 1, 1, 1, 1, 1, False)]
 CHECK_COLUMNS = ["pps", "mbps", "flows", "tcp_pps", "udp_pps", "icmp_pps", "tcp_mbps", "udp_mbps", "icmp_mbps"]
+LENGTHS = ", ".join(map(str, [*range(0, 100), *range(1000, 1501)]))
 RULES = [
     '{"destination_ports": [53], "protocols": ["udp"], "action_type": "accept"}',
     '{"source_prefix": "203.0.113.0/26", "tcp_flags": ["syn"], "action_type": "accept"}',
     '{"fragmentation_flags": ["is-fragment"], "vlans": [100], "action_type": "discard"}',
-    '{"packet_lengths": [64, 1500], "action_type": "rate-limit", "action": {"rate": 1024}}',
+    f'{{"packet_lengths": [{LENGTHS}], "action_type": "rate-limit", "action": {{"rate": 1024}}}}',
     '{"destination_prefix": "10.0.0.5/32", "action_type": "accept"}',
     '{"packet_lengths": [1501], "action_type": "accept"}',
     '{"source_ports": [1024]}',
@@ -42,8 +43,7 @@ TICK, CONSTANT, SAMPLE, BAN, TOP = 3600, 18000, 20, 7200, 7
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(FLOWS)
+    return spark.sql(FLOWS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def dimension(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -67,4 +67,4 @@ def hostgroups(spark: SparkSession) -> DataFrame:
 
 
 def settings(spark: SparkSession) -> DataFrame:
-    return dimension(spark, SETTINGS, "group STRING, enable_ban BOOLEAN, " + ", ".join(f"{c} BIGINT" for c in CHECK_COLUMNS))
+    return dimension(spark, SETTINGS, "group STRING, enable_ban BOOLEAN, " + ", ".join(f"{c} BIGINT" for c in CHECK_COLUMNS) + ", enable_ban_ipv6 BOOLEAN")
