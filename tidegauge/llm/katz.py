@@ -7,21 +7,20 @@ mass, and unseen words would have probability 0: it counts one more event, unsee
 S(h) the sum of p(w | h') over the words seen after h, alpha(h) = D(h) / (1 - S(h)), so every p(. | h) sums to 1 over the known
 words, the end and the unknown word. Texts begin with order - 1 start marks and close with an end.
 
-Tables in the shared folder: `unigrams` (word, n), `ngrams` (distinct n-grams of all texts with training counts, packed by
-bucket), `shared` (n-grams of common contexts), `answers` (for each bucket, the lower-order counts that it needs). N-grams are
-dealt to buckets by their nearest context word, so all orders of a context meet in one. A context that is too common for
-that is dealt by its next word back, and by the whole n-gram if need be; counts of common contexts are in `shared`, and
-their few sums go to all buckets by broadcast. Buckets ask `unigrams` and `shared` for the counts of their words in one join.
-Scoring reads the tables: tokens travel once, packed, to the bucket of their n-gram, which evaluates the recursion for
-each distinct n-gram and sums by row.
+Tables in the shared folder: `unigrams` (word, n), `ngrams` (for each bucket, its distinct n-grams with their training counts
+and where they occur, packed), `shared` (n-grams of common contexts), `answers` (for each bucket, the lower-order counts that it
+needs). N-grams are dealt to buckets by their nearest context word, so all orders of a context meet in one. A context that
+is too common for that is dealt by its next word back, and by the whole n-gram if need be; counts of common contexts are in
+`shared`, and their few sums go to all buckets by broadcast. Tokens travel once, packed. Buckets ask `unigrams` and `shared`
+for the counts that they lack in one join. Scoring reads the tables: each bucket evaluates the recursion for each distinct
+n-gram and sums by row. Words travel as ranks in a vocabulary of the `vocabulary` most frequent ones, others as 64-bit hashes.
 
 Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. At most 8 contexts a
-bucket and order are common. Scoring passes the text `waves` times, each over a part of the buckets, so that its shuffle is
-that part only. Words and n-grams are told apart by 64-bit hashes.
+bucket and order are common, and the vocabulary has a fixed size. Words and n-grams are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty, its only token is the end; rows equal in doc_id and text count as often as they
 occur and get equal scores; without training rows every token has probability 1 (the unknown word); an empty table gives no
-rows; other columns are ignored. docs must give the same rows in the same order when it is read again, as a table does.
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +38,8 @@ from .words import SPACE, U64, distinct, mix, texts
 
 END, BOS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95)
-_END = int(np.array([END]).view(np.int64)[0])
+#: Kind of the rows that name a chunk's documents.
+ABOUT = 100
 
 
 def discounts(n: list[float], k: int) -> np.ndarray:
@@ -139,6 +139,13 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def _split(at: np.ndarray) -> list[np.ndarray]:
+    """The places of each value."""
+    by = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
+    cut = _runs(at[by])
+    return [by[a:b] for a, b in zip(cut, [*cut[1:], len(by)])]
+
+
 def _depth(contexts: list[np.ndarray], common_ones: list[np.ndarray]) -> np.ndarray:
     """Words before that deal an n-gram: the least number that is no common context, or all (and the word itself)."""
     depth = np.ones(len(contexts[0]), np.int8)
@@ -160,22 +167,51 @@ def _dealt(grams: list[np.ndarray], contexts: list[np.ndarray], depth: np.ndarra
     return _bucket(h, n)
 
 
-def _compact(names: np.ndarray, cols: list[np.ndarray]) -> list[np.ndarray]:
-    """[the names that the columns use, the columns over these]."""
-    used, at = np.unique(np.concatenate(cols), return_inverse=True)
-    return [names[used], *(x.astype(np.uint32) for x in np.split(at, len(cols)))]
-
-
-def _merged(messages: list[list[np.ndarray]], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct n-grams of several (names, columns, counts), with the sum of their counts, in order of (before, word, further before)."""
-    names, at = np.unique(np.concatenate([x[0] for x in messages]), return_inverse=True)
-    base = np.cumsum([0] + [len(x[0]) for x in messages])
-    cols = [np.concatenate([at[b + x[1 + i]] for x, b in zip(messages, base)]) for i in range(order)]
+def _coded(names: np.ndarray, cols: list[np.ndarray], vocabulary: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(other names, columns): indexes are ranks in the vocabulary, and beyond its size places among the other names."""
+    at, found = _find(vocabulary, names)
+    code = np.where(found, ranks[at], 0)
+    code[~found] = len(vocabulary) + np.arange(np.count_nonzero(~found))
+    return names[~found], [code[c] for c in cols]
+
+
+def _compact(others: np.ndarray, cols: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """[the other names that the columns use, the columns over these]."""
+    rare = [c >= size for c in cols]
+    used = distinct(np.concatenate([c[r] for c, r in zip(cols, rare)])) - size
+    out = []
+    for c, r in zip(cols, rare):
+        c = c.astype(np.uint32)
+        c[r] = size + np.searchsorted(used, c[r] - size)
+        out.append(c)
+    return [others[used], *out]
+
+
+def _merged(messages: list[list[np.ndarray]], order: int, size: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams of several (other names, columns, counts), in order of (word before, word, further before): the other
+    names, the columns, the sums of the counts, and the place of each n-gram of the messages."""
+    others = distinct(np.concatenate([x[0] for x in messages]))
+    cols = []
+    for i in range(order):
+        parts = []
+        for x in messages:
+            c = x[1 + i].astype(np.int64)
+            rare = c >= size
+            c[rare] = size + np.searchsorted(others, x[0][c[rare] - size])
+            parts.append(c)
+        cols.append(np.concatenate(parts))
     n = np.concatenate([x[1 + order] for x in messages]).astype(np.int64)
-    key = _key([cols[1], cols[0], *cols[2:]] if order > 1 else cols, len(names))
+    key = _key(_sorting(cols), size + len(others))
     by = np.argsort(key)
-    first = _runs(key[by])
-    return names, [c[by[first]] for c in cols], np.add.reduceat(n[by], first)
+    key = key[by]
+    first = _runs(key)
+    place = np.empty(len(by), np.uint32)
+    place[by] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff([*first, len(by)]))
+    return others, [c[by[first]] for c in cols], np.add.reduceat(n[by], first), place
+
+
+def _sorting(cols: list[np.ndarray]) -> list[np.ndarray]:
+    return [*cols[1:2], cols[0], *cols[2:]]
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -199,7 +235,7 @@ def _value(col: Column, d: np.ndarray) -> Column:
     return factor * col
 
 
-def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2, chunk_bytes: int = 10 << 20, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -263,74 +299,93 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
     common.free_shuffles(spark)
     classes = lambda col: [F.sum((F.col(col) == r).cast("long")).alias(f"c{r}") for r in range(1, k + 2)]
     sums = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), *classes("n")).first()
-    total, vocabulary = sums["n"] or 0, sums["v"]
+    total, known_words = sums["n"] or 0, sums["v"]
     counts_of = {0: np.array([0] + [sums[f"c{r}"] or 0 for r in range(1, k + 2)], np.int64)}
-    shared_often = spark.sparkContext.broadcast(often)
+    top = unigrams.orderBy(F.desc("n"), "key").limit(vocabulary).select("key").collect()
+    top = np.append(BOS, np.array([r["key"] for r in top], np.int64).view(np.uint64))  # by rank
+    by_hash = np.argsort(top)
+    shared_words = spark.sparkContext.broadcast((often, top, top[by_hash], by_hash))
 
-    # 2. N-grams of all texts with their training counts, to their buckets; those of common contexts by themselves, too.
-    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = shared_often.value
-        for _, _, held, w, row in _tokens(batches, chunk_bytes):
-            names, cols = _words(w, row, order)
-            key = _key([*cols[1:2], cols[0], *cols[2:]], len(names))
-            by = np.argsort(key)
+    # 2. N-grams of all texts with their training counts and rows, to their buckets; those of common contexts by themselves, too.
+    TABLE = ["kind", "bucket", "key", "n", "ctx", "lower", "chunk", "data", "ids"]
+    KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), id_list]
+    schema = f"kind int, bucket int, key long, n long, ctx long, lower long, chunk long, data binary, ids array<{id_kind}>"
+
+    def rows_of(kind: int, bucket: int, m: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), *(pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in zip(TABLE[2:], KINDS[2:]))], TABLE)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, ranked, sorted_words, ranks = shared_words.value
+        size = len(ranked)
+        for keys, ids, held, w, row in _tokens(batches, chunk_bytes):
+            with np.errstate(over="ignore"):
+                chunk = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64) + np.arange(1, len(keys) + 1, dtype=np.uint64) * _C1)) + U64(len(w))], np.uint64)).view(np.int64)[0])
+            yield rows_of(ABOUT, -1 - chunk % buckets, 1, chunk=[chunk], data=[pack(keys, held.astype(np.uint8), np.bincount(row, minlength=len(keys)).astype(np.uint32))], ids=[ids.to_pylist()])
+            others, cols = _coded(*_words(w, row, order), sorted_words, ranks)
+            names = np.concatenate([ranked, others])
+            key = _key(_sorting(cols), len(names))
+            by = np.argsort(key, kind="stable")  # rows ascend in each n-gram
             start = _runs(key[by])
-            n = np.add.reduceat((~held[row])[by].astype(np.int64), start)
-            cols = [c[by[start]] for c in cols]
+            sorted_rows, cols = row[by], [c[by[start]] for c in cols]
+            del w, row, key, by
+            n = np.add.reduceat((~held[sorted_rows]).astype(np.int64), start) if len(start) else start
+            times = np.diff([*start, len(sorted_rows)])
             grams, contexts = _chains(names, cols)
             depth = _depth(contexts, ones)
-            out = []
-
-            def deal(level: int, at: np.ndarray, parts: list[np.ndarray], n: np.ndarray) -> None:
-                by = np.argsort(at, kind="stable")
-                cut = _runs(at[by])
-                for a, b in zip(cut, [*cut[1:], len(by)]):
-                    mine = by[a:b]
-                    out.append((level, int(at[mine[0]]), pack(*_compact(names, [p[mine] for p in parts]), n[mine].astype(np.uint32))))
-
-            deal(0, _dealt(grams, contexts, depth, buckets), cols, n)
+            at = _dealt(grams, contexts, depth, buckets)
+            for g in _split(at):
+                many = times[g]
+                spots = np.repeat(start[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                gram, r = np.repeat(np.arange(len(g)), many), sorted_rows[spots]
+                one = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (r[1:] != r[:-1])]))
+                data = pack(*_compact(others, [c[g] for c in cols], size), n[g].astype(np.uint32), np.bincount(gram[one], minlength=len(g)).astype(np.uint32), r[one].astype(np.uint32), np.diff([*one, len(r)]).astype(np.uint32))
+                yield rows_of(0, int(at[g[0]]), 1, chunk=[chunk], data=[data])
             for m in range(1, order):
                 mine = np.flatnonzero((depth > m) & (n > 0))
                 if len(mine):
-                    parts = [c[mine] for c in cols[: m + 1]]
                     _, one, same = np.unique(grams[m][mine], return_index=True, return_inverse=True)
-                    deal(m, _bucket(grams[m][mine[one]], buckets), [p[one] for p in parts], np.bincount(same, n[mine]).round().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in out], pa.int32()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "level", "data"])
-
-    TABLE = ["kind", "bucket", "key", "n", "ctx", "lower", "data"]
-    KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def rows_of(kind: int, bucket: int, m: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), *(pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in zip(TABLE[2:], KINDS[2:]))], TABLE)
+                    sums = np.bincount(same, n[mine]).round().astype(np.uint32)
+                    one = mine[one]
+                    to = _bucket(grams[m][one], buckets)
+                    for g in _split(to):
+                        yield rows_of(m, int(to[g[0]]), 1, data=[pack(*_compact(others, [c[one[g]] for c in cols[: m + 1]], size), sums[g])])
 
     def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = shared_often.value
+        ones, ranked, _, _ = shared_words.value
+        size = len(ranked)
+        signed = lambda x: x.view(np.int64)
         for bucket, rows in _by_bucket(batches):
+            for level, chunk, data, ids in rows:
+                if level == ABOUT:
+                    yield rows_of(ABOUT, bucket, 1, chunk=[chunk], data=[data], ids=[ids])
             for level in range(order):
-                got = [unpack(data) for l, data in rows if l == level]
+                got = [(chunk, unpack(data)) for l, chunk, data, _ in rows if l == level]
                 if not got:
                     continue
-                names, cols, n = _merged(got, level + 1 if level else order)
-                del got
+                others, cols, n, place = _merged([x for _, x in got], level + 1 if level else order, size)
+                names = np.concatenate([ranked, others])
                 grams, contexts = _chains(names, cols)
                 if level:  # n-grams of common contexts: all of each is here
-                    signed = lambda x: x.view(np.int64)
                     for a in range(0, len(n), 100_000):
                         s = slice(a, a + 100_000)
                         yield rows_of(1 + level, bucket, len(n[s]), key=signed(grams[level][s]), n=n[s], ctx=signed(contexts[level][s]), lower=signed(grams[level - 1][s]))
                     continue
-                yield rows_of(0, bucket, 1, data=[pack(names, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32))])
+                grams_of, rows_in = [len(x[1]) for _, x in got], [len(x[-1]) for _, x in got]
+                where = [np.concatenate([x[-i] for _, x in got]) for i in (3, 2, 1)]
+                steps = np.diff(place, prepend=place[:1] * 0)  # modulo 2^32; small ones pack well
+                yield rows_of(0, bucket, 1, data=[pack(others, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32), np.array([c for c, _ in got], np.int64), np.array(grams_of, np.uint32), np.array(rows_in, np.uint32), steps, *where)])
+                del got, where, steps, place
                 depth = _depth(contexts, ones)
-                asked = distinct(np.concatenate([grams[0], *(grams[m][depth > m] for m in range(1, order))])).view(np.int64)
+                asked = signed(distinct(np.concatenate([distinct(grams[0]), *(grams[m][depth > m] for m in range(1, order))])))
                 for a in range(0, len(asked), 100_000):
                     yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
                 for m in range(1, order):
-                    start = _runs(_key([cols[1], cols[0], *cols[2 : m + 1]], len(names)))
+                    start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
                     c = np.add.reduceat(n, start)[depth[start] <= m]
                     yield rows_of(1 + order, bucket, 1, key=[m], data=[pack(np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2).astype(np.int64))])
 
-    dealt = source.mapInArrow(count_ngrams, "bucket int, level int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    tables = common.stored(dealt.mapInArrow(add_ngrams, "kind int, bucket int, key long, n long, ctx long, lower long, data binary"), "katz-ngrams", "kind")
+    dealt = source.mapInArrow(deal, schema).select("bucket", "kind", "chunk", "data", "ids").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    tables = common.stored(dealt.mapInArrow(add_ngrams, schema), "katz-ngrams", "kind")
     del dealt
     common.free_shuffles(spark)
     shared = [unigrams] + [tables.where(F.col("kind") == 1 + m).select("key", "n", "ctx", "lower") for m in range(1, order)]
@@ -382,53 +437,12 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
     common.free_shuffles(spark)
     model = spark.sparkContext.broadcast((d, about, denominator, left))
 
-    # 5. Tokens to the buckets of their n-grams.
-    def deal_tokens(wave: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ones = shared_often.value
-            for keys, ids, held, w, row in _tokens(batches, chunk_bytes):
-                with np.errstate(over="ignore"):
-                    chunk = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64) + np.arange(1, len(keys) + 1, dtype=np.uint64) * _C1)) + U64(len(w))], np.uint64)).view(np.int64)[0])
-                out = []
-                if wave == 0:
-                    out.append((-1 - chunk % buckets, 3, chunk, pack(keys, held.astype(np.uint8), np.bincount(row, minlength=len(keys)).astype(np.uint32)), ids.to_pylist()))
-                names, cols = _words(w, row, order)
-                key = _key([*cols[1:2], cols[0], *cols[2:]], len(names))
-                by = np.argsort(key, kind="stable")  # rows ascend in each n-gram
-                start = _runs(key[by])
-                times = np.diff([*start, len(by)])
-                cols = [c[by[start]] for c in cols]
-                grams, contexts = _chains(names, cols)
-                at = _dealt(grams, contexts, _depth(contexts, ones), buckets)
-                sorted_rows = row[by]
-                mine = np.flatnonzero(at % waves == wave)
-                mine = mine[np.argsort(at[mine], kind="stable")]
-                cut = _runs(at[mine])
-                for a, b in zip(cut, [*cut[1:], len(mine)]):
-                    g = mine[a:b]
-                    size = times[g]
-                    spots = np.repeat(start[g] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    gram, r = np.repeat(np.arange(len(g)), size), sorted_rows[spots]
-                    one = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (r[1:] != r[:-1])]))
-                    data = pack(*_compact(names, [c[g] for c in cols]), np.bincount(gram[one], minlength=len(g)).astype(np.uint32), r[one].astype(np.uint32), np.diff([*one, len(r)]).astype(np.uint32))
-                    out.append((int(at[g[0]]), 2, chunk, data, None))
-                    if len(out) >= 64:
-                        yield message(out)
-                        out = []
-                if out:
-                    yield message(out)
-
-        return run
-
-    def message(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), id_list))], ["bucket", "kind", "chunk", "data", "ids"])
-
-    schema = f"bucket int, kind int, chunk long, data binary, ids array<{id_kind}>"
-
+    # 5. The recursion for each distinct n-gram of a bucket; sums by row.
     def evaluated(table: list[np.ndarray], answered: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-        """(sorted n-gram hashes, log10 p, log10 (c + 0.5), known) of a bucket's distinct n-grams."""
+        """(log10 p, log10 (c + 0.5), known) of a bucket's distinct n-grams."""
         d, about, denominator, left = model.value
-        names, cols, n = table[0], [c.astype(np.int64) for c in table[1 : 1 + order]], table[1 + order].astype(np.int64)
+        ones, ranked, _, _ = shared_words.value
+        names, cols, n = np.concatenate([ranked, table[0]]), [c.astype(np.int64) for c in table[1 : 1 + order]], table[1 + order].astype(np.int64)
         keys = np.concatenate([x[0] for x in answered]) if answered else np.zeros(0, np.int64)
         keys = keys.view(np.uint64)
         by = np.argsort(keys)
@@ -439,12 +453,12 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
             return np.where(found, values[at], 0) if len(values) else np.zeros(len(x), np.int64)
 
         grams, contexts = _chains(names, cols)
-        depth = _depth(contexts, shared_often.value)
+        depth = _depth(contexts, ones)
         c = counted(grams[0])
         base, known = np.log10(c + 0.5), c > 0
         p = np.where(known, kept(c, d[0]) / denominator, left)
         for m in range(1, order):
-            start = _runs(_key([cols[1], cols[0], *cols[2 : m + 1]], len(names)))
+            start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
             group = np.repeat(np.arange(len(start)), np.diff([*start, len(n)]))
             # One entry for each n-gram of m words before; these have one lower-order value.
             x, low, own = contexts[m][start], p[start], depth[start] <= m
@@ -466,47 +480,34 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
             under[mine], alpha[mine] = np.where(trained, u, 0.0)[back], np.where(trained, a, 1.0)[back]
             value = np.where(count > 0, kept(count, d[m]) / np.maximum(under, 1.0), np.where(under > 0, alpha, 1.0) * low)
             p = value[group]
-        by = np.argsort(grams[-1])
-        return grams[-1][by], np.log10(p)[by], base[by], known[by]
+        return np.log10(p), base, known
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches):
-            table = [unpack(x[2]) for x in rows if x[0] == 0]
-            if table:
-                found, log_p, base, known = evaluated(table[0], [unpack(x[2]) for x in rows if x[0] == 1])
-                del table
-            out = []
-            for kind, chunk, data, ids in rows:
-                if kind == 3:
-                    out.append((0, 3, chunk, data, ids))
-                if kind == 2:
-                    names, *cols, size, row, times = unpack(data)
-                    cols = [c.astype(np.int64) for c in cols]
-                    at = np.repeat(np.searchsorted(found, _chains(names, cols)[0][-1]), size)
-                    some, back = np.unique(row, return_inverse=True)
-                    out.append((0, 2, chunk, pack(some, np.bincount(back, log_p[at] * times), np.bincount(back, base[at] * times), np.bincount(back, known[at] * times).astype(np.uint32)), None))
-                if len(out) >= 64:
-                    yield message(out)
-                    out = []
-            if out:
-                yield message(out)
-
-    stages = []
-    stored_model = tables.where("kind = 0").select("bucket", "kind", F.lit(None).cast("long").alias("chunk"), "data", F.lit(None).cast(f"array<{id_kind}>").alias("ids"))
-    stored_model = stored_model.unionByName(answers.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("chunk"), "data", F.lit(None).cast(f"array<{id_kind}>").alias("ids")))
-    for wave in range(waves):
-        moved = source.mapInArrow(deal_tokens(wave), schema).unionByName(stored_model.where(F.col("bucket") % waves == wave))
-        moved = moved.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        stages.append(common.stored(moved.mapInArrow(in_bucket, schema), "katz-sums"))
-        del moved
-        common.free_shuffles(spark)
-    common.discard(tables)
-    common.discard(answers)
+        for bucket, rows in _by_bucket(batches):
+            table = next((unpack(data) for kind, data in rows if kind == 0), None)
+            if table is None:
+                continue
+            log_p, base, known = evaluated(table, [unpack(data) for kind, data in rows if kind == 1])
+            chunks, grams_of, rows_in, steps, size, row, times = table[2 + order :]
+            at = np.repeat(np.cumsum(steps, dtype=np.uint32), size)
+            del table, rows, steps
+            a = 0
+            for chunk, m in zip(chunks.tolist(), rows_in.tolist()):
+                s = slice(a, a + m)
+                some, back = np.unique(row[s], return_inverse=True)
+                t = times[s]
+                yield rows_of(2, bucket, 1, chunk=[chunk], data=[pack(some, np.bincount(back, log_p[at[s]] * t), np.bincount(back, base[at[s]] * t), np.bincount(back, known[at[s]] * t).astype(np.uint32))])
+                a += m
+
+    both = tables.where("kind = 0").select("bucket", "kind", "data").unionByName(answers.select("bucket", F.lit(1).alias("kind"), "data"))
+    sums_of = common.stored(both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(in_bucket, schema).select("kind", "chunk", "data", "ids"), "katz-sums")
+    del both
+    common.free_shuffles(spark)
 
     # 6. One total for each row.
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _by_bucket(batches):
-            equal = [(*unpack(data), ids) for kind, data, ids in rows if kind == 3]
+            equal = [(*unpack(data), ids) for kind, data, ids in rows if kind == ABOUT]
             keys, held_flag, count, _ = equal[0]
             score, base, known = (np.zeros(len(keys)) for _ in range(3))
             for kind, data, _ in rows:
@@ -515,12 +516,10 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, waves: int = 2,
                     for x, part in zip((score, base, known), parts):
                         x[some] += part
             score, base, known = score / len(equal), base / len(equal), known / len(equal)  # equal chunks share an id
-            base = base - count * np.log10(total + 0.5 * (vocabulary + 1))
+            base = base - count * np.log10(total + 0.5 * (known_words + 1))
             for *_, ids in equal:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_list.value_type), pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    last = stages[0]
-    for x in stages[1:]:
-        last = last.unionByName(x)
-    last = last.select("chunk", "kind", "data", "ids").repartition("chunk").sortWithinPartitions("chunk")
+    last = tables.where(F.col("kind") == ABOUT).select("chunk", "kind", "data", "ids").unionByName(sums_of.select("chunk", "kind", "data", "ids"))
+    last = last.repartition("chunk").sortWithinPartitions("chunk")
     return last.mapInArrow(total_up, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
