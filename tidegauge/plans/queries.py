@@ -431,7 +431,7 @@ def learned_sampling(spark, sf_dir):
     from ..sources.templates import learned_rate
 
     f = fx.flows(spark, sf_dir).withColumn("announced", F.when(F.col("event_id") % 17 == 0, 100 + F.col("event_id") % 9))
-    return learned_rate(f, "agent_ipv4_address", "event_id", "announced", "sample_ratio", "ratio").select("event_id", "ratio")
+    return learned_rate(f, "agent_ipv4_address", "event_id", "announced", "sample_ratio", "ratio", 97).select("event_id", "ratio")
 
 
 # Scalar functions.

@@ -11,7 +11,8 @@ FLOW = [
     ("forwarding_status", "string", "unknown"), ("number_of_packets", "long", 1), ("length", "long", 0), ("ip_length", "long", 0),
     ("sample_ratio", "long", 1), ("src_asn", "long", 0), ("dst_asn", "long", 0), ("input_interface", "long", 0), ("output_interface", "long", 0),
     ("vlan", "int", 0), ("ttl", "int", 0), ("icmp_type", "int", 0), ("icmp_code", "int", 0), ("flow_start", "long", 0), ("flow_end", "long", 0), ("agent_ipv4_address", "long", 0),
-    ("source", "string", "unknown"),
+    ("source", "string", "unknown"), ("src_country", "string", ""), ("dst_country", "string", ""), ("end_reason", "int", 0),
+    ("tcp_sequence_number", "long", 0), ("tcp_ack_number", "long", 0), ("tcp_window_size", "int", 0),
 ]
 FLOW_DDL = ", ".join(f"{n} {t}" for n, t, _ in FLOW)
 PROTOS = ("total", "tcp", "udp", "icmp", "fragmented", "tcp_syn", "dropped")

@@ -24,6 +24,9 @@ def _transport(row: dict, proto: int, data: bytes) -> str:
         row["source_port"], row["destination_port"] = struct.unpack(">HH", data[:4])
         if proto == 6 and len(data) >= 14:
             row["flags"] = data[13] & 63
+            if len(data) >= 16:
+                row["tcp_sequence_number"], row["tcp_ack_number"] = struct.unpack(">II", data[4:12])
+                row["tcp_window_size"] = struct.unpack(">H", data[14:16])[0]
         elif proto == 6 or len(data) < 8:
             return SHORT
     elif proto in (1, 58):

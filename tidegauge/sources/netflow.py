@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FLOW, FLOW_DDL, flow
-from .frames import OK, ethernet, mac
+from .frames import OK, ethernet, ipv4, mac
 from .templates import as_of, learned_rate
 
 _NAMES = [n for n, _, _ in FLOW]
@@ -33,7 +34,7 @@ def netflow5(payload: bytes, at, exporter: int = 0) -> Iterator[dict]:
     if not 0 < count <= 30:
         return
     ratio = struct.unpack(">H", payload[22:24])[0] & 0x3FFF or 1
-    for i in range(count):
+    for i in range(count):  # fixed values: the layout of a record
         r = payload[24 + 48 * i : 72 + 48 * i]
         if len(r) < 48:
             return
@@ -44,7 +45,7 @@ def netflow5(payload: bytes, at, exporter: int = 0) -> Iterator[dict]:
 
 
 #: Information elements (IANA numbers) with the row's column.
-NUMBERS = {1: "length", 2: "number_of_packets", 4: "protocol", 6: "flags", 7: "source_port", 8: "src_ip", 10: "input_interface", 11: "destination_port", 12: "dst_ip", 14: "output_interface", 16: "src_asn", 17: "dst_asn", 21: "flow_end", 22: "flow_start", 34: "_interval", 50: "_interval", 85: "length", 86: "number_of_packets", 148: "_flow_id", 152: "flow_start", 153: "flow_end", 180: "source_port", 181: "destination_port", 182: "source_port", 183: "destination_port", 230: "_nat", 231: "_fwd_bytes", 232: "_rev_bytes", 298: "_fwd_packets", 299: "_rev_packets", 304: "_algorithm", 305: "_packet_interval", 306: "_packet_space", 318: "_observed", 319: "_selected", 312: "_frame_size", 136: "_end_reason", 36: "_active", 37: "_inactive"}
+NUMBERS = {1: "length", 2: "number_of_packets", 4: "protocol", 6: "flags", 7: "source_port", 8: "src_ip", 10: "input_interface", 11: "destination_port", 12: "dst_ip", 14: "output_interface", 16: "src_asn", 17: "dst_asn", 21: "flow_end", 22: "flow_start", 34: "_interval", 50: "_interval", 85: "length", 86: "number_of_packets", 148: "_flow_id", 152: "flow_start", 153: "flow_end", 180: "source_port", 181: "destination_port", 182: "source_port", 183: "destination_port", 230: "_nat", 231: "_fwd_bytes", 232: "_rev_bytes", 298: "_fwd_packets", 299: "_rev_packets", 304: "_algorithm", 305: "_packet_interval", 306: "_packet_space", 318: "_observed", 319: "_selected", 312: "_frame_size", 136: "end_reason", 15: "_next_hop", 18: "_bgp_next_hop", 82: "_interface_name", 36: "_active", 37: "_inactive"}
 STATUS = ("unknown", "forwarded", "dropped", "consumed")
 
 
@@ -75,7 +76,10 @@ def record(fields: list[tuple[int, int]], data: bytes, at: int, ipfix: bool) ->
             out["source_mac" if kind == 56 else "destination_mac"] = mac(raw)
         elif kind in (156, 157):
             out["flow_start" if kind == 156 else "flow_end"] = number(raw) // 1_000_000
+        elif kind in (62, 63):
+            out["_next_hop6"] = number(raw)
         elif kind == 89:
+            out["_status"] = True
             out["forwarding_status"] = STATUS[raw[-1] >> 6] if size == 1 else STATUS[number(raw) & 3]
         elif kind in (104, 315):
             out["_frame"] = raw
@@ -88,30 +92,45 @@ def options_rate(values: dict) -> int | None:
     return values.get("_interval") or values.get("_packet_interval")
 
 
-def to_rows(values: dict, at, exporter: int, ratio: int | None = None) -> Iterator[dict]:
-    """The rows of one data record: none for NAT events, two for bidirectional ones."""
+def to_rows(values: dict, at, exporter: int, drop_without_next_hop: bool = False, notes: list | None = None) -> Iterator[dict]:
+    """The rows of one data record: none for NAT events, two for bidirectional ones. A row's `own_ratio` is the ratio that the
+    record itself tells, if it does. drop_without_next_hop: no status, no output interface and a next hop of zero mean dropped.
+    notes: takes the names of what was met."""
+    note = notes.append if notes is not None else lambda _: None
     if values.get("_nat"):
+        note("nat_events")
         return
     row = flow(arrival_time=at, source="netflow", agent_ipv4_address=exporter)
-    row |= {k: v for k, v in values.items() if not k.startswith("_")}
+    row |= {k: v for k, v in values.items() if not k.startswith("_")} | {"own_ratio": None}
     if "_frame" in values:
+        note("lite_headers")
         if ethernet(values["_frame"], row) == OK:
+            note("lite_header_parser_success")
             row["length"] = values.get("_frame_size") or row["length"]
             row["number_of_packets"] = 1
             if values.get("_selected"):
-                ratio = values["_observed"] // values["_selected"]
+                row["own_ratio"] = row["sample_ratio"] = values["_observed"] // values["_selected"]
+                note("flows_with_sampling_encoded_in_data_packet_number")
+        else:
+            note("lite_header_parser_error")
     zero = "0" * 32
     if row["ip_protocol_version"] == 6 and row["src_ipv6"] in ("", zero) and row["dst_ipv6"] in ("", zero) and (row["src_ip"] or row["dst_ip"]):
         row["ip_protocol_version"] = 4
+        note("protocol_version_adjustments")
+    if values.get("_status"):
+        note("forwarding_status")
+    elif drop_without_next_hop and not row["output_interface"] and 0 in (values.get("_next_hop"), values.get("_next_hop6")):
+        row["forwarding_status"] = "dropped"
+        note("marked_zero_next_hop_and_zero_output_as_dropped")
     row["flags"] &= 63
     row["ip_length"] = row["ip_length"] or row["length"]
     if row["protocol"] == 1:
         row["source_port"] = row["destination_port"] = 0
-    if ratio:
-        row["sample_ratio"] = ratio
+    note("total_flows")
+    note(f"total_ipv{row['ip_protocol_version']}_flows")
     if not row["length"] and not row["number_of_packets"] - ("number_of_packets" not in values) and values.get("_flow_id"):
         yield row | {"length": values.get("_fwd_bytes", 0), "ip_length": values.get("_fwd_bytes", 0), "number_of_packets": values.get("_fwd_packets", 0)}
-        swap = {"src_ip": "dst_ip", "src_ipv6": "dst_ipv6", "source_port": "destination_port", "input_interface": "output_interface", "src_asn": "dst_asn"}
+        swap = {"src_ip": "dst_ip", "src_ipv6": "dst_ipv6", "source_port": "destination_port", "input_interface": "output_interface", "src_asn": "dst_asn", "src_country": "dst_country"}
         back = {k: row[v] for k, v in swap.items()} | {v: row[k] for k, v in swap.items()}
         yield row | back | {"length": values.get("_rev_bytes", 0), "ip_length": values.get("_rev_bytes", 0), "number_of_packets": values.get("_rev_packets", 0)}
         return
@@ -168,113 +187,231 @@ def decode5(datagrams: DataFrame) -> DataFrame:
     return datagrams.select("payload", "arrival_time", "exporter").mapInPandas(run, FLOW_DDL)
 
 
-def decode_templated(datagrams: DataFrame, default_ratio: int = 1) -> DataFrame:
-    """Flow rows of v9 and IPFIX datagrams. Data before its template is left out; the latest template wins."""
+_KEYS = ["exporter", "source_id", "template_id", "version"]
+END_REASONS = {1: "idle_timeout", 2: "active_timeout", 3: "end_of_flow_timeout", 4: "force_end_timeout", 5: "lack_of_resource_timeout"}
+
+
+def prefix_of(v: int) -> str:
+    return "ipfix_" if v == 10 else "netflow_v9_"
+
+
+def records(fields: list[tuple[int, int]], body: bytes, ipfix: bool, notes: list) -> Iterator[dict]:
+    """The records of a data set. IPFIX sets of fixed length hold up to 0x4000; what is left over is padding."""
+    least = sum(n if n != 65535 or not ipfix else 1 for _, n in fields)
+    varies = ipfix and any(n == 65535 for _, n in fields)
+    if not fields or not least:
+        return
+    if ipfix and not varies:
+        if len(body) // least > 0x4000:
+            return
+        if len(body) % least > 7:
+            notes.append("sets_with_anomaly_padding")
+    at = 0
+    while at + least <= len(body):
+        found = record(fields, body, at, ipfix)
+        if found is None:
+            notes.append("broken_packets")
+            return
+        values, at = found
+        yield values
+    if ipfix and at < len(body):
+        notes.append("packets_with_padding" if not any(body[at:]) else "broken_packets")
+
+
+def framed(datagrams: DataFrame) -> DataFrame:
+    """The sets of v9 and IPFIX datagrams: exporter, seq, arrival_time, source_id, template_id, version, what, fields, body.
 
-    def unframe(batches):
+    what: packet (one for each datagram), unknown, template, options, data. seq orders sets: 65,536 for each datagram."""
+
+    def run(batches):
         import pandas as pd
 
-        names = ["exporter", "seq", "arrival_time", "source_id", "template_id", "ipfix", "fields", "options", "body"]
+        names = ["exporter", "seq", "arrival_time", "source_id", "template_id", "version", "what", "fields", "body"]
         for b in batches:
             out = []
             for p, t, e, s in zip(b["payload"], b["arrival_time"], b["exporter"], b["seq"]):
                 p = bytes(p)
-                if version(p) not in (9, 10):
+                v, order = version(p), s * 65536
+                out.append((e, order, t, 0, 0, v, "packet" if v else "unknown", None, None))
+                if v not in (9, 10):
                     continue
-                ipfix = version(p) == 10
                 for k, (source, kind, body) in enumerate(sets(p)):
-                    order = s * 1000 + k
-                    if kind in ((2, 3) if ipfix else (0, 1)):
-                        out += [(e, order, t, source, name, ipfix, ",".join(f"{a}:{n}" for a, n in fields), opt, None) for name, fields, opt in templates(body, kind, ipfix)]
+                    if kind in ((2, 3) if v == 10 else (0, 1)):
+                        out += [(e, order + k, t, source, name, v, "options" if opt else "template", ",".join(f"{a}:{n}" for a, n in fields), None) for name, fields, opt in templates(body, kind, v == 10)]
                     elif kind >= 256:
-                        out.append((e, order, t, source, kind, ipfix, None, None, body))
+                        out.append((e, order + k, t, source, kind, v, "data", None, body))
             yield pd.DataFrame(out, columns=names)
 
-    framed = datagrams.select("payload", "arrival_time", "exporter", "seq").mapInPandas(unframe, "exporter long, seq long, arrival_time timestamp, source_id long, template_id int, ipfix boolean, fields string, options boolean, body binary")
-    keys = ["exporter", "source_id", "template_id", "ipfix"]
-    versions = framed.where("body is null").select(*keys, F.col("seq").alias("since"), F.concat(F.when(F.col("options"), "o").otherwise("d"), F.lit(";"), "fields").alias("template"))
-    data = as_of(framed.where("body is not null").drop("fields", "options"), versions, keys, F.col("seq"), "template").where("template is not null")
+    return datagrams.select("payload", "arrival_time", "exporter", "seq").mapInPandas(run, "exporter long, seq long, arrival_time timestamp, source_id long, template_id int, version int, what string, fields string, body binary")
+
+
+def events(sets: DataFrame, drop_without_next_hop: bool = False) -> DataFrame:
+    """What the data sets of framed() hold: flow columns, seq, version, kind (flow, option, other), own_ratio, announced,
+    active_timeout, inactive_timeout, interface, interface_name, notes. Data before its template is left out; the latest
+    template wins."""
+    versions = sets.where("what in ('template', 'options')").select(*_KEYS, F.col("seq").alias("since"), F.concat_ws(";", F.substring("what", 1, 1), "fields").alias("template"))
+    data = as_of(sets.where("what = 'data'").drop("fields", "what"), versions, _KEYS, F.col("seq"), "template")
+    more = ["seq", "version", "kind", "own_ratio", "announced", "active_timeout", "inactive_timeout", "interface", "interface_name", "notes"]
 
     def read(batches):
         import pandas as pd
 
         for b in batches:
             out = []
+
+            def add(r, notes, row=None, **known):
+                out.append((row or flow(arrival_time=r.arrival_time, agent_ipv4_address=r.exporter)) | dict.fromkeys(c for c in more if not row or c not in row) | {"seq": r.seq, "version": r.version, "notes": ",".join(prefix_of(r.version) + n for n in notes)} | known)
+
             for r in b.itertuples():
+                if not isinstance(r.template, str):
+                    add(r, ["packets_with_unknown_templates"], kind="other")
+                    continue
                 kind, _, text = r.template.partition(";")
-                fields = [tuple(map(int, x.split(":"))) for x in text.split(",") if x]
-                at, body = 0, bytes(r.body)
-                least = sum(n if n != 65535 else 1 for _, n in fields)
-                while fields and least and at + least <= len(body):
-                    found = record(fields, body, at, r.ipfix)
-                    if found is None:
-                        break
-                    values, at = found
+                fields, notes = [tuple(map(int, x.split(":"))) for x in text.split(",") if x], ["options_packet_number" if kind == "o" else "data_packet_number"]
+                for values in records(fields, bytes(r.body), r.version == 10, notes):
                     if kind == "o":
-                        out.append(flow(arrival_time=r.arrival_time, agent_ipv4_address=r.exporter) | {"seq": r.seq, "announced": options_rate(values)})
-                    else:
-                        out += [row | {"seq": r.seq, "announced": -1 if row["sample_ratio"] == 1 else -row["sample_ratio"]} for row in to_rows(values, r.arrival_time, r.exporter)]
-            yield pd.DataFrame(out, columns=[*_NAMES, "seq", "announced"])
-
-    rows = data.mapInPandas(read, FLOW_DDL + ", seq long, announced long")
-    rows = rows.withColumns({"is_flow": F.coalesce(F.col("announced") < 0, F.lit(False)), "rate": F.when(F.col("announced") > 0, F.col("announced"))})
-    rows = learned_rate(rows.withColumn("fallback", F.lit(default_ratio).cast("long")), "agent_ipv4_address", "seq", "rate", "fallback", "learned")
-    rows = rows.where("is_flow").withColumn("sample_ratio", F.when(F.col("announced") < -1, -F.col("announced")).otherwise(F.col("learned")))
-    return rows.select(*_NAMES)
-
-
-def sflow5(payload: bytes, at) -> Iterator[dict]:
-    """One row for each flow sample; other enterprises and counter samples are passed over."""
+                        rate = options_rate(values)
+                        own = [n for n, c in (("custom_sampling_rate_received", rate), ("active_flow_timeout_received", values.get("_active")), ("inactive_flow_timeout_received", values.get("_inactive"))) if c]
+                        add(r, own, kind="option", announced=rate, active_timeout=values.get("_active"), inactive_timeout=values.get("_inactive"), interface=values.get("input_interface"), interface_name=str(values["_interface_name"]) if "_interface_name" in values else None)
+                        continue
+                    own = []
+                    for i, row in enumerate(to_rows(values, r.arrival_time, r.exporter, drop_without_next_hop, own)):
+                        if i == 0 and r.version == 10 and row["end_reason"] in END_REASONS:
+                            own.append(f"flows_end_reason_{END_REASONS[row['end_reason']]}")
+                        add(r, own if i == 0 else [], row, kind="flow")
+                    if values.get("_nat"):
+                        add(r, own, kind="other")
+                add(r, notes, kind="other")
+            yield pd.DataFrame(out, columns=[*_NAMES, *more])
+
+    return data.mapInPandas(read, FLOW_DDL + ", seq long, version int, kind string, own_ratio long, announced long, active_timeout long, inactive_timeout long, interface long, interface_name string, notes string")
+
+
+def decode_templated(datagrams: DataFrame, default_ratio: int = 1, keep: str | None = None, drop_without_next_hop: bool = False) -> DataFrame:
+    """Flow rows of v9 and IPFIX datagrams, with the ratio of the record or else the exporter's last announced one.
+
+    keep: a shared folder to store the sets in, so that datagrams are unpacked once, not once for templates and once for data."""
+    sets = framed(datagrams)
+    if keep:
+        sets.write.parquet(keep)
+        sets = datagrams.sparkSession.read.parquet(keep)
+    rows = events(sets, drop_without_next_hop).withColumn("fallback", F.lit(default_ratio).cast("long"))
+    rows = learned_rate(rows, "agent_ipv4_address", "seq", "announced", "fallback", "learned", 65536 * 1_000_000)
+    return rows.where("kind = 'flow'").withColumn("sample_ratio", F.coalesce("own_ratio", "learned")).select(*_NAMES)
+
+
+def exporter_options(datagrams: DataFrame) -> DataFrame:
+    """What exporters announced in options: exporter, seq, sampling rate, timeouts, interface names."""
+    return events(framed(datagrams)).where("kind = 'option'").select(F.col("agent_ipv4_address").alias("exporter"), "seq", F.col("announced").alias("sampling_rate"), "active_timeout", "inactive_timeout", "interface", "interface_name")
+
+
+def decode_counters(datagrams: DataFrame) -> DataFrame:
+    """name, value: what decoding v5, v9 and IPFIX datagrams met, by the names of the system counters."""
+    from ..operators.counters import duration_bucket
+
+    sets = framed(datagrams)
+    v = F.col("version")
+    own = F.when(v == 10, "ipfix_").when(v == 9, "netflow_v9_").otherwise("netflow_v5_")
+    frames = sets.where("what <> 'data'").select(F.explode(F.when(F.col("what") == "packet", F.array(F.lit("netflow_ipfix_total_packets"), F.concat(own, F.lit("total_packets")))).when(F.col("what") == "unknown", F.array(F.lit("netflow_ipfix_total_packets"), F.lit("netflow_ipfix_unknown_protocol_version"))).when(F.col("what") == "template", F.array(F.concat(own, F.lit("data_templates_number")))).otherwise(F.array(F.concat(own, F.lit("options_templates_number"))))).alias("name"))
+    changes = sets.where("what in ('template', 'options')").withColumn("before", F.lag(F.concat("what", "fields")).over(Window.partitionBy(*_KEYS).orderBy("seq"))).where("before is not null")
+    changes = changes.select(F.when(F.col("before") == F.concat("what", "fields"), "template_update_attempts_with_same_template_data").otherwise(F.concat(own, F.lit("template_updates_number_due_to_real_changes"))).alias("name"))
+    seconds = ((F.col("flow_end") - F.col("flow_start")) / 1000).cast("long")
+    bucket = lambda k: F.regexp_replace(duration_bucket(seconds, k), "^[0-9]+-", "")
+    lasting = lambda head, k: F.concat(F.lit(f"{head}duration_"), F.when(bucket(k) == "0", "0_seconds").when(bucket(k) == "180+", "exceed_180_seconds").when(bucket(k) == "negative", "negative").otherwise(F.concat(F.lit("less_"), bucket(k), F.lit("_seconds"))))
+    found = events(sets)
+    notes = found.where("notes <> ''").select(F.explode(F.split("notes", ",")).alias("name"))
+    times = found.where("kind = 'flow'").select(F.when(v == 10, lasting("ipfix_", "ipfix")).otherwise(lasting("netflow_v9_", "v9")).alias("name"))
+    five = decode5(datagrams)
+    five = five.select(F.explode(F.array(F.lit("netflow_v5_total_flows"), lasting("netflow_v5_", "v5"))).alias("name"))
+    return reduce(DataFrame.unionByName, [frames, changes, notes, times, five]).groupBy("name").agg(F.count(F.lit(1)).alias("value"))
+
+
+def sflow5(payload: bytes, at, notes: list | None = None) -> Iterator[dict]:
+    """One row for each flow sample; other enterprises are passed over, counter samples only noted. notes: names of what was met."""
+    note = notes.append if notes is not None else lambda _: None
+    note("total_packets")
     if len(payload) < 8 or number(payload[:4]) != 5:
+        note("bad_packets")
         return
     v6 = number(payload[4:8]) == 2
     agent = 0 if v6 else number(payload[8:12])
     pos = 8 + (16 if v6 else 4) + 12
     count = number(payload[pos : pos + 4])
     pos += 4
-    if count > 256:
+    if count > 256 or pos > len(payload):
+        note("bad_packets")
         return
     for _ in range(count):
         if pos + 8 > len(payload):
+            note("bad_packets")
             return
         kind, size = struct.unpack(">II", payload[pos : pos + 8])
         body, pos = payload[pos + 8 : pos + 8 + size], pos + 8 + size
         if len(body) < size:
+            note("bad_packets")
             return
-        if kind >> 12 or kind not in (1, 3):
+        if kind >> 12:
+            continue
+        if kind in (2, 4):
+            note("counter_sample" if kind == 2 else "expanded_counter_sample")
+            head = 8 if kind == 2 else 12
+            for what, _ in _records(body, head, note):
+                if what == 1:
+                    note("generic_interface_counter_sample")
+            continue
+        if kind not in (1, 3):
             continue
+        note("flow_samples")
+        if size < (32 if kind == 1 else 44):
+            note("bad_flow_samples")
+            return
         if kind == 1:
-            if size < 32:
-                return
             ratio, out_port, inp, head = number(body[8:12]), number(body[24:28]), number(body[20:24]), 28
             dropped, out_if = out_port >> 30 == 1, out_port & 0x3FFFFFFF
         else:
-            if size < 44:
-                return
             ratio, inp, dropped, out_if, head = number(body[12:16]), number(body[28:32]), number(body[32:36]) == 1, number(body[36:40]), 40
         row = flow(arrival_time=at, source="sflow", sample_ratio=ratio, input_interface=inp & 0x3FFFFFFF, output_interface=out_if, agent_ipv4_address=agent)
         if dropped:
+            note("packets_discarded")
             row["forwarding_status"] = "dropped"
-        records, p, good = number(body[head : head + 4]), head + 4, True
-        for _ in range(min(records, 256)):
-            if p + 8 > len(body):
-                good = False
-                break
-            what, length = struct.unpack(">II", body[p : p + 8])
-            content, p = body[p + 8 : p + 8 + length], p + 8 + length
+        good, bad = True, []
+        for what, content in _records(body, head, bad.append):
             if what == 1 and len(content) >= 16:
+                note("raw_packet_headers_total")
                 protocol, frame_length, _, captured = struct.unpack(">IIII", content[:16])
-                from .frames import ipv4
-
                 raw = content[16 : 16 + captured]
+                note({11: "ipv4_header_protocol", 12: "ipv6_header_protocol"}.get(protocol, "unknown_header_protocol") if protocol != 1 else "")
                 status = ethernet(raw, row) if protocol == 1 else ipv4(raw, row, False) if protocol == 11 else "unsupported"
+                if status != OK:
+                    note("parse_error_nested_header")
                 good &= status == OK
                 row["length"], row["ip_length"] = frame_length, row["ip_length"] or frame_length
+            elif what == 1:
+                note("invalid_raw_packet_header")
+            elif what in (1001, 1002):
+                note("extended_switch_data_records" if what == 1001 else "extended_router_data_records")
             elif what == 1003 and len(content) >= 16:
+                note("extended_gateway_data_records")
                 skip = 4 + (16 if number(content[:4]) == 2 else 4)
                 row["src_asn"], row["dst_asn"] = number(content[skip : skip + 4]), number(content[skip + 4 : skip + 8])
-        if good:
+        if bad:
+            note("bad_flow_samples")
+        elif good:
             yield row
+    if pos < len(payload):
+        note("with_padding_at_the_end_of_packet")
+
+
+def _records(body: bytes, at: int, note) -> Iterator[tuple[int, bytes]]:
+    """(kind, content) of a sample's records, 256 at most; notes bad_records where they do not fit."""
+    count, at = number(body[at : at + 4]), at + 4
+    for _ in range(min(count, 256)):
+        if at + 8 > len(body):
+            note("bad_records")
+            return
+        what, length = struct.unpack(">II", body[at : at + 8])
+        yield what, body[at + 8 : at + 8 + length]
+        at += 8 + length
 
 
 def decode_sflow(datagrams: DataFrame) -> DataFrame:
@@ -285,3 +422,19 @@ def decode_sflow(datagrams: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for p, t in zip(b["payload"], b["arrival_time"]) for r in sflow5(bytes(p), t)], columns=_NAMES)
 
     return datagrams.select("payload", "arrival_time").mapInPandas(run, FLOW_DDL)
+
+
+def sflow_counters(datagrams: DataFrame) -> DataFrame:
+    """name, value: what decoding sFlow datagrams met, by the names of the system counters."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            notes: list[str] = []
+            for p in b["payload"]:
+                for _ in sflow5(bytes(p), None, notes):
+                    pass
+            yield pd.DataFrame({"name": [f"sflow_{n}" for n in notes if n]})
+
+    return datagrams.select("payload").mapInPandas(run, "name string").groupBy("name").agg(F.count(F.lit(1)).alias("value"))

@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def learned_rate(df: DataFrame, exporter: str, order: str, announced: str, fallback: str, out: str, buckets: int = 64) -> DataFrame:
+def learned_rate(df: DataFrame, exporter: str, order: str, announced: str, fallback: str, out: str, width: int = 1_000_000) -> DataFrame:
     """The exporter's last non-null announced value up to each row, else the row's fallback.
 
-    Rows of one exporter are ranged into buckets of the order column, so a hot exporter spreads: inside a bucket a window
-    carries the value, and each bucket starts from the last value of the buckets before it.
+    Rows of one exporter are ranged into buckets of `width` of the order column, so a hot exporter spreads: inside a bucket a
+    window carries the value, and each bucket starts from the last value of the buckets before it.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(out, F.col(fallback))
-    width = max(1, (high - low) // buckets + 1)
-    dealt = df.withColumn("__b", F.floor((F.col(order) - low) / width).cast("int"))
+    dealt = df.withColumn("__b", F.floor(F.col(order) / F.lit(width)))
     last = dealt.where(F.col(announced).isNotNull()).groupBy(exporter, "__b").agg(F.max_by(announced, order).alias("__v"))
     w = Window.partitionBy("__e").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     keys = dealt.select(exporter, "__b").distinct().join(last, [exporter, "__b"], "left").withColumnsRenamed({exporter: "__e", "__b": "__p"})
