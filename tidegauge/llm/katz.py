@@ -15,7 +15,8 @@ is too common for that is dealt by its next word back, and by the whole n-gram i
 for the counts that they lack in one join. Scoring reads the tables: each bucket evaluates the recursion for each distinct
 n-gram and sums by row. Words travel as ranks in a vocabulary of the `vocabulary` most frequent ones, others as 64-bit hashes.
 
-Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. At most 8 contexts a
+Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. Buckets are scored in
+`waves` parts, so that the shuffle of stored n-grams to their answers is that part only. At most 8 contexts a
 bucket and order are common, and the vocabulary has a fixed size. Words and n-grams are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty, its only token is the end; rows equal in doc_id and text count as often as they
@@ -235,7 +236,7 @@ def _value(col: Column, d: np.ndarray) -> Column:
     return factor * col
 
 
-def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -262,9 +263,11 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
             counts = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
             while level < order and len(some):
                 part = [c[some] for c in cols[: level + 1]]
-                _, same, times = np.unique(_key(part[1:], len(names)), return_inverse=True, return_counts=True)
-                often = times >= max(1, share * len(w))
-                some = some[often[same]]
+                if level == 1:
+                    same, times = part[1], np.bincount(part[1], minlength=len(names))
+                else:
+                    _, same, times = np.unique(_key(part[1:], len(names)), return_inverse=True, return_counts=True)
+                some = some[(times >= max(1, share * len(w)))[same]]
                 if len(some):
                     x = _chains(names, [c[some] for c in cols[: level + 1]])[1][level]
                     found, times = np.unique(x, return_counts=True)
@@ -500,9 +503,12 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
                 a += m
 
     both = tables.where("kind = 0").select("bucket", "kind", "data").unionByName(answers.select("bucket", F.lit(1).alias("kind"), "data"))
-    sums_of = common.stored(both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(in_bucket, schema).select("kind", "chunk", "data", "ids"), "katz-sums")
-    del both
-    common.free_shuffles(spark)
+    parts = []
+    for wave in range(waves):
+        mine = both.where(F.col("bucket") % waves == wave).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        parts.append(common.stored(mine.mapInArrow(in_bucket, schema).select("kind", "chunk", "data", "ids"), "katz-sums"))
+        del mine
+        common.free_shuffles(spark)
 
     # 6. One total for each row.
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,6 +526,8 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
             for *_, ids in equal:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_list.value_type), pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    last = tables.where(F.col("kind") == ABOUT).select("chunk", "kind", "data", "ids").unionByName(sums_of.select("chunk", "kind", "data", "ids"))
+    last = tables.where(F.col("kind") == ABOUT).select("chunk", "kind", "data", "ids")
+    for x in parts:
+        last = last.unionByName(x)
     last = last.repartition("chunk").sortWithinPartitions("chunk")
     return last.mapInArrow(total_up, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
