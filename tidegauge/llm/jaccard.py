@@ -174,15 +174,16 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
             yield pa.RecordBatch.from_arrays([pa.array(member[a : a + 50_000].view(np.int64)), pa.array(cls[a : a + 50_000]), pa.array(size[at]), pa.array(pos[at].astype(np.int32)), pa.array(match[at].astype(np.int32))], ["member", "cls", "size", "pos", "match"])
 
     lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, pos int, match int")
-    lists = common.stored(lists, "jaccard-lists")
+    lists = plain = common.stored(lists, "jaccard-lists")
     common.discard(raw, "kind=1")
     # Of a class's members only those with other postings can be common: `nth` of them have come at a position.
     own = Window.partitionBy("cls")
     lists = common.stored(lists.withColumns({"nth": F.row_number().over(own.orderBy("pos")), "degree": F.count(F.lit(1)).over(own)}), "jaccard-ranked")
+    common.discard(plain)
     common.free_shuffles(spark)
 
     involved = lists.select("cls").distinct()
-    reps = rows.join(involved, F.col("class") == F.col("cls"), "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    reps = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("rep")).join(involved, F.col("class") == F.col("cls"), "left_semi")
     reps = reps.select(F.col("class").alias("cls"), F.col("rep.doc_id").alias("r_id"), F.col("rep.h").alias("r_h"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
 
     # Stars: each class with one pivot, that of its lists with which it shares most members; a list's pivot is first the class
     # with most shared members and then changes with the round. Only classes of another component than the pivot's are compared.
-    edges, marked = None, lists.withColumn("root", F.col("cls"))
+    edges, marked, held = None, lists.withColumn("root", F.col("cls")), None
     sides = ("cls", "size", "pos", "match", "nth", "root")
     for turn in range(most_stars):
         by = F.xxhash64("cls", F.lit(turn)) if turn else -F.col("degree")
@@ -248,7 +249,10 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         edges = fresh if edges is None else edges.unionByName(fresh)
         roots = common.stored(components(edges), "jaccard-roots")
         marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "pos", "match", "nth", "degree", F.coalesce("root", "cls").alias("root"))
-        marked = common.stored(marked, "jaccard-marked")
+        before, marked = held, common.stored(marked, "jaccard-marked")
+        held = marked
+        if before is not None:
+            common.discard(before)
         common.free_shuffles(spark)
 
     # All other candidates, between components only. A list within one component has none.
@@ -257,7 +261,14 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
     other = left.select("member", *[F.col(c).alias(f"o_{c}") for c in sides])
     both = left.join(other, (left["member"] == other["member"]) & F.expr(f"cls < o_cls and root <> o_root and {fits} and {level('')} and {level('o_')} and {room}"))
     pairs = common.stored(candidates(both).select("a", "b"), "jaccard-pairs")
+    common.discard(left)
+    common.discard(lists)
+    if held is not None:
+        common.discard(held)
+    common.free_shuffles(spark)
     more = common.stored(verified(pairs), "jaccard-links")
+    common.discard(whole_texts)
+    common.free_shuffles(spark)
     return rows, more if edges is None else edges.unionByName(more)
 
 
