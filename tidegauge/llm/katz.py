@@ -236,7 +236,7 @@ def _value(col: Column, d: np.ndarray) -> Column:
     return factor * col
 
 
-def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
