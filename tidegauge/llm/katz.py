@@ -171,7 +171,7 @@ def _dealt(grams: list[np.ndarray], contexts: list[np.ndarray], depth: np.ndarra
 def _coded(names: np.ndarray, cols: list[np.ndarray], vocabulary: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """(other names, columns): indexes are ranks in the vocabulary, and beyond its size places among the other names."""
     at, found = _find(vocabulary, names)
-    code = np.where(found, ranks[at], 0)
+    code = np.where(found, ranks[at], 0).astype(np.int64)
     code[~found] = len(vocabulary) + np.arange(np.count_nonzero(~found))
     return names[~found], [code[c] for c in cols]
 
@@ -236,7 +236,7 @@ def _value(col: Column, d: np.ndarray) -> Column:
     return factor * col
 
 
-def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 16, chunk_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 19, chunk_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -304,10 +304,15 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
     sums = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), *classes("n")).first()
     total, known_words = sums["n"] or 0, sums["v"]
     counts_of = {0: np.array([0] + [sums[f"c{r}"] or 0 for r in range(1, k + 2)], np.int64)}
-    top = unigrams.orderBy(F.desc("n"), "key").limit(vocabulary).select("key").collect()
-    top = np.append(BOS, np.array([r["key"] for r in top], np.int64).view(np.uint64))  # by rank
+    # The vocabulary: all words from some count on, the least such count (in steps of a 16th of a power of 2) that is not too many.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = sorted(((r["l"], r["m"]) for r in unigrams.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    least = next((l for (l, _), upto in zip(levels, np.cumsum([m for _, m in levels])) if upto > vocabulary), -1)
+    table = unigrams.where(level > least).select("key", "n").toArrow()
+    hashes, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    top = np.append(BOS, hashes[np.lexsort((hashes, -n))])  # by rank
     by_hash = np.argsort(top)
-    shared_words = spark.sparkContext.broadcast((often, top, top[by_hash], by_hash))
+    shared_words = spark.sparkContext.broadcast((often, top, top[by_hash], by_hash.astype(np.int32)))
 
     # 2. N-grams of all texts with their training counts and rows, to their buckets; those of common contexts by themselves, too.
     TABLE = ["kind", "bucket", "key", "n", "ctx", "lower", "chunk", "data", "ids"]
