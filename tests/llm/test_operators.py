@@ -308,6 +308,33 @@ def test_packing_padding():
         assert sum(fill.values()) >= (1 - most) * 1024 * len(fill)
 
 
+def test_warc_reads_what_is_listed(spark, tmp_path):
+    """Files of lost attempts and unfinished ones stay unread; columns with inner names; equal rows have records of their own."""
+    rows = [(1, "u", "a", 5, "x"), (1, "u", "a", 5, "x"), (2, "v", "b", 6, "y")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, size int, first string"), str(tmp_path))
+    one = next(f for f in tmp_path.iterdir() if f.name.startswith("part"))
+    (tmp_path / "part-000000-0000-99.warc.gz").write_bytes(one.read_bytes())
+    (tmp_path / "_part-000000-0000-98.warc.gz").write_bytes(one.read_bytes()[:40])
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 1, 2] and len({r["record_id"] for r in got}) == 3
+    (tmp_path / "_files").unlink()
+    assert warc.read(spark, str(tmp_path)).count() > 3
+
+
+def test_shards_by_bundles(docs):
+    """Light groups packed in bundles: whole groups, nearly even shards, gapless slots."""
+    rng = random.Random(4)
+    rows = [(i, "x" * 5000 + str(i) if i % 40 == 0 else f"t{rng.randrange(900)} " * rng.randrange(1, 4)) for i in range(3000)]
+    got = shards.shard(docs(rows), 8, heavy=256, bundles=128).collect()
+    size, shard_of = Counter(), {}
+    for r in got:
+        size[r["shard"]] += r["size"]
+        assert shard_of.setdefault((r["text_crc32"], r["size"]), r["shard"]) == r["shard"]
+    assert len(got) == 3000 and max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 8
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "u3", "same"), (1, "u1", "same"), (2, "u2\r\nx", None), (4, None, ""), (5, "u", "é" * 50000), (None, "n", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -443,6 +470,23 @@ def test_ann(spark):
     assert ann.search(none, books, none).collect() == []
 
 
+def test_ann_of_odd_tables(spark):
+    """Repeated ids, columns with inner names, short vectors against long ones, several blocks of queries, an empty table."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * rng.choice([0.01, 1.0, 30.0], 300)[:, None]
+    rows = [(i % 290, v.tolist(), 1.0, b"x", 2, "k") for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, norm double, v binary, n int, codes string").repartition(7)
+    indexed, books = ann.index(frame)
+    got = defaultdict(list)
+    for r in ann.search(indexed, books, indexed.where("vec_id >= 10 and vec_id % 3 = 0"), k=5, rerank=8, block=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["score"])
+    for i in range(12, 290, 3):
+        want = np.sort((x * x[i]).sum(1)[np.arange(300) % 290 != i])[::-1][:5]
+        assert got[i] == pytest.approx(want.tolist(), rel=1e-12)
+    nothing, books = ann.index(frame.where("false"))
+    assert ann.search(nothing, books, nothing).collect() == []
+
+
 @pytest.mark.parametrize("noise", [0.002, 0.02])
 def test_ann_of_near_copies(spark, noise):
     """A third of all vectors are near copies of one: their codes tie, and the true 20 are found all the same."""
