@@ -8,6 +8,9 @@ member until the header ends, and unpacks a payload only where the row is wanted
 read options: path (folder or file URI reachable by pyarrow.fs), payload (none, check, or bytes; default none: check unpacks and
 compares the digest, bytes returns it too), partitionBytes (default 64 MB).
 
+Files are named by task attempt, and a list of those of the attempts that counted is written last; a reader keeps to the list
+where there is one, and passes over names that begin with "_".
+
 Edge cases: a null html is an empty payload; equal payloads are kept once (smallest page_id; a null id sorts last), rows that repeat an id keep a
 record each; an empty table writes no records; records of other writers without 'sl' are unpacked to find their end.
 """
@@ -42,7 +45,9 @@ def member(data: bytes, level: int = 1) -> bytes:
     """One gzip member with its packed and unpacked length in the extra field 'sl'."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
-    extra = b"sl" + struct.pack("<HII", 8, 10 + 2 + 12 + len(body) + 8, len(data) & 0xFFFFFFFF)
+    if len(data) >= 1 << 32 or len(body) + 32 >= 1 << 32:  # too long for the field: readers unpack such a member to find its end
+        return b"\x1f\x8b\x08\x00" + b"\x00" * 4 + b"\x00\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, 10 + 2 + 12 + len(body) + 8, len(data))
     return b"\x1f\x8b\x08\x04" + b"\x00" * 4 + b"\x00\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -129,7 +134,11 @@ class WarcReader(DataSourceReader):
         system, path = _fs(self.options["path"])
         info = system.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
-        files = sorted((f for f in files if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
+        files = sorted((f for f in files if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith("_")), key=lambda f: f.path)
+        if info.type != fs.FileType.File and system.get_file_info(f"{path}/{LIST}").type == fs.FileType.File:
+            with system.open_input_stream(f"{path}/{LIST}") as listed:
+                names = set(listed.read().decode().split())
+            files = [f for f in files if f.base_name in names]  # what lost or repeated tasks left behind is not in the list
         most, out, held, size = int(self.options.get("partitionbytes", 64 << 20)), [], [], 0
         for f in files:
             if held and size + f.size > most:
@@ -175,6 +184,8 @@ class WarcReader(DataSourceReader):
 
 
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+#: The file that names a folder's archives, once all are written.
+LIST = "_files"
 
 
 class WarcSource(DataSource):
@@ -210,21 +221,21 @@ def write(pages: DataFrame, path: str, file_bytes: int = 256 << 20, least: int =
         system, root = _fs(path)
         system.create_dir(root, recursive=True)
         context = TaskContext.get()
-        out, name, done, files = None, "", [0, 0], []
+        out, name, done, files, n = None, "", [0, 0], [], 0
 
         def close():
             out.close()
-            system.move(f"{root}/_{name}", f"{root}/{name}")
+            system.move(f"{root}/_{name}", f"{root}/{name}")  # names hold the attempt: two never write one file
             files.append((name, *done))
 
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if out is None:
-                    name = f"part-{context.partitionId():06d}-{len(files):04d}.warc.gz"
+                    name = f"part-{context.partitionId():06d}-{len(files):04d}-{context.taskAttemptId()}.warc.gz"
                     out, done = system.open_output_stream(f"{root}/_{name}", compression=None), [0, 0]
-                payload = html.encode()
+                payload, n = html.encode(), n + 1
                 kind = "response" if refers is None else "revisit"
-                headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url}')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
+                headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url}|{context.partitionId()}|{n}')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
                 if page is not None:
                     headers.append(("X-Page-Id", str(page)))
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -241,7 +252,13 @@ def write(pages: DataFrame, path: str, file_bytes: int = 256 << 20, least: int =
             close()
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
 
-    return common.stored(joined.mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    written = common.stored(joined.mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    system, root = _fs(path)
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/{LIST}") as out:
+        for r in written.select("file").toLocalIterator():
+            out.write(f"{r[0]}\n".encode())
+    return written
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
