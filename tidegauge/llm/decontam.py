@@ -14,6 +14,7 @@ repeated rows are answered alike; an empty benchmark leaves every document clean
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,18 @@ class Finder:
         return len(found), merge(hits), items
 
 
+_kept: dict[str, Finder] = {}
+
+
+def _finder(name: str, items: list[tuple[str, str]], size: int) -> Finder:
+    """The Finder of a block of items, built once in each Python worker; the last two are kept."""
+    if name not in _kept:
+        while len(_kept) > 1:
+            _kept.pop(next(iter(_kept)))
+        _kept[name] = Finder(items, size)
+    return _kept[name]
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -122,9 +135,9 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
-    def scanner(block):
+    def scanner(block, name):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block.value, size)
+            finder = _finder(name, block.value, size)
             for batch in batches:
                 ids, body, was_items, was_spans = (batch.column(i) for i in range(4))
                 n, out_items, out_spans = [], [], []
@@ -142,7 +155,7 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str =
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<from:long,to:long>>").alias("spans"))
     for part in item_blocks(items, item_col, item_text, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(part)  # at most block_bytes and one item
-        out = out.select("doc_id", "text", "items", "spans").mapInArrow(scanner(block), typed)
+        out = out.select("doc_id", "text", "items", "spans").mapInArrow(scanner(block, uuid.uuid4().hex), typed)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
@@ -153,8 +166,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: s
     for part in item_blocks(items, "item_id", "text", block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(part)
 
-        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block.value, size)
+        def keep(batches: Iterator[pa.RecordBatch], block=block, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            finder = _finder(name, block.value, size)
             for batch in batches:
                 yield batch.filter(pa.array([not finder.find(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
 
