@@ -1,8 +1,9 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (equal texts).
 
-Groups of one weight are interchangeable, so packing works on (weight, count) classes: distinct weights are distinct
-positive integers whose sum is at most the total bytes, so there are at most sqrt(2 * bytes) classes (14 million for
-100 TB); only those reach the driver. Groups and documents stay distributed.
+Groups of one weight are interchangeable, so packing works on (weight, count) classes. Groups lighter than the total over
+`heavy` are first put into `bundles` by hash, whole, and a bundle is packed as one item: at most `heavy` groups and all bundles
+reach the driver, whatever the input. Sizes of shards then differ by about a bundle, total / bundles. Groups and documents stay
+distributed.
 
 Edge cases: null text counts as empty (size 1, crc32 0) and shares the group of empty texts; equal texts stay in one
 shard even if a group outweighs the mean shard, whose shard then takes nothing else while others stay even; repeated rows
@@ -128,7 +129,7 @@ def even_bins(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int,
     return runs + [(w, a + shift.get(w, 0), b + shift.get(w, 0), base + at) for w, a, b, at in best[0]]
 
 
-def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1 << 17, bundles: int = 1 << 15) -> DataFrame:
     """Give every row a shard and a slot: with `shards`, sizes as near equal as best fit makes them; with `capacity`, as
     few shards of that many bytes as best fit needs. Columns: doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
@@ -138,11 +139,19 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     group = ["__h", "text_crc32", "size"]
     groups = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__w", F.col("__copies") * F.col("size"))
     groups = common.stored(groups, "shard-groups")
-    classes = [(r["__w"], r["n"]) for r in groups.groupBy("__w").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    total = groups.agg(F.sum("__w")).first()[0] or 0
+    light = F.col("__w") * heavy < total
+    bundle = F.pmod(F.xxhash64(*group, F.lit(1)), F.lit(bundles))
+    # Items: a heavy group by its own key, a bundle by its number.
+    keyed = groups.withColumns({"__bundle": F.when(light, bundle).otherwise(-1), **{f"__i{k}": F.when(~light, F.col(c)).otherwise(0) for k, c in enumerate(group)}})
+    item = ["__bundle", *(f"__i{k}" for k in range(len(group)))]
+    items = common.stored(keyed.groupBy(*item).agg(F.sum("__w").alias("__w")), "shard-items")
+    classes = [(r["__w"], r["n"]) for r in items.groupBy("__w").agg(F.count(F.lit(1)).alias("n")).collect()]  # heavy + bundles at most
     runs = even_bins(classes, shards) if capacity is None else best_fit_decreasing(classes, capacity)[0]
     plan = common.rows(spark, runs, "rw long, r0 long, r1 long, shard int")
-    ranked = common.rank_within(groups, ["__w"], group, "__rank")
-    placed = ranked.join(plan, (F.col("__w") == F.col("rw")) & (F.col("__rank") >= F.col("r0")) & (F.col("__rank") < F.col("r1"))).select(*group, "__copies", "shard")
+    ranked = common.rank_within(items, ["__w"], item, "__rank")
+    placed = ranked.join(plan, (F.col("__w") == F.col("rw")) & (F.col("__rank") >= F.col("r0")) & (F.col("__rank") < F.col("r1"))).select(*item, "shard")
+    placed = keyed.join(placed, item).select(*group, "__copies", "shard")
     of = common.spread_join(sized, common.stored(placed, "shard-plan"), {c: c for c in group}, "__copies", ["shard"], ["doc_id"])
     out = common.rank_within(of.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
