@@ -365,10 +365,14 @@ def test_chat(spark):
     rows = [(c, t, r, nasty[(c * t) % len(nasty)] if t else "hello") for c in range(20) for t, r in enumerate(["system", "user", "assistant", "user\nx", None][: 2 + c % 4])]
     rows += [(None, 0, "user", "q"), (None, None, "user", "before")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("leaf", F.lit(1))
-    segments, members = chat.tree(table)
-    got = members.join(chat.digests(segments), "leaf").collect()
+    check_chat(rows, *chat.tree(table))
+    assert chat.tree(table.where("false"))[2].collect() == []
+
+
+def check_chat(rows, segments, trunk, members):
     import hashlib
 
+    got = members.join(chat.digests(segments, trunk), "leaf").collect()
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -378,8 +382,28 @@ def test_chat(spark):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert row["n_turns"] == len(turns) and row["loss_chars"] == len(loss) and row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
-    assert segments.where("depth = 0 and role = 'system'").count() <= segments.select("pack").distinct().count()
-    assert chat.tree(table.where("false"))[1].collect() == []
+    # Each distinct beginning of a conversation is emitted once, whatever the number of packs.
+    beginnings = {tuple((r, x) for _, r, x in sorted(turns)[: k + 1]) for turns in by.values() for k in range(len(turns))}
+    assert segments.count() == len(beginnings) == segments.select("node").distinct().count()
+
+
+@pytest.mark.parametrize("tokenizer", [False, True])
+def test_chat_emits_shared_turns_once(spark, tokenizer):
+    """A first turn of all, a second of many, one very long conversation; packs that begin below shared turns."""
+    import public_tokenizers
+
+    rng = random.Random(3)
+    rows = []
+    for c in range(120):
+        depth = 200 if c == 7 else rng.randrange(1, 7)
+        rows += [(c, t, ("system", "user", "assistant")[t % 3], "You help." if t == 0 else f"common {t}" if t < 3 and c % 2 else f"é {rng.randrange(3)} <|endoftext|>") for t in range(depth)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    segments, trunk, members = chat.tree(table, public_tokenizers.path("byte_bpe_50k.json") if tokenizer else None)
+    assert segments.select("pack").distinct().count() > 3 and trunk.count() > 3
+    check_chat(rows, segments, trunk, members)
+    for r in segments.collect():
+        assert r["length"] == (len(r["tokens"]) if tokenizer else len(r["formatted"]))
+        assert sum(x["to"] - x["from"] for x in r["attends"]) == r["position"] + r["length"] and r["attends"][-1]["to"] == r["start"] + r["length"]
 
 
 def brute_katz(rows, held, order=3, k=5):

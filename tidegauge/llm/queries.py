@@ -15,10 +15,12 @@ def _fold(spark_col: str = "doc_id"):
 
 
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     rows = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = common.rows(spark, [(-1, 0, "user", EXTRA_TURN), (-1, 1, "assistant", EXTRA_TURN)], "conv_id long, turn long, role string, text string")
-    segments, members = chat.tree(rows.unionByName(extra))
-    found = common.stored(chat.digests(segments), "chat-digests").withColumnRenamed("leaf", "l")
+    segments, trunk, members = chat.tree(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
+    found = common.stored(chat.digests(segments, trunk), "chat-digests").withColumnRenamed("leaf", "l")
     return members.join(found, F.col("leaf") == F.col("l")).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
