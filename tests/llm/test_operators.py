@@ -125,7 +125,7 @@ def test_jaccard_empty(docs):
 BLANKS = " \t\r\x0b\x0c"
 
 
-def brute_lines(rows, least=50):
+def brute_lines(rows, least=50, texts=False):
     seqs = []
     for d, t in sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is not None, r[0])):
         seqs.append((d, [(i, s.strip(BLANKS)) for i, s in enumerate(t.split("\n")) if s.strip(BLANKS)]))
@@ -152,6 +152,10 @@ def brute_lines(rows, least=50):
         k0, a0 = first[name]
         if k0 != k or a >= a0 + m:
             gone[k] |= {seqs[k][1][x][0] for x in range(a, a + m)}
+    if texts:
+        where = {(d, t): k for k, (d, t) in enumerate(sorted((r for r in set(rows) if r[1] is not None), key=lambda r: (r[0] is not None, r[0])))}
+        left = [(d, t if (k := where.get((d, t))) is None or k not in gone else "\n".join(s for i, s in enumerate(t.split("\n")) if i not in gone[k]), (k in gone) if k is not None else False) for d, t in rows]
+        return [(d, t) for d, t, cut in left if not cut or any(s.strip(BLANKS) for s in t.split("\n"))]
     return {seqs[k][0]: len(v) for k, v in gone.items()}
 
 
@@ -546,6 +550,42 @@ def test_quality(spark, docs):
     assert quality.keep_good(docs([]).where("false"), none).collect() == []
 
 
+def test_quality_is_the_plain_fit(spark, docs):
+    """Statistics by plain counting, ridge weights by one solve over all rows, calibration by sorted pooling."""
+    rng = random.Random(5)
+    words_ = ["alpha", "Beta", "of", "x", "éclair", "12", "end.", "wow!", "a#", "internationalisation"]
+    rows = [(i, " ".join(rng.choice(words_[: 4 + 6 * (i % 2)]) for _ in range(rng.randrange(0, 40))) + "\n" * (i % 3)) for i in range(400)]
+    label = {i: int((i % 2) ^ (rng.random() < 0.1)) for i in range(400)}
+    stats = quality.measured(docs(rows))
+    got = {r["doc_id"]: np.frombuffer(r["stats"], "<f8") for r in stats.collect()}
+    for i, t in rows[:60]:
+        b, w = t.encode(), spaced(t)
+        own = re.findall(rb"[^\x20\x09-\x0d]+", b)
+        want = [math.log1p(len(b))] + [sum(1 for c in b if quality._CLASS[c] == k) / max(1, len(b)) for k in range(8)]
+        if w:
+            n, length = Counter(w), [len(x) for x in own]
+            pairs = list(zip(w, w[1:]))
+            p = np.array(list(n.values())) / len(w)
+            want += [math.log1p(len(w)), np.mean(length) / 10, np.std(length) / 10, len(n) / len(w), max(n.values()) / len(w), np.mean([a == b for a, b in pairs]) if pairs else 0, len(set(pairs)) / len(pairs) if pairs else 1]
+            want += [np.mean([quality._CLASS[x[-1]] == 6 for x in own]), np.mean([quality._CLASS[x[0]] == 1 for x in own]), np.mean([l <= 3 for l in length]), np.mean([l >= 12 for l in length]), -(p * np.log(p)).sum() / math.log(len(w) + 1), min(max(length), 100) / 100, np.mean([l == 1 for l in length]), math.log1p(b.count(b"\n")) - math.log1p(len(w))]
+        assert np.allclose(got[i], want + [0] * (quality.STATS - len(want)))
+    model = quality.fit(stats, spark.createDataFrame(sorted(label.items()), "doc_id long, label int"), features=64)
+    fold = {r[0]: r[1] for r in spark.range(400).select("id", F.pmod(F.xxhash64("id"), F.lit(5))).collect()}
+    x, y = np.array([got[i] for i in range(400)]), np.array([label[i] for i in range(400)])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.std, np.sqrt(np.maximum(x.var(0), 1e-8)), atol=1e-9)
+    train = np.array([fold[i] != 4 for i in range(400)])
+    z = np.clip((x - model.mean) / model.std, -6, 6)
+    phi = np.hstack([np.sqrt(2 / 64) * np.cos(z @ model.w + model.b), np.ones((400, 1))])
+    a = phi[train].T @ phi[train]
+    assert np.allclose(model.beta, np.linalg.solve(a + 1e-3 * a[-1, -1] / 100 * np.eye(65), phi[train].T @ y[train]))
+    bins = np.clip(((phi @ model.beta + 0.5) / 2 * 400).astype(int), 0, 399)
+    used = sorted(set(bins[~train]))
+    mean, n = [y[~train][bins[~train] == u].mean() for u in used], [(bins[~train] == u).sum() for u in used]
+    least = [max(min(np.average(mean[a : b + 1], weights=n[a : b + 1]) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    assert np.allclose(model.values, np.clip(least, 0, 1))
+    assert {r["doc_id"]: r["score"] for r in quality.scored(stats, model).collect()} == pytest.approx(dict(enumerate(np.interp(phi @ model.beta, model.edges, model.values).tolist())))
+
+
 def test_decontamination_blocks(spark, docs):
     rng = random.Random(7)
     vocabulary = ["a", "bb", "ccc", "dd1"]

@@ -184,8 +184,22 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def scored_stats(stats: DataFrame, model: Model) -> DataFrame:
+    """stats, score: the score of each distinct row of statistics."""
+    shared = stats.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            x = _unpack(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(shared.value.score(x), 0, 1) if len(x) else [], pa.float64())], ["stats", "score"])
+
+    return stats.select("stats").distinct().mapInArrow(run, "stats binary, score double")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """docs whose score reaches the threshold, with all their columns; the text is measured again while filtering."""
+    """docs whose score reaches the threshold, with all their columns; the text is measured again while filtering.
+
+    Null texts count as empty; repeated rows stay or go together; without labels all stay; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(fit(common.stored(measured(docs), "quality-stats"), labels, **how))
     names, schema, at = docs.columns, docs.schema, docs.columns.index("text")
 
