@@ -1,4 +1,8 @@
-"""A cleaning pipeline over documents: quality, line dedup, near duplicates, decontamination, packing."""
+"""A cleaning pipeline over documents: quality, line dedup, near duplicates, decontamination, packing.
+
+Every stage takes documents and all but the last return their columns. Rows with null ids or texts, repeated rows, columns
+with other names and empty tables pass through every stage; each stage says what it does with them.
+"""
 
 from __future__ import annotations
 
@@ -15,23 +19,31 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose quality score reaches 0.3. A null text scores as an empty one; a null id only has no label; equal texts get equal
+    scores; without labels every score is 0.5 and all rows stay."""
     labels = common.table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return quality.keep_good(docs, labels.select("doc_id", F.col("quality").alias("label")))
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of repeated line runs of 50 words or more; rows left without a line go. Null and blank texts stay as
+    they are; rows equal in id and text are one document and keep or lose the same lines; a null id comes first."""
     return _columns(line_dedup.dedup(docs), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (word 5-shingles, Jaccard similarity of 0.8 or more): that of least id, then text hash, a
+    null id last. Rows without words all stay; ids may repeat with other texts."""
     return jaccard.one_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no window of 10 words of a benchmark item. Null texts have no words and stay; repeated rows are judged alike."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of 1024 tokens. A null text is its end token alone; repeated rows are pieces of their own."""
     return packing.pack(docs)
 
 
