@@ -133,6 +133,17 @@ def discard(df: DataFrame, part: str = "") -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more (it acts on collected garbage)."""
     import gc

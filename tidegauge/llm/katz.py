@@ -90,8 +90,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
             if size >= most:
                 yield flush()
                 held, size = [], 0
+                common.give_back()
     if held:
         yield flush()
+    held = None
+    common.give_back()
 
 
 def _words(w: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -224,10 +227,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
             if held and bucket != now:
                 yield now, held
                 held = []
+                common.give_back()
             now = bucket
             held.append(tuple(rest))
     if held:
         yield now, held
+    held = None
+    common.give_back()
 
 
 def _value(col: Column, d: np.ndarray) -> Column:

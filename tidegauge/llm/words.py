@@ -84,7 +84,7 @@ class Text:
 def span_hashes(values, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span [start, end), spans ascending; values(lo, hi): 64-bit numbers of the places from lo to hi."""
     out = np.empty(len(starts), np.uint64)
-    block, a = 1 << 21, 0
+    block, a = 1 << 19, 0
     while a < len(starts):
         lo = starts[a]
         b = max(a + 1, int(np.searchsorted(ends, lo + block)))
