@@ -145,11 +145,18 @@ def give_back() -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more (it acts on collected garbage)."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more (it acts on collected garbage).
+
+    The last plan that wrote something is still held by Spark, so an empty one takes its place first; and the gateway lets go of
+    Python's references a moment after they are collected here."""
     import gc
+    import time
 
     gc.collect()
+    spark.range(0).write.format("noop").mode("overwrite").save()
+    time.sleep(0.2)
     spark._jvm.System.gc()
+    time.sleep(0.2)
 
 
 def bounded_batches(spark: SparkSession) -> None:
