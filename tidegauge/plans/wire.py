@@ -91,6 +91,15 @@ def end_reason_counts(spark, sf_dir):
     return netflow.decode_counters(encode.datagrams(shaped(spark, sf_dir), "ipfix")).where("name like 'ipfix_flows_end_reason%'")
 
 
+@query("SELECT src_ip, dst_ip, count(*) AS n FROM (SELECT 3405803776 + i % 200 AS src_ip, 167772160 + i % 512 AS dst_ip FROM (SELECT unnest(range(0, 5000)) AS i)) GROUP BY 1, 2")
+def example_source(spark, sf_dir):
+    from ..sources.plugin import ExampleSource
+
+    spark.dataSource.register(ExampleSource)
+    f = spark.read.format("flows_example").option("rows", 5000).option("tasks", 3).load()
+    return f.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("n"))
+
+
 _LAST = lambda head: f"'{head}duration_' || CASE WHEN d = 0 THEN '0_seconds' WHEN d <= 1 THEN 'less_1_seconds' WHEN d <= 2 THEN 'less_2_seconds' WHEN d <= 3 THEN 'less_3_seconds' WHEN d <= 5 THEN 'less_5_seconds' WHEN d <= 10 THEN 'less_10_seconds' WHEN d <= 15 THEN 'less_15_seconds' WHEN d <= 30 THEN 'less_30_seconds' WHEN d <= 60 THEN 'less_60_seconds' WHEN d <= 90 THEN 'less_90_seconds' WHEN d <= 180 THEN 'less_180_seconds' ELSE 'exceed_180_seconds' END"
 
 
