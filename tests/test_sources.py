@@ -1,10 +1,11 @@
 """Decoders on hand-built bytes."""
 
 import datetime
+import random
 import struct
 
 from tidegauge.operators import rules
-from tidegauge.sources import config, fixtures, frames, netflow
+from tidegauge.sources import config, fixtures, frames, netflow, plugin
 
 AT = datetime.datetime(2024, 1, 1)
 
@@ -106,7 +107,7 @@ def test_sflow():
 def test_pcap(spark, tmp_path):
     frame = ether(0x0800, ip4(6, TCP))
     (tmp_path / "a.pcap").write_bytes(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + 3 * (struct.pack("<IIII", 5, 0, len(frame), len(frame)) + frame))
-    flows = frames.frames_to_flows(frames.read_pcap(spark, str(tmp_path)))
+    flows = frames.frames_to_flows(plugin.read_pcap(spark, str(tmp_path)))
     assert [(r["status"], r["n"]) for r in frames.status_counts(flows).collect()] == [("success", 3)]
 
 
@@ -117,3 +118,47 @@ def test_rules_and_config(spark, tmp_path):
     (tmp_path / "nets").write_text("10.1.2.3/24\n# no\n2001:db8::/32\n10.0.0.0/33\n")
     assert [tuple(r) for r in config.prefixes(spark, str(tmp_path)).collect()] == [(0x0A010200, 24)]
     assert [r["len"] for r in config.prefixes6(spark, str(tmp_path)).collect()] == [32]
+
+
+def test_pcap_ranges(tmp_path):
+    """Each record is read in the range where it begins, wherever ranges are cut and whatever frames hold."""
+    from pyarrow import fs
+
+    rng = random.Random(5)
+    packets = [(1_700_000_000 + i * 0.25, bytes(rng.choice((0, rng.randrange(256))) for _ in range(rng.randrange(14, 400)))) for i in range(600)]
+    path = tmp_path / "a.pcap"
+    for data, want in ((frames.pcap_bytes(packets), packets), (frames.pcap_bytes(packets)[:-5], packets[:-1])):
+        path.write_bytes(data)
+        with fs.LocalFileSystem().open_input_file(str(path)) as file:
+            capture = plugin.Capture(file)
+            for step in (997, 20_000, len(data) + 1):
+                assert [r for a in range(0, len(data), step) for r in capture.records(a, a + step, 4096)] == want
+    path.write_bytes(b"no capture at all, whatever its name says")
+    with fs.LocalFileSystem().open_input_file(str(path)) as file:
+        assert not plugin.Capture(file).ok
+
+
+def test_other_findings():
+    """Counter samples are noted; a ratio of one is a ratio; padding and too many records are anomalies."""
+    counter = struct.pack(">III", 0, 0, 1) + struct.pack(">II", 1, 4) + b"abcd"
+    body = struct.pack(">IIIIIII", 5, 1, 1, 0, 0, 0, 1) + struct.pack(">II", 2, len(counter)) + counter
+    notes = []
+    assert not list(netflow.sflow5(body + b"\0\0", AT, notes)) and notes == ["total_packets", "counter_sample", "generic_interface_counter_sample", "with_padding_at_the_end_of_packet"]
+    frame = ether(0x0800, ip4(6, TCP))
+    row = next(netflow.to_rows({"_frame": frame, "_observed": 5, "_selected": 5, "length": 1}, AT, 0))
+    assert row["own_ratio"] == 1 and next(netflow.to_rows({"length": 1}, AT, 0))["own_ratio"] is None
+    for body, ipfix, want, seen in ((b"\1\2\3\4" * 3 + b"\0" * 3, True, 3, ["packets_with_padding"]), (b"\1" * 4 * 0x4001, True, 0, []), (b"\1" * 4 * 0x4001, False, 0x4001, [])):
+        notes = []
+        assert len(list(netflow.records([(8, 4)], body, ipfix, notes))) == want and notes == seen
+    notes = []
+    assert len(list(netflow.records([(8, 16)], b"\1" * 31, True, notes))) == 1 and notes == ["sets_with_anomaly_padding", "broken_packets"]
+    dropped = next(netflow.to_rows({"_next_hop": 0, "length": 1}, AT, 0, drop_without_next_hop=True))
+    assert dropped["forwarding_status"] == "dropped" and next(netflow.to_rows({"_next_hop": 0, "length": 1}, AT, 0))["forwarding_status"] == "unknown"
+
+
+def test_address_helpers():
+    from tidegauge.functions import net
+
+    assert net.whole_number(" 12 ") == 12 and net.whole_number("1.5") is None
+    assert net.split_url("https://x.example/a?b") == ("https", "x.example", 443, "/a") and net.split_url("http://x:81") == ("http", "x", 81, "/")
+    assert net.split_url("ftp://x") is None and net.split_url("http://x:99999") is None

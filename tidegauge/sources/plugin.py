@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..schema import FLOW_DDL, flow
 
+YEAR = 366 * 86400
 CHAIN = 6  # headers that have to follow each other where a range begins inside a file
 
 
@@ -38,22 +39,25 @@ class Capture:
         self.unit = 1e-9 if magic[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
         self.ok = len(magic) == 24 and magic[:4] in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
         self.snap = struct.unpack(self.order + "I", magic[16:20])[0] if self.ok else 0
+        self.began = struct.unpack(self.order + "I", file.read_at(4, 24))[0] if self.ok and self.size >= 28 else 0
 
     def _plausible(self, head: bytes) -> bool:
         sec, frac, size, whole = struct.unpack(self.order + "IIII", head)
-        return frac < 1 / self.unit and 0 < size <= min(whole, max(self.snap, 65535)) and whole <= 1 << 20 and sec > 0
+        return frac < 1 / self.unit and 0 < size <= min(whole, max(self.snap, 65535)) and whole <= 1 << 20 and abs(sec - self.began) < YEAR
 
     def _starts(self, data: bytes, at: int, begins: int) -> bool:
         """Whether a chain of records begins at data[at:]; begins: the file offset of data."""
         last = None
         for _ in range(CHAIN):
-            if begins + at == self.size:
+            if begins + at + 16 > self.size:  # the end, or a header that is cut off
                 return last is not None
             if at + 16 > len(data) or not self._plausible(data[at : at + 16]):
                 return False
             sec, size = struct.unpack(self.order + "I4xI", data[at : at + 12])
             if last is not None and abs(sec - last) > 86400:
                 return False
+            if begins + at + 16 + size > self.size:  # a record that is cut off
+                return last is not None
             last, at = sec, at + 16 + size
         return True
 
