@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,16 +107,49 @@ def ema(ticks: DataFrame, key: str, columns: list[str], period: int, constant: i
     return folded.select(key, *[fade(F.col(f"__a.{c}"), F.col("__end") - F.col("__a.tick")).alias(c) for c in columns])
 
 
+def in_order(df: DataFrame, key: str, order: str, schema: str, walk) -> DataFrame:
+    """The rows that walk(rows) yields, over the rows of each task as tuples, all rows of a key together and in order.
+
+    Rows stream through: a key may have any number, and only what walk carries is held."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        rows = (r for b in batches for r in b.itertuples(index=False, name=None))
+        found = walk(rows)
+        while out := list(islice(found, 10_000)):
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
 def ema_series(ticks: DataFrame, key: str, column: str, period: int, constant: int, first: int, last: int) -> DataFrame:
-    """key, tick, speed, average for every tick in [first, last]."""
+    """key, tick, speed, average for every tick in [first, last], zeros where a key has none."""
     keep = math.exp(-period / constant)
-    every = ticks.select(key).distinct().withColumn("tick", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    dense = speed(every.join(ticks.select(key, "tick", column), [key, "tick"], "left").fillna(0, [column]), [column], period)
-    lists = dense.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tick", F.col(column).alias("speed")))).alias("s"))
-    start = F.array().cast("array<struct<tick:long,speed:long,average:long>>")
-    last_of = lambda acc: F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["average"]).otherwise(F.lit(0).cast("long"))
-    folded = F.aggregate("s", start, lambda acc, x: F.concat(acc, F.array(F.struct(x["tick"].alias("tick"), x["speed"].alias("speed"), step(x["speed"], last_of(acc), keep).alias("average")))))
-    return lists.select(key, F.inline(folded))
+
+    def walk(rows):
+        now, at, average = None, first, 0
+
+        def steps(until, value):
+            nonlocal at, average
+            while at < until:
+                speed = int(value / period) if at == until - 1 else 0
+                average = int(speed + keep * (average - speed))
+                yield now, at, speed, average
+                at += 1
+
+        for k, tick, value in rows:
+            if k != now:
+                if now is not None:
+                    yield from steps(last + 1, 0)
+                now, at, average = k, first, 0
+            yield from steps(tick + 1, value)
+        if now is not None:
+            yield from steps(last + 1, 0)
+
+    kind = ticks.schema[key].dataType.simpleString().replace("bigint", "long")
+    return in_order(ticks.select(key, F.col("tick").cast("long"), F.col(column).cast("long")), key, "tick", f"{key} {kind}, tick long, speed long, average long", walk)
 
 
 def busy(df: DataFrame) -> DataFrame:

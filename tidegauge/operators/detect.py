@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import mbps
+from .counters import in_order
 
 #: In the order in which they are tested; the first that is exceeded names the attack.
 CHECKS = [("pps", "total", "packets"), ("mbps", "total", "bytes"), ("flows", None, None), ("tcp_pps", "tcp", "packets"), ("udp_pps", "udp", "packets"), ("icmp_pps", "icmp", "packets"), ("tcp_mbps", "tcp", "bytes"), ("udp_mbps", "udp", "bytes"), ("icmp_mbps", "icmp", "bytes")]
@@ -90,19 +91,22 @@ def ban_timeline(attacked: DataFrame, tick_seconds: int, ban_seconds: int) -> Da
     """Bans (host, banned_tick, unbanned_tick) from ticks in which a host exceeds a threshold.
 
     A ban ends at the first tick more than ban_seconds after its start in which the host no longer exceeds; ticks during a ban start none.
-    attacked: host, tick. One fold over each host's own attacked ticks."""
+    attacked: host, tick. One pass over each host's own attacked ticks, in order."""
     hold = ban_seconds // tick_seconds + 1
-    ticks = attacked.groupBy("host").agg(F.sort_array(F.collect_set("tick")).alias("t"))
-    empty = F.array().cast("array<struct<a:long,b:long>>")
 
-    def merge(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.when(x == last["b"], x + 1).otherwise(last["b"])
-        kept = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), grown.alias("b"))))
-        fresh = F.concat(acc, F.array(F.struct(x.alias("a"), (x + hold).alias("b"))))
-        return F.when((F.size(acc) > 0) & (x <= last["b"]), kept).otherwise(fresh)
-
-    return ticks.select("host", F.inline(F.aggregate("t", empty, merge))).select("host", F.col("a").alias("banned_tick"), F.col("b").alias("unbanned_tick"))
+    def walk(rows):
+        now, start, end = None, 0, 0
+        for host, tick in rows:
+            if host == now and tick <= end:
+                end = tick + 1 if tick == end else end
+                continue
+            if now is not None:
+                yield now, start, end
+            now, start, end = host, tick, tick + hold
+        if now is not None:
+            yield now, start, end
+
+    return in_order(attacked.select(F.col("host").cast("long"), F.col("tick").cast("long")), "host", "tick", "host long, banned_tick long, unbanned_tick long", walk)
 
 
 def banlist(v4: DataFrame, v6: DataFrame) -> DataFrame:
