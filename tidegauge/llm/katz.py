@@ -12,7 +12,7 @@ and where they occur, packed), `shared` (n-grams of common contexts), `answers`
 needs). N-grams are dealt to buckets by their nearest context word, so all orders of a context meet in one. A context that
 is too common for that is dealt by its next word back, and by the whole n-gram if need be; counts of common contexts are in
 `shared`, and their few sums go to all buckets by broadcast. Tokens travel once, packed. Buckets ask `unigrams` and `shared`
-for the counts that they lack in one join. Scoring reads the tables: each bucket evaluates the recursion for each distinct
+for the counts that they lack (the vocabulary's are known to all) in one join. Scoring reads the tables: each bucket evaluates the recursion for each distinct
 n-gram and sums by row. Words travel as ranks in a vocabulary of the `vocabulary` most frequent ones, others as 64-bit hashes.
 
 Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. Buckets are scored in
@@ -242,7 +242,7 @@ def _value(col: Column, d: np.ndarray) -> Column:
     return factor * col
 
 
-def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 19, chunk_bytes: int = 5 << 20, bucket_bytes: int = 8 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int = 1 << 19, chunk_bytes: int = 4 << 20, bucket_bytes: int = 6 << 20, waves: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. held_out: Column over docs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -316,9 +316,10 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
     least = next((l for (l, _), upto in zip(levels, np.cumsum([m for _, m in levels])) if upto > vocabulary), -1)
     table = unigrams.where(level > least).select("key", "n").toArrow()
     hashes, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    top = np.append(BOS, hashes[np.lexsort((hashes, -n))])  # by rank
+    by_rank = np.lexsort((hashes, -n))
+    top, top_n = np.append(BOS, hashes[by_rank]), np.append(0, n[by_rank])
     by_hash = np.argsort(top)
-    shared_words = spark.sparkContext.broadcast((often, top, top[by_hash], by_hash.astype(np.int32)))
+    shared_words = spark.sparkContext.broadcast((often, top, top[by_hash], by_hash.astype(np.int32), top_n))
 
     # 2. N-grams of all texts with their training counts and rows, to their buckets; those of common contexts by themselves, too.
     TABLE = ["kind", "bucket", "key", "n", "ctx", "lower", "chunk", "data", "ids"]
@@ -329,7 +330,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
         return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), *(pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in zip(TABLE[2:], KINDS[2:]))], TABLE)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, ranked, sorted_words, ranks = shared_words.value
+        ones, ranked, sorted_words, ranks, _ = shared_words.value
         size = len(ranked)
         for keys, ids, held, w, row in _tokens(batches, chunk_bytes):
             with np.errstate(over="ignore"):
@@ -365,7 +366,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
                         yield rows_of(m, int(to[g[0]]), 1, data=[pack(*_compact(others, [c[one[g]] for c in cols[: m + 1]], size), sums[g])])
 
     def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, ranked, _, _ = shared_words.value
+        ones, ranked, *_ = shared_words.value
         size = len(ranked)
         signed = lambda x: x.view(np.int64)
         for bucket, rows in _by_bucket(batches):
@@ -390,7 +391,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
                 yield rows_of(0, bucket, 1, data=[pack(others, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32), np.array([c for c, _ in got], np.int64), np.array(grams_of, np.uint32), np.array(rows_in, np.uint32), steps, *where)])
                 del got, where, steps, place
                 depth = _depth(contexts, ones)
-                asked = signed(distinct(np.concatenate([distinct(grams[0]), *(grams[m][depth > m] for m in range(1, order))])))
+                asked = signed(distinct(np.concatenate([distinct(grams[0][cols[0] >= size]), *(grams[m][depth > m] for m in range(1, order))])))
                 for a in range(0, len(asked), 100_000):
                     yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
                 for m in range(1, order):
@@ -455,7 +456,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
     def evaluated(table: list[np.ndarray], answered: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
         """(log10 p, log10 (c + 0.5), known) of a bucket's distinct n-grams."""
         d, about, denominator, left = model.value
-        ones, ranked, _, _ = shared_words.value
+        ones, ranked, _, _, ranked_n = shared_words.value
         names, cols, n = np.concatenate([ranked, table[0]]), [c.astype(np.int64) for c in table[1 : 1 + order]], table[1 + order].astype(np.int64)
         keys = np.concatenate([x[0] for x in answered]) if answered else np.zeros(0, np.int64)
         keys = keys.view(np.uint64)
@@ -468,7 +469,7 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
 
         grams, contexts = _chains(names, cols)
         depth = _depth(contexts, ones)
-        c = counted(grams[0])
+        c = np.where(cols[0] < len(ranked), ranked_n[np.minimum(cols[0], len(ranked) - 1)], counted(grams[0]))
         base, known = np.log10(c + 0.5), c > 0
         p = np.where(known, kept(c, d[0]) / denominator, left)
         for m in range(1, order):
