@@ -162,3 +162,21 @@ def test_address_helpers():
     assert net.whole_number(" 12 ") == 12 and net.whole_number("1.5") is None
     assert net.split_url("https://x.example/a?b") == ("https", "x.example", 443, "/a") and net.split_url("http://x:81") == ("http", "x", 81, "/")
     assert net.split_url("ftp://x") is None and net.split_url("http://x:99999") is None
+
+
+def test_longest_v6_prefix(spark):
+    """Lengths that cut words and digits, against the standard library."""
+    import ipaddress
+
+    from tidegauge.operators import enrich
+
+    rng = random.Random(6)
+    base = 0x20010DB8 << 96
+    networks = {(ipaddress.IPv6Network((base | rng.getrandbits(96), n), strict=False)) for n in (0, 1, 31, 33, 47, 64, 65, 96, 97, 127, 128) for _ in range(3)}
+    addresses = [base | rng.getrandbits(96) for _ in range(30)] + [int(n.network_address) | (rng.getrandbits(128 - n.prefixlen) if n.prefixlen < 128 else 0) for n in networks] + [2**128 - 1, 0]
+    table = spark.createDataFrame([(f"{int(n.network_address):032x}", n.prefixlen) for n in networks], "net string, len int")
+    got = enrich.lpm6(spark.createDataFrame([(f"{a:032x}",) for a in addresses], "ip string"), table, "ip", "net", "len").collect()
+    for r in got:
+        held = [n for n in networks if ipaddress.IPv6Address(int(r["ip"], 16)) in n]
+        best = max(held, key=lambda n: n.prefixlen, default=None)
+        assert (r["net"], r["len"]) == ((f"{int(best.network_address):032x}", best.prefixlen) if best else (None, None))

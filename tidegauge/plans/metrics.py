@@ -410,3 +410,17 @@ def lines_system_counters(spark, sf_dir):
 @query(f"WITH t AS (SELECT name, type, CAST(sum(value) AS BIGINT) AS value FROM ({SQL['system_metrics']}) WHERE type = 'counter' GROUP BY 1, 2) SELECT '# TYPE tidegauge_' || name || ' ' || type AS line FROM t UNION ALL SELECT 'tidegauge_' || name || ' ' || value FROM t")
 def prometheus_system(spark, sf_dir):
     return report.prometheus_counters(system_metrics(spark, sf_dir).where("type = 'counter'").groupBy("name", "type").agg(F.sum("value").alias("value")))
+
+
+@query(BASE + SQL["direction_ema"][len(BASE) :].replace("sum(packets)", "sum(bytes)").replace("AS packets", "AS bytes").replace("t.packets", "t.bytes"))
+def direction_ema_bytes(spark, sf_dir):
+    t = counters.by_direction(enriched(spark, sf_dir), ("tick",))
+    lo, hi = fx.flows(spark, sf_dir).agg(F.min(counters.tick_of(fx.TICK)), F.max(counters.tick_of(fx.TICK))).first()
+    return counters.ema_series(t, "direction", "bytes", fx.TICK, fx.CONSTANT, lo, hi)
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS key, {_DOC} AS value FROM ({fx.FLOWS})")
+def topic_rows(spark, sf_dir):
+    """Every classified row, before any filter, as key and value of a message."""
+    f = fx.flows(spark, sf_dir)
+    return sinks.topic_rows(f, F.col("event_id").cast("string"))

@@ -82,6 +82,11 @@ def expired(table: DataFrame, today, days: int = 7) -> list[str]:
     return [str(r[0]) for r in table.where(F.col("metricDate") < F.date_sub(F.lit(today), days)).select("metricDate").distinct().collect()]
 
 
+def topic_rows(flows: DataFrame, key) -> DataFrame:
+    """key, value of each row for a message broker: ready for format('kafka') where its jar is there."""
+    return flows.select(key.alias("key"), report.row_json(flows.columns).alias("value"))
+
+
 def write_rows(flows: DataFrame, path: str) -> None:
     """Every classified row as JSON lines, before any filter."""
     flows.select(report.row_json(flows.columns).alias("value")).write.mode("append").text(path)

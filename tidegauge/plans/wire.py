@@ -128,3 +128,11 @@ def sflow_counters(spark, sf_dir):
 def exporter_options(spark, sf_dir):
     found = netflow.exporter_options(encode.datagrams(shaped(spark, sf_dir), "netflow9", 30, _AT, _RATE))
     return found.select("exporter", "sampling_rate", F.floor(F.col("seq") / 65536).alias("datagram"))
+
+
+@query(f"SELECT source, protocol, count(*) AS n FROM (SELECT 'netflow' AS source, protocol FROM {_SHAPED} UNION ALL SELECT 'sflow', protocol FROM {_SHAPED}) GROUP BY ALL")
+def union_sources(spark, sf_dir):
+    """Rows of two kinds of exporters as one table."""
+    rows = shaped(spark, sf_dir)
+    both = netflow.decode5(encode.datagrams(rows, "netflow5")).unionByName(netflow.decode_sflow(encode.datagrams(rows, "sflow", 8)))
+    return both.groupBy("source", "protocol").agg(F.count(F.lit(1)).alias("n"))
