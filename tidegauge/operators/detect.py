@@ -50,8 +50,8 @@ def detect(hosts: DataFrame, settings: DataFrame) -> DataFrame:
     settings: group, enable_ban and a threshold column for each check (null: off)."""
     named = [c for c, _, _ in CHECKS if c in settings.columns]
     own = settings.select(F.col("group").alias("__g"), F.struct("enable_ban", *named).alias("__own"))
-    fallback = settings.where("group = 'global'").select(F.struct("enable_ban", *named).alias("__all")).limit(1)
-    joined = hosts.join(own, F.col("host_group") == F.col("__g"), "left").join(F.broadcast(fallback), F.lit(True), "left")  # one row
+    fallback = settings.where("group = 'global'").select(F.struct("enable_ban", *named)).limit(1)
+    joined = hosts.join(own, F.col("host_group") == F.col("__g"), "left").withColumn("__all", fallback.scalar())
     joined = joined.withColumn("__s", F.coalesce("__own", "__all"))
     verdict = exceeded({c: F.col(f"__s.{c}") for c in named})
     return joined.where("__all.enable_ban and __s.enable_ban").withColumn("threshold", verdict).where("threshold is not null").drop("__g", "__own", "__all", "__s")
