@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,20 +101,29 @@ def tree(conversations: DataFrame, tokenizer: str | None = None, loss_roles: tup
         names = [x.split()[0] for x in SEGMENT.replace("struct<from:long,to:long>", "x").split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.int64(), pa.int64(), pa.string()]
         stack: list[dict] = []
-        now, at, segment, before, out = None, 0, 0, "", []
+        now, at, segment, out = None, 0, 0, []
+        seen, have, last = None, 0, ""
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([s[c] for s in out], k) for c, k in zip(names, kinds)], names)
 
         for batch in batches:
+            # What each path adds, then the tokens of all of it in one call.
+            rows, texts = [], []
             for pack, leaf, path, turns in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if pack != now:
-                    now, at, segment, stack, before = pack, 0, 0, [], above.value[pack][0]
-                shared = _shared(path, before)
-                del stack[shared:]
-                first = len(stack)  # below shared only where a pack begins: the turns that it carries
+                if pack != seen:
+                    seen, have, last = pack, 0, above.value[pack][0]
+                shared = _shared(path, last)
+                first = min(have, shared)  # below shared only where a pack begins: the turns that it carries
                 shaped = [format_turn(t["role"], t["text"]) for t in turns[first:]]
-                tokens = list(encode([x[0] for x in shaped])) if encode else [None] * len(shaped)
+                rows.append((pack, leaf, path, turns, shared, first, shaped))
+                texts += [x[0] for x in shaped]
+                have, last = len(turns), path
+            tokens = encode(texts) if encode else repeat(None)
+            for pack, leaf, path, turns, shared, first, shaped in rows:
+                if pack != now:
+                    now, at, segment, stack = pack, 0, 0, []
+                del stack[first:]
                 for depth, (text, a, b), ids in zip(range(first, len(turns)), shaped, tokens):
                     role, size = turns[depth]["role"], len(text) if ids is None else len(ids)
                     up = stack[-1] if stack else None
@@ -130,7 +140,6 @@ def tree(conversations: DataFrame, tokenizer: str | None = None, loss_roles: tup
                     entry["own"] = own
                     out.append(entry)
                     at, segment = at + size, segment + 1
-                before = path
                 if len(out) > 2000:
                     yield done()
                     out = []
