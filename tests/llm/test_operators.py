@@ -118,6 +118,31 @@ def test_components_converge_or_fail(spark):
         components.components(edges, most_rounds=1)
 
 
+def test_connected_in_one_task(spark):
+    """Edges that fit a task and edges dealt out give the same roots; loops, repeated and null edges add none."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(-(2**63), 2**63 - 1, 300)
+    pairs = [*map(tuple, ids[rng.integers(0, 300, (200, 2))].tolist()), (5, 5), (6, 7), (7, 6), (6, 7), (None, 8), (9, None)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    one, dealt = ({tuple(r) for r in components.connected(edges, most).collect()} for most in (1 << 20, 10))
+    assert one == dealt and {(6, 6), (7, 6)} < one and not {5, 8, 9} & {n for n, _ in one}
+    assert components.connected(edges.where("false")).collect() == []
+
+
+def test_jaccard_leaves_few_task_records(spark, docs):
+    """Every task leaves a record with the driver: joining up a few edges takes a task each time, not rounds of jobs."""
+    merging, status = "spark.sql.adaptive.coalescePartitions.enabled", spark.sparkContext.statusTracker()
+    spark.conf.set(merging, "false")
+    spark.sparkContext.setJobGroup("few records", "")
+    try:
+        assert len(jaccard.one_each(docs(near_copies(3))).collect()) == len({c for _, _, c in brute_components(near_copies(3))})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(merging)
+    stages = {s for j in status.getJobIdsForGroup("few records") for s in status.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i) < 700
+
+
 def test_jaccard_empty(docs):
     assert jaccard.join(docs([]).where("false")).collect() == []
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import connected
 from .words import SPACE, Text, U64, distinct, grams, mix, texts
 
 SKETCH = 1 << 20
@@ -247,7 +247,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         if fresh.isEmpty():
             break
         edges = fresh if edges is None else edges.unionByName(fresh)
-        roots = common.stored(components(edges), "jaccard-roots")
+        roots = common.stored(connected(edges), "jaccard-roots")
         marked = lists.join(roots, F.col("cls") == F.col("node"), "left").select("member", "cls", "size", "pos", "match", "nth", "degree", F.coalesce("root", "cls").alias("root"))
         before, marked = held, common.stored(marked, "jaccard-marked")
         held = marked
@@ -276,7 +276,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, id
     """doc_id, n_shingles, component_id (least doc_id reachable by links, itself included) for every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows, edges = links(docs, n, percent, most_match)
-    roots = components(edges)
+    roots = connected(edges)
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", "n", F.coalesce("root", "class").alias("root"))
     tops = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -291,7 +291,7 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows without a set (null or wordless text) all stay.
     """
     rows, edges = links(docs.select("doc_id", "text"), n, percent)
-    roots = components(edges)
+    roots = connected(edges)
     keys = rows.where("class is not null").groupBy("doc_id", "h", "class").agg(F.count(F.lit(1)).alias("times"))
     classes = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
     of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", "n", F.coalesce("root", "class").alias("root"))
