@@ -245,6 +245,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
         best = star.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
         fresh = common.stored(verified(best), "jaccard-edges")
         if fresh.isEmpty():
+            common.free_shuffles(spark)
             break
         edges = fresh if edges is None else edges.unionByName(fresh)
         roots = common.stored(connected(edges), "jaccard-roots")
@@ -297,6 +298,7 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     of = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", "n", F.coalesce("root", "class").alias("root"))
     tops = of.groupBy("root").agg(F.min("least").alias("kept"))
     named = common.stored(of.join(tops, "root").select("class", "n", "kept"), "jaccard-named")
+    common.free_shuffles(docs.sparkSession)
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("h") == F.col("kept.h"))
     marks = common.spread_join(keys, named, {"class": "class"}, "n", ["kept"], ["doc_id", "h"]).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays"), "times")
     marks = common.stored(marks.where("not __stays or times > 1").drop("times"), "jaccard-marks")
