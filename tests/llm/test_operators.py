@@ -493,6 +493,53 @@ def test_katz(docs, corpus, which, order, bucket_bytes):
         assert a[4] == pytest.approx(b[4], rel=1e-9, abs=1e-9) and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9)
 
 
+def test_katz_runs():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        key = rng.integers(0, 1 + n // 3, n)
+        by, start = katz._stable(key)
+        assert by.tolist() == np.argsort(key, kind="stable").tolist()
+        assert start.tolist() == katz._runs(np.sort(key)).tolist()
+        assert katz._lengths(start, n).tolist() == np.unique(key, return_counts=True)[1].tolist()
+
+
+def test_katz_merged_bounded():
+    """A bucket's n-grams are arrays throughout: no Python object for each, which cost more time and memory than sorting them."""
+    import tracemalloc
+
+    n, size = 200_000, 1 << 10
+    rng = np.random.default_rng(6)
+    message = [np.arange(10, 20, dtype=np.uint64), *(rng.integers(0, size, n).astype(np.uint32) for _ in range(3)), np.ones(n, np.uint32)]
+    tracemalloc.start()
+    others, cols, sums, place = katz._merged([message, message], 3, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.sum() == 2 * n and all((cols[i][place[:n]] == message[1 + i]).all() for i in range(3))
+    assert peak < 75 * 2 * n
+
+
+def test_katz_sums_by_wave(docs, monkeypatch):
+    """Stored sums are one message a chunk and wave however many buckets there are; equal chunks share an id and keep their rows."""
+    kept, stored = [], common.stored
+
+    def noted(df, name="cut", partition_by=None):
+        out = stored(df, name, partition_by)
+        kept.extend([out] if name == "katz-sums" else [])
+        return out
+
+    monkeypatch.setattr(katz.common, "stored", noted)
+    once = [(i, f"w{i} w{i + 1} w{i % 7} some words that all have") for i in range(40)]
+    rows = once + once + [(99, None)]
+    frame = docs(once).coalesce(1).unionByName(docs(once).coalesce(1)).unionByName(docs(rows[-1:]).coalesce(1))
+    got = katz.score(frame, F.col("doc_id") % 5 == 1, vocabulary=20, bucket_bytes=200).collect()
+    assert 0 < sum(x.count() for x in kept) <= 2 * 4
+    have = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    want = sorted((d, *w) for (d, _), w in zip(rows, brute_katz(rows, [d % 5 == 1 for d, _ in rows])))
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    for x, y in zip(have, want):
+        assert x[4:] == pytest.approx(y[4:], rel=1e-9, abs=1e-9)
+
+
 def test_katz_empty(docs):
     assert katz.score(docs([]).where("false"), F.lit(False)).collect() == []
 

@@ -13,10 +13,12 @@ needs). N-grams are dealt to buckets by their nearest context word, so all order
 is too common for that is dealt by its next word back, and by the whole n-gram if need be; counts of common contexts are in
 `shared`, and their few sums go to all buckets by broadcast. Tokens travel once, packed. Buckets ask `unigrams` and `shared`
 for the counts that they lack (the vocabulary's are known to all) in one join. Scoring reads the tables: each bucket evaluates the recursion for each distinct
-n-gram and sums by row. Words travel as ranks in a vocabulary of the `vocabulary` most frequent ones, others as 64-bit hashes.
+n-gram and sums by row. Base scores and known tokens come from buckets for words outside the vocabulary only; the vocabulary's are
+summed where the text is read. Words travel as ranks in a vocabulary of the `vocabulary` most frequent ones, others as 64-bit hashes.
 
 Bounds: a bucket is `bucket_bytes` of text, so the number of buckets follows the input and memory does not. Buckets are scored in
-`waves` parts, so that the shuffle of stored n-grams to their answers is that part only. At most 8 contexts a
+`waves` parts, so that the shuffles of stored n-grams to their answers and of sums by bucket are that part only; a row has one
+stored sum a wave. (A row meets up to as many buckets as it has tokens, so sums by bucket grow faster than the input until then.) At most 8 contexts a
 bucket and order are common, and the vocabulary has a fixed size. Words and n-grams are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty, its only token is the end; rows equal in doc_id and text count as often as they
@@ -66,13 +68,18 @@ def weights(c: np.ndarray, given: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
     return total, np.where(least, 1.0, given) / np.maximum(total, 1) / np.maximum(1 - s, 1e-300)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
-    """(keys, ids, held flags, word hashes, row of each token) of about `most` bytes of text; each row closes with END."""
+def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list]:
+    """[keys, ids, held flags, word hashes, row of each token] of about `most` bytes of text; each row closes with END.
+
+    Nothing of a yielded list is kept here, so that a reader who empties it can free its arrays."""
     held, size = [], 0
 
     def flush():
-        base = np.cumsum([0] + [len(x[0]) for x in held])[:-1]
-        return *(np.concatenate([x[i] for x in held]) if i != 1 else pa.concat_arrays([x[1] for x in held]) for i in range(4)), np.concatenate([x[4] + b for x, b in zip(held, base)])
+        base = np.cumsum([0] + [len(x[0]) for x in held], dtype=np.int32)[:-1]
+        out = [np.concatenate([x[i] for x in held]) if i != 1 else pa.concat_arrays([x[1] for x in held]) for i in range(4)]
+        out.append(np.concatenate([x[4] + b for x, b in zip(held, base)]))
+        held.clear()
+        return out
 
     for batch in batches:
         rows = pa.RecordBatch.from_arrays([batch.column(3), pa.array(np.arange(batch.num_rows))], ["text", "row"])
@@ -85,15 +92,15 @@ def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
             is_end[first[1:] + np.arange(len(count))] = True
             w[is_end], w[~is_end] = END, h
             take = lambda i: batch.column(i).take(chunk.ids)
-            held.append((take(0).to_numpy(zero_copy_only=False), take(1), take(2).to_numpy(zero_copy_only=False).astype(bool), w, np.repeat(np.arange(len(count)), count + 1)))
+            held.append((take(0).to_numpy(zero_copy_only=False), take(1), take(2).to_numpy(zero_copy_only=False).astype(bool), w, np.repeat(np.arange(len(count), dtype=np.int32), count + 1)))
             size += len(chunk.buf)
+            del starts, ends, first, h, w, is_end, count, take
             if size >= most:
                 yield flush()
-                held, size = [], 0
+                size = 0
                 common.give_back()
     if held:
         yield flush()
-    held = None
     common.give_back()
 
 
@@ -101,7 +108,7 @@ def _words(w: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, list
     """(distinct words and BOS, [indexes of the words, of the words before, ...])."""
     names, at = np.unique(w, return_inverse=True)
     start = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-    cols = [at.astype(np.int64)]
+    cols = [at.astype(np.int32)]
     for _ in range(order - 1):
         back = np.empty_like(cols[0])
         back[1:] = cols[-1][:-1]
@@ -112,12 +119,14 @@ def _words(w: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, list
 
 def _key(cols: list[np.ndarray], size: int) -> np.ndarray:
     """One integer for equal tuples of indexes below size, in their order of columns."""
-    key, most = cols[0], size
+    key, most = cols[0].astype(np.int64), size
     for c in cols[1:]:
         if most * size >= 2**62:
             found, key = np.unique(key, return_inverse=True)
             most = len(found)
-        key, most = key * size + c, most * size
+        key *= size
+        key += c
+        most *= size
     return key
 
 
@@ -125,6 +134,23 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    """How long the runs are that begin at starts and fill n places."""
+    return np.diff(starts, append=n)
+
+
+def _stable(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(np.argsort(key, kind="stable"), where its runs of equal keys begin), by two plain sorts, which are vectorised: of keys,
+    then of places within equal keys."""
+    by = np.argsort(key)
+    start = _runs(key[by])
+    run = np.repeat(np.arange(len(start)) * len(by), _lengths(start, len(by)))
+    by += run
+    by.sort()
+    by -= run
+    return by, start
+
+
 def _chains(names: np.ndarray, cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Hashes of (word and m words before it) and of (these m words), for m = 0..; the latter are zeros for m = 0."""
     grams, contexts = [names[cols[0]]], [np.zeros(len(cols[0]), np.uint64)]
@@ -174,7 +200,7 @@ def _dealt(grams: list[np.ndarray], contexts: list[np.ndarray], depth: np.ndarra
 def _coded(names: np.ndarray, cols: list[np.ndarray], vocabulary: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """(other names, columns): indexes are ranks in the vocabulary, and beyond its size places among the other names."""
     at, found = _find(vocabulary, names)
-    code = np.where(found, ranks[at], 0).astype(np.int64)
+    code = np.where(found, ranks[at], 0).astype(np.int32)
     code[~found] = len(vocabulary) + np.arange(np.count_nonzero(~found))
     return names[~found], [code[c] for c in cols]
 
@@ -195,13 +221,14 @@ def _merged(messages: list[list[np.ndarray]], order: int, size: int) -> tuple[np
     """Distinct n-grams of several (other names, columns, counts), in order of (word before, word, further before): the other
     names, the columns, the sums of the counts, and the place of each n-gram of the messages."""
     others = distinct(np.concatenate([x[0] for x in messages]))
+    moved = [size + np.searchsorted(others, x[0]) for x in messages]
     cols = []
     for i in range(order):
         parts = []
-        for x in messages:
-            c = x[1 + i].astype(np.int64)
+        for x, now in zip(messages, moved):
+            c = x[1 + i].astype(np.int32)
             rare = c >= size
-            c[rare] = size + np.searchsorted(others, x[0][c[rare] - size])
+            c[rare] = now[c[rare] - size]
             parts.append(c)
         cols.append(np.concatenate(parts))
     n = np.concatenate([x[1 + order] for x in messages]).astype(np.int64)
@@ -210,7 +237,7 @@ def _merged(messages: list[list[np.ndarray]], order: int, size: int) -> tuple[np
     key = key[by]
     first = _runs(key)
     place = np.empty(len(by), np.uint32)
-    place[by] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff([*first, len(by)]))
+    place[by] = np.repeat(np.arange(len(first), dtype=np.uint32), _lengths(first, len(by)))
     return others, [c[by[first]] for c in cols], np.add.reduceat(n[by], first), place
 
 
@@ -236,6 +263,17 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
     common.give_back()
 
 
+def _added(messages: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, base scores, known tokens) of n rows, from messages of (rows, their scores, rows with words outside the vocabulary,
+    base scores and known tokens of these words)."""
+    score, base, known = np.zeros(n), np.zeros(n), np.zeros(n)
+    for at, s, rare, b, c in messages:
+        score[at] += s
+        base[rare] += b
+        known[rare] += c
+    return score, base, known
+
+
 def _value(col: Column, d: np.ndarray) -> Column:
     """kept() as a Column of a count column."""
     factor = F.when(col <= len(d) - 1, F.element_at(F.array(*[F.lit(float(x)) for x in d]), (F.least(col, F.lit(len(d) - 1)) + 1).cast("int"))).otherwise(1.0)
@@ -329,41 +367,49 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
     def rows_of(kind: int, bucket: int, m: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, bucket, np.int32)), *(pa.array(given[c], t) if c in given else pa.nulls(m, t) for c, t in zip(TABLE[2:], KINDS[2:]))], TABLE)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, ranked, sorted_words, ranks, _ = shared_words.value
+    def deal_chunk(got: list) -> Iterator[pa.RecordBatch]:
+        ones, ranked, sorted_words, ranks, ranked_n = shared_words.value
         size = len(ranked)
-        for keys, ids, held, w, row in _tokens(batches, chunk_bytes):
-            with np.errstate(over="ignore"):
-                chunk = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64) + np.arange(1, len(keys) + 1, dtype=np.uint64) * _C1)) + U64(len(w))], np.uint64)).view(np.int64)[0])
-            yield rows_of(ABOUT, -1 - chunk % buckets, 1, chunk=[chunk], data=[pack(keys, held.astype(np.uint8), np.bincount(row, minlength=len(keys)).astype(np.uint32))], ids=[ids.to_pylist()])
-            others, cols = _coded(*_words(w, row, order), sorted_words, ranks)
-            names = np.concatenate([ranked, others])
-            key = _key(_sorting(cols), len(names))
-            by = np.argsort(key, kind="stable")  # rows ascend in each n-gram
-            start = _runs(key[by])
-            sorted_rows, cols = row[by], [c[by[start]] for c in cols]
-            del w, row, key, by
-            n = np.add.reduceat((~held[sorted_rows]).astype(np.int64), start) if len(start) else start
-            times = np.diff([*start, len(sorted_rows)])
-            grams, contexts = _chains(names, cols)
-            depth = _depth(contexts, ones)
-            at = _dealt(grams, contexts, depth, buckets)
-            for g in _split(at):
-                many = times[g]
-                spots = np.repeat(start[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                gram, r = np.repeat(np.arange(len(g)), many), sorted_rows[spots]
-                one = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (r[1:] != r[:-1])]))
-                data = pack(*_compact(others, [c[g] for c in cols], size), n[g].astype(np.uint32), np.bincount(gram[one], minlength=len(g)).astype(np.uint32), r[one].astype(np.uint32), np.diff([*one, len(r)]).astype(np.uint32))
-                yield rows_of(0, int(at[g[0]]), 1, chunk=[chunk], data=[data])
-            for m in range(1, order):
-                mine = np.flatnonzero((depth > m) & (n > 0))
-                if len(mine):
-                    _, one, same = np.unique(grams[m][mine], return_index=True, return_inverse=True)
-                    sums = np.bincount(same, n[mine]).round().astype(np.uint32)
-                    one = mine[one]
-                    to = _bucket(grams[m][one], buckets)
-                    for g in _split(to):
-                        yield rows_of(m, int(to[g[0]]), 1, data=[pack(*_compact(others, [c[one[g]] for c in cols[: m + 1]], size), sums[g])])
+        keys, ids, held, w, row = got
+        got.clear()
+        with np.errstate(over="ignore"):
+            chunk = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64) + np.arange(1, len(keys) + 1, dtype=np.uint64) * _C1)) + U64(len(w))], np.uint64)).view(np.int64)[0])
+        others, cols = _coded(*_words(w, row, order), sorted_words, ranks)
+        # The vocabulary's counts are known here: its words' part of the base scores need not come back from the buckets.
+        base = np.bincount(row, np.concatenate([np.log10(ranked_n + 0.5), np.zeros(len(others))])[cols[0]], len(keys))
+        known = np.bincount(row, cols[0] < size, len(keys))
+        yield rows_of(ABOUT, -1 - chunk % buckets, 1, chunk=[chunk], data=[pack(keys, held.astype(np.uint8), np.bincount(row, minlength=len(keys)).astype(np.uint32), known.astype(np.uint32), base)], ids=[ids.to_pylist()])
+        names = np.concatenate([ranked, others])
+        key = _key(_sorting(cols), len(names))
+        by, start = _stable(key)  # rows ascend in each n-gram
+        sorted_rows, cols = row[by], [c[by[start]] for c in cols]
+        del w, row, key, by
+        n = np.add.reduceat((~held[sorted_rows]).astype(np.int64), start) if len(start) else start
+        times = _lengths(start, len(sorted_rows))
+        grams, contexts = _chains(names, cols)
+        depth = _depth(contexts, ones)
+        at = _dealt(grams, contexts, depth, buckets)
+        del contexts
+        for g in _split(at):
+            many = times[g]
+            spots = np.repeat(start[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            gram, r = np.repeat(np.arange(len(g)), many), sorted_rows[spots]
+            one = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (r[1:] != r[:-1])]))
+            data = pack(*_compact(others, [c[g] for c in cols], size), n[g].astype(np.uint32), np.bincount(gram[one], minlength=len(g)).astype(np.uint32), r[one].astype(np.uint32), _lengths(one, len(r)).astype(np.uint32))
+            yield rows_of(0, int(at[g[0]]), 1, chunk=[chunk], data=[data])
+        for m in range(1, order):
+            mine = np.flatnonzero((depth > m) & (n > 0))
+            if len(mine):
+                _, one, same = np.unique(grams[m][mine], return_index=True, return_inverse=True)
+                sums = np.bincount(same, n[mine]).round().astype(np.uint32)
+                one = mine[one]
+                to = _bucket(grams[m][one], buckets)
+                for g in _split(to):
+                    yield rows_of(m, int(to[g[0]]), 1, data=[pack(*_compact(others, [c[one[g]] for c in cols[: m + 1]], size), sums[g])])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in _tokens(batches, chunk_bytes):
+            yield from deal_chunk(got)  # its arrays are gone before the next chunk is read
 
     def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, ranked, *_ = shared_words.value
@@ -453,11 +499,11 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
     model = spark.sparkContext.broadcast((d, about, denominator, left))
 
     # 5. The recursion for each distinct n-gram of a bucket; sums by row.
-    def evaluated(table: list[np.ndarray], answered: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-        """(log10 p, log10 (c + 0.5), known) of a bucket's distinct n-grams."""
+    def evaluated(table: list[np.ndarray], answered: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p of a bucket's distinct n-grams, counts of its words outside the vocabulary)."""
         d, about, denominator, left = model.value
         ones, ranked, _, _, ranked_n = shared_words.value
-        names, cols, n = np.concatenate([ranked, table[0]]), [c.astype(np.int64) for c in table[1 : 1 + order]], table[1 + order].astype(np.int64)
+        names, cols, n = np.concatenate([ranked, table[0]]), table[1 : 1 + order], table[1 + order].astype(np.int64)
         keys = np.concatenate([x[0] for x in answered]) if answered else np.zeros(0, np.int64)
         keys = keys.view(np.uint64)
         by = np.argsort(keys)
@@ -469,12 +515,12 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
 
         grams, contexts = _chains(names, cols)
         depth = _depth(contexts, ones)
-        c = np.where(cols[0] < len(ranked), ranked_n[np.minimum(cols[0], len(ranked) - 1)], counted(grams[0]))
-        base, known = np.log10(c + 0.5), c > 0
-        p = np.where(known, kept(c, d[0]) / denominator, left)
+        others_n = counted(table[0])
+        c = np.concatenate([ranked_n, others_n])[cols[0]]
+        p = np.where(c > 0, kept(c, d[0]) / denominator, left)
         for m in range(1, order):
             start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
-            group = np.repeat(np.arange(len(start)), np.diff([*start, len(n)]))
+            group = np.repeat(np.arange(len(start)), _lengths(start, len(n)))
             # One entry for each n-gram of m words before; these have one lower-order value.
             x, low, own = contexts[m][start], p[start], depth[start] <= m
             count = np.add.reduceat(n, start)
@@ -495,45 +541,57 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
             under[mine], alpha[mine] = np.where(trained, u, 0.0)[back], np.where(trained, a, 1.0)[back]
             value = np.where(count > 0, kept(count, d[m]) / np.maximum(under, 1.0), np.where(under > 0, alpha, 1.0) * low)
             p = value[group]
-        return np.log10(p), base, known
+        return np.log10(p), others_n
+
+    def scored(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        table = next((unpack(data) for kind, data in rows if kind == 0), None)
+        if table is None:
+            return
+        size = len(shared_words.value[1])
+        log_p, others_n = evaluated(table, [unpack(data) for kind, data in rows if kind == 1])
+        word = table[1]
+        chunks, grams_of, rows_in, steps, rows_of_gram, row, times = table[2 + order :]
+        at = np.repeat(np.cumsum(steps, dtype=np.uint32), rows_of_gram)
+        del table, steps
+        a = 0
+        for chunk, m in zip(chunks.tolist(), rows_in.tolist()):
+            s = slice(a, a + m)
+            r, t, w = row[s], times[s], word[at[s]]
+            some, back = np.unique(r, return_inverse=True)
+            outside = w >= size
+            rare, again = np.unique(r[outside], return_inverse=True)
+            n, t_rare = others_n[w[outside] - size], t[outside]
+            yield rows_of(2, bucket, 1, chunk=[chunk], data=[pack(some, np.bincount(back, log_p[at[s]] * t), rare, np.bincount(again, np.log10(n + 0.5) * t_rare), np.bincount(again, (n > 0) * t_rare).astype(np.uint32))])
+            a += m
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            table = next((unpack(data) for kind, data in rows if kind == 0), None)
-            if table is None:
-                continue
-            log_p, base, known = evaluated(table, [unpack(data) for kind, data in rows if kind == 1])
-            chunks, grams_of, rows_in, steps, size, row, times = table[2 + order :]
-            at = np.repeat(np.cumsum(steps, dtype=np.uint32), size)
-            del table, rows, steps
-            a = 0
-            for chunk, m in zip(chunks.tolist(), rows_in.tolist()):
-                s = slice(a, a + m)
-                some, back = np.unique(row[s], return_inverse=True)
-                t = times[s]
-                yield rows_of(2, bucket, 1, chunk=[chunk], data=[pack(some, np.bincount(back, log_p[at[s]] * t), np.bincount(back, base[at[s]] * t), np.bincount(back, known[at[s]] * t).astype(np.uint32))])
-                a += m
+            yield from scored(bucket, rows)  # its arrays are gone before the next bucket is read
+
+    def add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _by_bucket(batches):
+            got = [unpack(data) for (data,) in rows]
+            n = 1 + max(int(x[0][-1]) for x in got)
+            sums, base, known = _added(got, n)
+            rare = distinct(np.concatenate([x[2] for x in got]))
+            yield rows_of(2, 0, 1, chunk=[chunk], data=[pack(np.arange(n, dtype=np.uint32), sums, rare, base[rare], known[rare].astype(np.uint32))])
 
     both = tables.where("kind = 0").select("bucket", "kind", "data").unionByName(answers.select("bucket", F.lit(1).alias("kind"), "data"))
     parts = []
     for wave in range(waves):
         mine = both.where(F.col("bucket") % waves == wave).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        parts.append(common.stored(mine.mapInArrow(in_bucket, schema).select("kind", "chunk", "data", "ids"), "katz-sums"))
-        del mine
+        sums = mine.mapInArrow(in_bucket, schema).select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk")
+        parts.append(common.stored(sums.mapInArrow(add_sums, schema).select("kind", "chunk", "data", "ids"), "katz-sums"))
+        del mine, sums
         common.free_shuffles(spark)
 
     # 6. One total for each row.
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _by_bucket(batches):
             equal = [(*unpack(data), ids) for kind, data, ids in rows if kind == ABOUT]
-            keys, held_flag, count, _ = equal[0]
-            score, base, known = (np.zeros(len(keys)) for _ in range(3))
-            for kind, data, _ in rows:
-                if kind == 2:
-                    some, *parts = unpack(data)
-                    for x, part in zip((score, base, known), parts):
-                        x[some] += part
-            score, base, known = score / len(equal), base / len(equal), known / len(equal)  # equal chunks share an id
+            keys, held_flag, count, in_vocabulary, base_of, _ = equal[0]
+            score, base, known = (x / len(equal) for x in _added([unpack(data) for kind, data, _ in rows if kind == 2], len(keys)))  # equal chunks share an id
+            base, known = base + base_of, known + in_vocabulary
             base = base - count * np.log10(total + 0.5 * (known_words + 1))
             for *_, ids in equal:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_list.value_type), pa.array(held_flag.astype(bool)), pa.array(count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
