@@ -411,39 +411,43 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
         for got in _tokens(batches, chunk_bytes):
             yield from deal_chunk(got)  # its arrays are gone before the next chunk is read
 
-    def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ones, ranked, *_ = shared_words.value
         size = len(ranked)
         signed = lambda x: x.view(np.int64)
-        for bucket, rows in _by_bucket(batches):
-            for level, chunk, data, ids in rows:
-                if level == ABOUT:
-                    yield rows_of(ABOUT, bucket, 1, chunk=[chunk], data=[data], ids=[ids])
-            for level in range(order):
-                got = [(chunk, unpack(data)) for l, chunk, data, _ in rows if l == level]
-                if not got:
-                    continue
-                others, cols, n, place = _merged([x for _, x in got], level + 1 if level else order, size)
-                names = np.concatenate([ranked, others])
+        for level, chunk, data, ids in rows:
+            if level == ABOUT:
+                yield rows_of(ABOUT, bucket, 1, chunk=[chunk], data=[data], ids=[ids])
+        for level in range(order):
+            got = [(chunk, unpack(data)) for l, chunk, data, _ in rows if l == level]
+            if not got:
+                continue
+            others, cols, n, place = _merged([x for _, x in got], level + 1 if level else order, size)
+            names = np.concatenate([ranked, others])
+            if level:  # n-grams of common contexts: all of each is here
                 grams, contexts = _chains(names, cols)
-                if level:  # n-grams of common contexts: all of each is here
-                    for a in range(0, len(n), 100_000):
-                        s = slice(a, a + 100_000)
-                        yield rows_of(1 + level, bucket, len(n[s]), key=signed(grams[level][s]), n=n[s], ctx=signed(contexts[level][s]), lower=signed(grams[level - 1][s]))
-                    continue
-                grams_of, rows_in = [len(x[1]) for _, x in got], [len(x[-1]) for _, x in got]
-                where = [np.concatenate([x[-i] for _, x in got]) for i in (3, 2, 1)]
-                steps = np.diff(place, prepend=place[:1] * 0)  # modulo 2^32; small ones pack well
-                yield rows_of(0, bucket, 1, data=[pack(others, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32), np.array([c for c, _ in got], np.int64), np.array(grams_of, np.uint32), np.array(rows_in, np.uint32), steps, *where)])
-                del got, where, steps, place
-                depth = _depth(contexts, ones)
-                asked = signed(distinct(np.concatenate([distinct(grams[0][cols[0] >= size]), *(grams[m][depth > m] for m in range(1, order))])))
-                for a in range(0, len(asked), 100_000):
-                    yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
-                for m in range(1, order):
-                    start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
-                    c = np.add.reduceat(n, start)[depth[start] <= m]
-                    yield rows_of(1 + order, bucket, 1, key=[m], data=[pack(np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2).astype(np.int64))])
+                for a in range(0, len(n), 100_000):
+                    s = slice(a, a + 100_000)
+                    yield rows_of(1 + level, bucket, len(n[s]), key=signed(grams[level][s]), n=n[s], ctx=signed(contexts[level][s]), lower=signed(grams[level - 1][s]))
+                continue
+            grams_of, rows_in = [len(x[1]) for _, x in got], [len(x[-1]) for _, x in got]
+            where = [np.concatenate([x[-i] for _, x in got]) for i in (3, 2, 1)]
+            steps = np.diff(place, prepend=place[:1] * 0)  # modulo 2^32; small ones pack well
+            yield rows_of(0, bucket, 1, data=[pack(others, *(c.astype(np.uint32) for c in cols), n.astype(np.uint32), np.array([c for c, _ in got], np.int64), np.array(grams_of, np.uint32), np.array(rows_in, np.uint32), steps, *where)])
+            del got, where, steps, place
+            grams, contexts = _chains(names, cols)
+            depth = _depth(contexts, ones)
+            asked = signed(distinct(np.concatenate([distinct(grams[0][cols[0] >= size]), *(grams[m][depth > m] for m in range(1, order))])))
+            for a in range(0, len(asked), 100_000):
+                yield rows_of(1, bucket, len(asked[a : a + 100_000]), key=asked[a : a + 100_000])
+            for m in range(1, order):
+                start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
+                c = np.add.reduceat(n, start)[depth[start] <= m]
+                yield rows_of(1 + order, bucket, 1, key=[m], data=[pack(np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2).astype(np.int64))])
+
+    def add_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            yield from merged(bucket, rows)  # its arrays are gone before the next bucket is read
 
     dealt = source.mapInArrow(deal, schema).select("bucket", "kind", "chunk", "data", "ids").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     tables = common.stored(dealt.mapInArrow(add_ngrams, schema), "katz-ngrams", "kind")
@@ -520,7 +524,6 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
         p = np.where(c > 0, kept(c, d[0]) / denominator, left)
         for m in range(1, order):
             start = _runs(_key(_sorting(cols[: m + 1]), len(names)))
-            group = np.repeat(np.arange(len(start)), _lengths(start, len(n)))
             # One entry for each n-gram of m words before; these have one lower-order value.
             x, low, own = contexts[m][start], p[start], depth[start] <= m
             count = np.add.reduceat(n, start)
@@ -540,7 +543,8 @@ def score(docs: DataFrame, held_out, order: int = 3, k: int = 5, vocabulary: int
             trained = total_of > 0
             under[mine], alpha[mine] = np.where(trained, u, 0.0)[back], np.where(trained, a, 1.0)[back]
             value = np.where(count > 0, kept(count, d[m]) / np.maximum(under, 1.0), np.where(under > 0, alpha, 1.0) * low)
-            p = value[group]
+            p = np.repeat(value, _lengths(start, len(n)))
+            grams[m] = contexts[m] = None
         return np.log10(p), others_n
 
     def scored(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
