@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import LOW, ODD, brute_components, brute_lines, near_copies
-from tidegauge.llm import quality
+from tidegauge.llm import common, quality
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"  # enough labels for the quality stage
@@ -98,3 +99,29 @@ def test_odd_tables(spark, docs, name):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "packing"])
+def test_workers_give_back(spark, docs, monkeypatch, name):
+    """Every function that a stage sends to the Python workers, which live on, returns freed memory when a task's rows end."""
+    sent, times = [], []
+    frame = docs(near_copies(9, 2, 4))
+    real = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, run, *how: (sent.append(run), real(df, run, *how))[1])
+    assert STAGES[name](spark, frame, SF).count()
+    monkeypatch.setattr(common, "give_back", lambda: times.append(1))
+    for run in sent:
+        list(run(iter([])))
+    assert sent and len(times) == len(sent)
+
+
+def test_statistics_bounded():
+    """The arrays of 4 MB of texts, 21 bytes for each byte, are not made for all of them at once."""
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["some words of a text " * 200] * 1000)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(len(x) for _, x in quality.statistics(iter([batch]), "doc_id"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1000 and peak < 12 * batch.nbytes

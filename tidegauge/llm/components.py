@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import giving_back, stored
 
 #: Edges that one task takes: 16 MB.
 ONE_TASK = 1 << 20
@@ -47,7 +47,7 @@ def connected(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             for i in range(0, len(nodes), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(roots[i : i + 50_000])], ["node", "root"])
 
-    return edges.coalesce(1).mapInArrow(union, "node long, root long")
+    return edges.coalesce(1).mapInArrow(giving_back(union), "node long, root long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

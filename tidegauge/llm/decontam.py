@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .words import LOWER, NOT_ALNUM
 
 _TABLE = bytes(32 if NOT_ALNUM[LOWER[b]] else int(LOWER[b]) for b in range(256))
@@ -155,7 +156,7 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str =
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<from:long,to:long>>").alias("spans"))
     for part in item_blocks(items, item_col, item_text, block_bytes):
         block = docs.sparkSession.sparkContext.broadcast(part)  # at most block_bytes and one item
-        out = out.select("doc_id", "text", "items", "spans").mapInArrow(scanner(block, uuid.uuid4().hex), typed)
+        out = out.select("doc_id", "text", "items", "spans").mapInArrow(common.giving_back(scanner(block, uuid.uuid4().hex)), typed)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
@@ -171,5 +172,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: s
             for batch in batches:
                 yield batch.filter(pa.array([not finder.find(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = docs.mapInArrow(common.giving_back(keep), schema)
     return docs

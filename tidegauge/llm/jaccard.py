@@ -81,7 +81,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
+    parts = docs.select("text").mapInArrow(common.giving_back(count), schema).repartition(SLICES, "slice").mapInArrow(common.giving_back(add), schema)
     out = np.zeros(SKETCH, np.uint32)
     width = SKETCH // SLICES
     for r in parts.collect():  # 4 MB in all
@@ -147,7 +147,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    raw = common.stored(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text").mapInArrow(post, f"kind int, doc_id {kind}, h long, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings", "kind")
+    raw = common.stored(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text").mapInArrow(common.giving_back(post), f"kind int, doc_id {kind}, h long, n_shingles long, class long, bucket int, postings binary"), "jaccard-postings", "kind")
     rows = raw.where("kind = 0").select("doc_id", "h", "n_shingles", "class")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
             at = order[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(member[a : a + 50_000].view(np.int64)), pa.array(cls[a : a + 50_000]), pa.array(size[at]), pa.array(pos[at].astype(np.int32)), pa.array(match[at].astype(np.int32))], ["member", "cls", "size", "pos", "match"])
 
-    lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(shared, "member long, cls long, size int, pos int, match int")
+    lists = raw.where("kind = 1").select("postings", "bucket").repartition(buckets, "bucket").select("postings").mapInArrow(common.giving_back(shared), "member long, cls long, size int, pos int, match int")
     lists = plain = common.stored(lists, "jaccard-lists")
     common.discard(raw, "kind=1")
     # Of a class's members only those with other postings can be common: `nth` of them have come at a position.
@@ -192,7 +192,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
             raw = [(t or "").encode() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw], pa.binary())], ["id", "h", "z"])
 
-    held = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(squeeze, f"id {kind}, h long, z binary")
+    held = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(common.giving_back(squeeze), f"id {kind}, h long, z binary")
     held = held.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))).select("cls", "z")
     whole_texts = common.stored(held.dropDuplicates(["cls"]), "jaccard-texts")
     common.free_shuffles(spark)
@@ -219,7 +219,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, most_match: int = 6, m
 
         one = pairs.join(whole_texts.select(F.col("cls").alias("a"), F.col("z").alias("x")), "a")
         two = one.join(whole_texts.select(F.col("cls").alias("b"), F.col("z").alias("y")), "b")
-        return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        return two.select("a", "b", "x", "y").mapInArrow(common.giving_back(check), "a long, b long")
 
     # A common member at positions i, j of two sets leaves room for min(nth) common ones up to there and the rests beyond.
     fits = f"100 * least(size, o_size) >= {percent} * greatest(size, o_size)"

@@ -204,7 +204,7 @@ def pieces(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, id
                         x.append(v)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(common.giving_back(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

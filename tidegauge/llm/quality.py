@@ -33,7 +33,7 @@ STATS = 24
 
 def statistics(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """A row of STATS numbers for each text."""
-    for chunk in texts(batches, "text", ids):
+    for chunk in texts(batches, "text", ids, 1 << 20):  # its arrays take 20 to 40 bytes a byte of text
         n, size = len(chunk), np.diff(chunk.offs)
         row = np.repeat(np.arange(n), size)
         by = np.bincount(row * 8 + _CLASS[chunk.buf], minlength=8 * n).reshape(n, 8).astype(float)
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for ids, x in statistics(batches, "doc_id"):
             yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "stats"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, stats binary")
+    return docs.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(common.giving_back(run), f"doc_id {kind}, stats binary")
 
 
 class Model:
@@ -133,7 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
             s += np.array([np.full(STATS, len(x)), x.sum(0), (x * x).sum(0)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["m"])
 
-    parts = [np.frombuffer(r[0], "<f8").reshape(3, STATS) for r in data.select("stats").mapInArrow(moments, "m binary").collect()]
+    parts = [np.frombuffer(r[0], "<f8").reshape(3, STATS) for r in data.select("stats").mapInArrow(common.giving_back(moments), "m binary").collect()]
     total = np.sum(parts, axis=0) if parts else np.zeros((3, STATS))
     if not total[0, 0]:
         return Model(np.zeros(STATS), np.ones(STATS), features, width)
@@ -149,7 +149,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
             y += x.T @ t
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["a", "y"])
 
-    sums = data.where("fold <> 4").select("stats", "label").mapInArrow(normal, "a binary, y binary").collect()  # 8 partitions
+    sums = data.where("fold <> 4").select("stats", "label").mapInArrow(common.giving_back(normal), "a binary, y binary").collect()  # 8 partitions
     d = features + 1
     a = np.sum([np.frombuffer(r["a"], "<f8").reshape(d, d) for r in sums], axis=0)
     y = np.sum([np.frombuffer(r["y"], "<f8") for r in sums], axis=0)
@@ -163,7 +163,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
             h[1] += np.bincount(at, batch.column(1).to_numpy(zero_copy_only=False), minlength=bins)
         yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary())], ["h"])
 
-    h = np.sum([np.frombuffer(r[0], "<f8").reshape(2, bins) for r in data.where("fold = 4").select("stats", "label").mapInArrow(histogram, "h binary").collect()] or [np.zeros((2, bins))], axis=0)
+    h = np.sum([np.frombuffer(r[0], "<f8").reshape(2, bins) for r in data.where("fold = 4").select("stats", "label").mapInArrow(common.giving_back(histogram), "h binary").collect()] or [np.zeros((2, bins))], axis=0)
     used = np.flatnonzero(h[0])
     if len(used):
         model.edges = (used + 0.5) / bins * 2 - 0.5
@@ -181,7 +181,7 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
             x = _unpack(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(shared.value.score(x), 0, 1) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
+    return stats.select("doc_id", "stats").mapInArrow(common.giving_back(run), f"doc_id {kind}, score double")
 
 
 def scored_stats(stats: DataFrame, model: Model) -> DataFrame:
@@ -193,7 +193,7 @@ def scored_stats(stats: DataFrame, model: Model) -> DataFrame:
             x = _unpack(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(shared.value.score(x), 0, 1) if len(x) else [], pa.float64())], ["stats", "score"])
 
-    return stats.select("stats").distinct().mapInArrow(run, "stats binary, score double")
+    return stats.select("stats").distinct().mapInArrow(common.giving_back(run), "stats binary, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
@@ -209,4 +209,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how)
             keep = np.concatenate([model.value.score(x) >= threshold for _, x in statistics(iter([only]), "row")] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(common.giving_back(run), schema)
