@@ -19,5 +19,8 @@ PROTOS = ("total", "tcp", "udp", "icmp", "fragmented", "tcp_syn", "dropped")
 MEASURES = [f"{p}_{d}_{u}" for p in PROTOS for d in ("in", "out") for u in ("bytes", "packets")]
 
 
+EMPTY = {n: v for n, _, v in FLOW}
+
+
 def flow(**known) -> dict:
-    return {n: known.get(n, v) for n, _, v in FLOW}
+    return EMPTY | known if known.keys() <= EMPTY.keys() else {n: known.get(n, v) for n, _, v in FLOW}

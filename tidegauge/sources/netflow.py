@@ -7,13 +7,16 @@ pass takes templates and options out of all datagrams, a second joins each data
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FLOW, FLOW_DDL, flow
+from .batches import STEP, packed, schema, tuples
 from .frames import OK, ethernet, ipv4, mac
 from .templates import as_of, learned_rate
 
@@ -416,12 +419,9 @@ def _records(body: bytes, at: int, note) -> Iterator[tuple[int, bytes]]:
 
 def decode_sflow(datagrams: DataFrame) -> DataFrame:
     def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b["payload"], b["arrival_time"]) for r in sflow5(bytes(p), t)], columns=_NAMES)
+        return packed((r for p, t in tuples(batches, ["payload", "arrival_time"]) for r in sflow5(bytes(p), t)), FLOW_DDL)
 
-    return datagrams.select("payload", "arrival_time").mapInPandas(run, FLOW_DDL)
+    return datagrams.select("payload", "arrival_time").mapInArrow(run, FLOW_DDL)
 
 
 def sflow_counters(datagrams: DataFrame) -> DataFrame:
