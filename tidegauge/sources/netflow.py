@@ -425,16 +425,15 @@ def decode_sflow(datagrams: DataFrame) -> DataFrame:
 
 
 def sflow_counters(datagrams: DataFrame) -> DataFrame:
-    """name, value: what decoding sFlow datagrams met, by the names of the system counters."""
+    """name, value: what decoding sFlow datagrams met, by the names of the system counters. Each task sends one row a name."""
 
     def run(batches):
-        import pandas as pd
-
-        for b in batches:
+        met: Counter = Counter()
+        for (p,) in tuples(batches, ["payload"]):
             notes: list[str] = []
-            for p in b["payload"]:
-                for _ in sflow5(bytes(p), None, notes):
-                    pass
-            yield pd.DataFrame({"name": [f"sflow_{n}" for n in notes if n]})
+            for _ in sflow5(bytes(p), None, notes):
+                pass
+            met.update(notes)
+        return packed(({"name": f"sflow_{n}", "value": k} for n, k in met.items() if n), "name string, value long")
 
-    return datagrams.select("payload").mapInPandas(run, "name string").groupBy("name").agg(F.count(F.lit(1)).alias("value"))
+    return datagrams.select("payload").mapInArrow(run, "name string, value long").groupBy("name").agg(F.sum("value").alias("value"))
