@@ -180,14 +180,54 @@ def templates(body: bytes, kind: int, ipfix: bool) -> Iterator[tuple[int, list[t
         yield name, fields, options
 
 
+#: A v5 record; names with an underscore are passed over.
+_V5 = [("src_ip", ">u4"), ("dst_ip", ">u4"), ("_next_hop", ">u4"), ("input_interface", ">u2"), ("output_interface", ">u2"), ("number_of_packets", ">u4"), ("length", ">u4"), ("flow_start", ">u4"), ("flow_end", ">u4"), ("source_port", ">u2"), ("destination_port", ">u2"), ("_pad", "u1"), ("flags", "u1"), ("protocol", "u1"), ("_tos", "u1"), ("src_asn", ">u2"), ("dst_asn", ">u2"), ("_rest", ">u4")]
+
+
+def _rows5(part: list[tuple]):
+    """The records of (payload, time, exporter) as netflow5() reads them, in one Arrow batch; None if there are none."""
+    import numpy as np
+    import pyarrow as pa
+
+    bodies, counts, ratios, of = [], [], [], []
+    for i, (p, _, _) in enumerate(part):
+        p = bytes(p or b"")
+        count = number(p[2:4]) if version(p) == 5 and len(p) >= 24 else 0
+        fits = min(count, (len(p) - 24) // 48) if count <= 30 else 0
+        if fits > 0:
+            bodies.append(p[24 : 24 + 48 * fits])
+            counts.append(fits)
+            ratios.append(number(p[22:24]) & 0x3FFF or 1)
+            of.append(i)
+    if not of:
+        return None
+    got = np.frombuffer(b"".join(bodies), _V5)
+    known = {n: got[n] for n, _ in _V5 if n[0] != "_"}
+    known |= {"ip_length": got["length"], "sample_ratio": np.repeat(ratios, counts), "flags": np.where(got["protocol"] == 6, got["flags"], 0), "protocol": np.where(np.isin(got["protocol"], (1, 6, 17)), got["protocol"], 0)}
+    each = pa.array(np.repeat(of, counts))
+    fixed, kinds = {"source": "netflow"}, schema(FLOW_DDL)
+    cols = []
+    for n, _, absent in FLOW:
+        kind = kinds.field(n).type
+        if n in ("arrival_time", "agent_ipv4_address"):
+            cols.append(pa.array([r[1 if n == "arrival_time" else 2] for r in part], kind).take(each))
+        elif n in known:
+            cols.append(pa.array(known[n].astype(kind.to_pandas_dtype())))
+        else:
+            cols.append(pa.repeat(pa.scalar(fixed.get(n, absent), kind), len(got)))
+    return pa.RecordBatch.from_arrays(cols, schema=kinds)
+
+
 def decode5(datagrams: DataFrame) -> DataFrame:
-    def run(batches):
-        import pandas as pd
+    """The rows of v5 datagrams, those of 256 datagrams at a time."""
 
-        for b in batches:
-            yield pd.DataFrame([r for p, t, e in zip(b["payload"], b["arrival_time"], b["exporter"]) if version(bytes(p)) == 5 for r in netflow5(bytes(p), t, e)], columns=_NAMES)
+    def run(batches):
+        rows = tuples(batches, ["payload", "arrival_time", "exporter"])
+        while part := list(islice(rows, STEP)):
+            if (out := _rows5(part)) is not None:
+                yield out
 
-    return datagrams.select("payload", "arrival_time", "exporter").mapInPandas(run, FLOW_DDL)
+    return datagrams.select("payload", "arrival_time", "exporter").mapInArrow(run, FLOW_DDL)
 
 
 _KEYS = ["exporter", "source_id", "template_id", "version"]
