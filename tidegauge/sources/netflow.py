@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..schema import FLOW, FLOW_DDL, flow
 from .batches import STEP, packed, schema, tuples
 from .frames import OK, ethernet, ipv4, mac
-from .templates import as_of, learned_rate
+from .templates import as_of, rate_as_of
 
 _NAMES = [n for n, _, _ in FLOW]
 
@@ -238,6 +238,21 @@ def prefix_of(v: int) -> str:
     return "ipfix_" if v == 10 else "netflow_v9_"
 
 
+@lru_cache(4096)
+def _plain(fields: tuple[tuple[int, int], ...]) -> tuple[struct.Struct, list[str]] | None:
+    """How to unpack a record of fixed length whose known elements are whole numbers; None if it has others."""
+    layout, names = ">", []
+    for kind, size in fields:
+        if kind in NUMBERS and size in (1, 2, 4, 8) or kind == 89 and size == 1:
+            layout += {1: "B", 2: "H", 4: "I", 8: "Q"}[size]
+            names.append(NUMBERS.get(kind, "_status"))
+        elif kind in NUMBERS or kind in (27, 28, 56, 80, 156, 157, 62, 63, 89, 104, 315) or size == 65535:
+            return None
+        else:
+            layout += f"{size}x"
+    return struct.Struct(layout), names
+
+
 def records(fields: list[tuple[int, int]], body: bytes, ipfix: bool, notes: list) -> Iterator[dict]:
     """The records of a data set. IPFIX sets of fixed length hold up to 0x4000; what is left over is padding."""
     least = sum(n if n != 65535 or not ipfix else 1 for _, n in fields)
@@ -250,6 +265,13 @@ def records(fields: list[tuple[int, int]], body: bytes, ipfix: bool, notes: list
         if len(body) % least > 7:
             notes.append("sets_with_anomaly_padding")
     at = 0
+    if (plain := _plain(tuple(fields))) is not None:
+        at = len(body) // least * least
+        for raw in plain[0].iter_unpack(body[:at]):
+            values = dict(zip(plain[1], raw))
+            if "_status" in values:
+                values |= {"_status": True, "forwarding_status": STATUS[values["_status"] >> 6]}
+            yield values
     while at + least <= len(body):
         found = record(fields, body, at, ipfix)
         if found is None:
@@ -261,112 +283,149 @@ def records(fields: list[tuple[int, int]], body: bytes, ipfix: bool, notes: list
         notes.append("packets_with_padding" if not any(body[at:]) else "broken_packets")
 
 
-def framed(datagrams: DataFrame) -> DataFrame:
+_SETS = "exporter long, seq long, arrival_time timestamp, source_id long, template_id int, version int, what string, fields string, body binary"
+
+
+def framed(datagrams: DataFrame, bodies: bool = True) -> DataFrame:
     """The sets of v9 and IPFIX datagrams: exporter, seq, arrival_time, source_id, template_id, version, what, fields, body.
 
-    what: packet (one for each datagram), unknown, template, options, data. seq orders sets: 65,536 for each datagram."""
+    what: packet (one for each datagram), unknown, template, options, data. seq orders sets: 65,536 for each datagram.
+    bodies: with the data sets."""
+    names = [c.split()[0] for c in _SETS.split(", ")]
 
     def run(batches):
-        import pandas as pd
-
-        names = ["exporter", "seq", "arrival_time", "source_id", "template_id", "version", "what", "fields", "body"]
-        for b in batches:
-            out = []
-            for p, t, e, s in zip(b["payload"], b["arrival_time"], b["exporter"], b["seq"]):
+        def found():
+            for p, t, e, s in tuples(batches, ["payload", "arrival_time", "exporter", "seq"]):
                 p = bytes(p)
                 v, order = version(p), s * 65536
-                out.append((e, order, t, 0, 0, v, "packet" if v else "unknown", None, None))
+                yield (e, order, t, 0, 0, v, "packet" if v else "unknown", None, None)
                 if v not in (9, 10):
                     continue
                 for k, (source, kind, body) in enumerate(sets(p)):
                     if kind in ((2, 3) if v == 10 else (0, 1)):
-                        out += [(e, order + k, t, source, name, v, "options" if opt else "template", ",".join(f"{a}:{n}" for a, n in fields), None) for name, fields, opt in templates(body, kind, v == 10)]
-                    elif kind >= 256:
-                        out.append((e, order + k, t, source, kind, v, "data", None, body))
-            yield pd.DataFrame(out, columns=names)
+                        for name, fields, opt in templates(body, kind, v == 10):
+                            yield (e, order + k, t, source, name, v, "options" if opt else "template", ",".join(f"{a}:{n}" for a, n in fields), None)
+                    elif kind >= 256 and bodies:
+                        yield (e, order + k, t, source, kind, v, "data", None, body)
 
-    return datagrams.select("payload", "arrival_time", "exporter", "seq").mapInPandas(run, "exporter long, seq long, arrival_time timestamp, source_id long, template_id int, version int, what string, fields string, body binary")
+        return packed((dict(zip(names, r)) for r in found()), _SETS, 512)
 
+    return datagrams.select("payload", "arrival_time", "exporter", "seq").mapInArrow(run, _SETS)
 
-def events(sets: DataFrame, drop_without_next_hop: bool = False) -> DataFrame:
-    """What the data sets of framed() hold: flow columns, seq, version, kind (flow, option, other), own_ratio, announced,
-    active_timeout, inactive_timeout, interface, interface_name, notes. Data before its template is left out; the latest
-    template wins."""
-    versions = sets.where("what in ('template', 'options')").select(*_KEYS, F.col("seq").alias("since"), F.concat_ws(";", F.substring("what", 1, 1), "fields").alias("template"))
-    data = as_of(sets.where("what = 'data'").drop("fields", "what"), versions, _KEYS, F.col("seq"), "template")
-    more = ["seq", "version", "kind", "own_ratio", "announced", "active_timeout", "inactive_timeout", "interface", "interface_name", "notes"]
 
-    def read(batches):
-        import pandas as pd
+def history(sets: DataFrame) -> DataFrame:
+    """Announced templates in order, each with the one that it replaces."""
+    return sets.where("what in ('template', 'options')").select(*_KEYS, "seq", "what", "fields").withColumn("before", F.lag(F.concat("what", "fields")).over(Window.partitionBy(*_KEYS).orderBy("seq")))
+
+
+def known_sets(sets: DataFrame, announced: DataFrame) -> DataFrame:
+    """The data sets with the template as of their datagram, null where there was none yet. announced: of history(); only changes
+    travel, to every task, as a template's name, fields and first datagram."""
+    versions = announced.where("before is null or before <> concat(what, fields)").select(*_KEYS, F.col("seq").alias("since"), F.concat_ws(";", F.substring("what", 1, 1), "fields").alias("template"))
+    return as_of(sets.where("what = 'data'").drop("fields", "what"), versions, _KEYS, F.col("seq"), "template")
 
-        for b in batches:
-            out = []
 
-            def add(r, notes, row=None, **known):
-                out.append((row or flow(arrival_time=r.arrival_time, agent_ipv4_address=r.exporter)) | dict.fromkeys(c for c in more if not row or c not in row) | {"seq": r.seq, "version": r.version, "notes": ",".join(prefix_of(r.version) + n for n in notes)} | known)
+_MORE = "seq long, version int, kind string, own_ratio long, announced long, active_timeout long, inactive_timeout long, interface long, interface_name string, notes string, record int"
 
-            for r in b.itertuples():
-                if not isinstance(r.template, str):
-                    add(r, ["packets_with_unknown_templates"], kind="other")
+
+def read_sets(data: DataFrame, drop_without_next_hop: bool = False) -> DataFrame:
+    """What data sets with their templates hold: see events(). A column `rate` goes along."""
+    rated = "rate" in data.columns
+    names = ["seq", "version", "arrival_time", "exporter", "body", "template"] + ["rate"] * rated
+    ddl = f"{FLOW_DDL}, {_MORE}" + ", rate long" * rated
+
+    def read(batches):
+        def found():
+            for seq, v, at, exporter, body, template, *rate in tuples(batches, names):
+                same = {"seq": seq, "version": v} | ({"rate": rate[0]} if rated else {})
+                prefix = prefix_of(v)
+
+                def add(notes, row=None, **known):
+                    return (row or flow(arrival_time=at, agent_ipv4_address=exporter)) | same | {"notes": ",".join([prefix + n for n in notes])} | known
+
+                if template is None:
+                    yield add(["packets_with_unknown_templates"], kind="other")
                     continue
-                kind, _, text = r.template.partition(";")
-                fields, notes = [tuple(map(int, x.split(":"))) for x in text.split(",") if x], ["options_packet_number" if kind == "o" else "data_packet_number"]
-                for values in records(fields, bytes(r.body), r.version == 10, notes):
+                kind, _, text = template.partition(";")
+                fields, notes = _fields(text), ["options_packet_number" if kind == "o" else "data_packet_number"]
+                for i, values in enumerate(records(fields, body, v == 10, notes)):
                     if kind == "o":
-                        rate = options_rate(values)
-                        own = [n for n, c in (("custom_sampling_rate_received", rate), ("active_flow_timeout_received", values.get("_active")), ("inactive_flow_timeout_received", values.get("_inactive"))) if c]
-                        add(r, own, kind="option", announced=rate, active_timeout=values.get("_active"), inactive_timeout=values.get("_inactive"), interface=values.get("input_interface"), interface_name=str(values["_interface_name"]) if "_interface_name" in values else None)
+                        told = options_rate(values)
+                        own = [n for n, c in (("custom_sampling_rate_received", told), ("active_flow_timeout_received", values.get("_active")), ("inactive_flow_timeout_received", values.get("_inactive"))) if c]
+                        yield add(own, kind="option", record=i, announced=told, active_timeout=values.get("_active"), inactive_timeout=values.get("_inactive"), interface=values.get("input_interface"), interface_name=str(values["_interface_name"]) if "_interface_name" in values else None)
                         continue
                     own = []
-                    for i, row in enumerate(to_rows(values, r.arrival_time, r.exporter, drop_without_next_hop, own)):
-                        if i == 0 and r.version == 10 and row["end_reason"] in END_REASONS:
+                    for j, row in enumerate(to_rows(values, at, exporter, drop_without_next_hop, own)):
+                        if j == 0 and v == 10 and row["end_reason"] in END_REASONS:
                             own.append(f"flows_end_reason_{END_REASONS[row['end_reason']]}")
-                        add(r, own if i == 0 else [], row, kind="flow")
+                        yield add(own if j == 0 else [], row, kind="flow")
                     if values.get("_nat"):
-                        add(r, own, kind="other")
-                add(r, notes, kind="other")
-            yield pd.DataFrame(out, columns=[*_NAMES, *more])
+                        yield add(own, kind="other")
+                yield add(notes, kind="other")
+
+        return packed(found(), ddl)
 
-    return data.mapInPandas(read, FLOW_DDL + ", seq long, version int, kind string, own_ratio long, announced long, active_timeout long, inactive_timeout long, interface long, interface_name string, notes string")
+    return data.select(*names).mapInArrow(read, ddl)
+
+
+@lru_cache(4096)
+def _fields(text: str) -> list[tuple[int, int]]:
+    return [tuple(map(int, x.split(":"))) for x in text.split(",") if x]
+
+
+def events(sets: DataFrame, drop_without_next_hop: bool = False) -> DataFrame:
+    """What the data sets of framed() hold: flow columns, seq, version, kind (flow, option, other), own_ratio, announced,
+    active_timeout, inactive_timeout, interface, interface_name, notes, record (its place among the options of a set). Data before its
+    template is left out; the latest template wins."""
+    return read_sets(known_sets(sets, history(sets)), drop_without_next_hop)
 
 
 def decode_templated(datagrams: DataFrame, default_ratio: int = 1, keep: str | None = None, drop_without_next_hop: bool = False) -> DataFrame:
     """Flow rows of v9 and IPFIX datagrams, with the ratio of the record or else the exporter's last announced one.
 
-    keep: a shared folder to store the sets in, so that datagrams are unpacked once, not once for templates and once for data."""
-    sets = framed(datagrams)
+    Rates join the sets before these are read, so flow rows are neither sorted nor moved. Without keep datagrams are framed four times:
+    for templates, options, ranges of seq and data.
+    keep: a shared folder to store the sets in, so that datagrams are unpacked once."""
+    sets = bare = framed(datagrams)
     if keep:
         sets.write.parquet(keep)
-        sets = datagrams.sparkSession.read.parquet(keep)
-    rows = events(sets, drop_without_next_hop).withColumn("fallback", F.lit(default_ratio).cast("long"))
-    rows = learned_rate(rows, "agent_ipv4_address", "seq", "announced", "fallback", "learned", 65536 * 1_000_000)
-    return rows.where("kind = 'flow'").withColumn("sample_ratio", F.coalesce("own_ratio", "learned")).select(*_NAMES)
+        sets = bare = datagrams.sparkSession.read.parquet(keep)
+    else:
+        bare = framed(datagrams, bodies=False)
+    data = known_sets(sets, history(bare))
+    said = read_sets(data.where("template like 'o;%'")).where("announced is not null").select(F.col("agent_ipv4_address").alias("exporter"), "seq", "record", "announced")
+    data = rate_as_of(data.where("template like 't;%'"), said, bare.where("what = 'packet'").select("exporter", "seq"), "rate")
+    rows = read_sets(data, drop_without_next_hop)
+    return rows.where("kind = 'flow'").withColumn("sample_ratio", F.coalesce("own_ratio", "rate", F.lit(default_ratio).cast("long"))).select(*_NAMES)
 
 
 def exporter_options(datagrams: DataFrame) -> DataFrame:
     """What exporters announced in options: exporter, seq, sampling rate, timeouts, interface names."""
-    return events(framed(datagrams)).where("kind = 'option'").select(F.col("agent_ipv4_address").alias("exporter"), "seq", F.col("announced").alias("sampling_rate"), "active_timeout", "inactive_timeout", "interface", "interface_name")
+    data = known_sets(framed(datagrams), history(framed(datagrams, bodies=False))).where("template like 'o;%'")
+    return read_sets(data).where("kind = 'option'").select(F.col("agent_ipv4_address").alias("exporter"), "seq", F.col("announced").alias("sampling_rate"), "active_timeout", "inactive_timeout", "interface", "interface_name")
 
 
 def decode_counters(datagrams: DataFrame) -> DataFrame:
     """name, value: what decoding v5, v9 and IPFIX datagrams met, by the names of the system counters."""
     from ..operators.counters import duration_bucket
 
-    sets = framed(datagrams)
+    bare = framed(datagrams, bodies=False)
+    announced = history(bare)
     v = F.col("version")
     own = F.when(v == 10, "ipfix_").when(v == 9, "netflow_v9_").otherwise("netflow_v5_")
-    frames = sets.where("what <> 'data'").select(F.explode(F.when(F.col("what") == "packet", F.array(F.lit("netflow_ipfix_total_packets"), F.concat(own, F.lit("total_packets")))).when(F.col("what") == "unknown", F.array(F.lit("netflow_ipfix_total_packets"), F.lit("netflow_ipfix_unknown_protocol_version"))).when(F.col("what") == "template", F.array(F.concat(own, F.lit("data_templates_number")))).otherwise(F.array(F.concat(own, F.lit("options_templates_number"))))).alias("name"))
-    changes = sets.where("what in ('template', 'options')").withColumn("before", F.lag(F.concat("what", "fields")).over(Window.partitionBy(*_KEYS).orderBy("seq"))).where("before is not null")
+    frames = bare.select(F.explode(F.when(F.col("what") == "packet", F.array(F.lit("netflow_ipfix_total_packets"), F.concat(own, F.lit("total_packets")))).when(F.col("what") == "unknown", F.array(F.lit("netflow_ipfix_total_packets"), F.lit("netflow_ipfix_unknown_protocol_version"))).when(F.col("what") == "template", F.array(F.concat(own, F.lit("data_templates_number")))).otherwise(F.array(F.concat(own, F.lit("options_templates_number"))))).alias("name"))
+    changes = announced.where("before is not null")
     changes = changes.select(F.when(F.col("before") == F.concat("what", "fields"), "template_update_attempts_with_same_template_data").otherwise(F.concat(own, F.lit("template_updates_number_due_to_real_changes"))).alias("name"))
     seconds = ((F.col("flow_end") - F.col("flow_start")) / 1000).cast("long")
     bucket = lambda k: F.regexp_replace(duration_bucket(seconds, k), "^[0-9]+-", "")
     lasting = lambda head, k: F.concat(F.lit(f"{head}duration_"), F.when(bucket(k) == "0", "0_seconds").when(bucket(k) == "180+", "exceed_180_seconds").when(bucket(k) == "negative", "negative").otherwise(F.concat(F.lit("less_"), bucket(k), F.lit("_seconds"))))
-    found = events(sets)
-    notes = found.where("notes <> ''").select(F.explode(F.split("notes", ",")).alias("name"))
-    times = found.where("kind = 'flow'").select(F.when(v == 10, lasting("ipfix_", "ipfix")).otherwise(lasting("netflow_v9_", "v9")).alias("name"))
+    found = read_sets(known_sets(framed(datagrams), announced))
+    notes = F.when(F.col("notes") == "", F.array().cast("array<string>")).otherwise(F.split("notes", ","))
+    lasts = F.when(F.col("kind") == "flow", F.array(F.when(v == 10, lasting("ipfix_", "ipfix")).otherwise(lasting("netflow_v9_", "v9")))).otherwise(F.array().cast("array<string>"))
+    met = found.select(F.explode(F.concat(notes, lasts)).alias("name"))
     five = decode5(datagrams)
     five = five.select(F.explode(F.array(F.lit("netflow_v5_total_flows"), lasting("netflow_v5_", "v5"))).alias("name"))
-    return reduce(DataFrame.unionByName, [frames, changes, notes, times, five]).groupBy("name").agg(F.count(F.lit(1)).alias("value"))
+    return reduce(DataFrame.unionByName, [frames, changes, met, five]).groupBy("name").agg(F.count(F.lit(1)).alias("value"))
 
 
 def sflow5(payload: bytes, at, notes: list | None = None) -> Iterator[dict]:
