@@ -131,3 +131,9 @@ def test_f10_plain_templates_unpack_as_others_do():
     got = list(netflow.records(fields, body, False, notes))
     assert got == [netflow.record(fields, body, 22 * i, False)[0] for i in range(3)] and not notes
     assert netflow._plain(tuple(fields)) is not None and netflow._plain(((27, 16),)) is None
+
+
+def test_f11_capnp_rows_and_blobs_are_bounded():
+    n = 9000
+    content = capnp.struct.pack("<Q", len(m := capnp.encode(FLOW))) + m
+    assert capnp.read_blobs(Caught(), "content").largest({"content": [content * n]}) <= 4096
