@@ -137,3 +137,8 @@ def test_f11_capnp_rows_and_blobs_are_bounded():
     n = 9000
     content = capnp.struct.pack("<Q", len(m := capnp.encode(FLOW))) + m
     assert capnp.read_blobs(Caught(), "content").largest({"content": [content * n]}) <= 4096
+
+
+def test_f12_frames_leave_in_bounded_batches():
+    n = 9000
+    assert frames.frames_to_flows(Caught()).largest({"arrival_time": [0] * n, "frame": [encode.frame(FLOW)] * n}) <= 4096

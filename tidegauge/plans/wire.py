@@ -8,6 +8,7 @@ from ..functions import net
 from ..operators import counters
 from ..sources import bgp, capnp, encode, frames, netflow
 from ..sources import fixtures as fx
+from ..sources.batches import packed, tuples
 from .queries import _IP, query
 
 _SHAPED = f"(SELECT event_id, src_ip, dst_ip, source_port, destination_port, protocol, CASE WHEN protocol = 6 THEN flags ELSE 0 END AS flags, number_of_packets, length, src_asn, dst_asn, input_interface, output_interface, flow_end, forwarding_status, ip_fragmented, ip_dont_fragment, vlan, ttl, sample_ratio, event_id % 5 + 1 AS end_reason FROM ({fx.FLOWS}))"
@@ -58,13 +59,13 @@ def decode_sflow(spark, sf_dir):
 
 @query(f"SELECT src_ip, dst_ip, protocol, vlan, ttl, ip_dont_fragment, ip_fragmented, {_SIZES} AS ip_length, 'success' AS status, CASE WHEN protocol = 1 THEN 0 ELSE source_port END AS source_port, count(*) AS n FROM {_SHAPED} GROUP BY ALL")
 def decode_frames(spark, sf_dir):
-    def build(batches):
-        import pandas as pd
+    kept = ["event_id", "arrival_time", *encode.FRAME]
 
-        for b in batches:
-            yield pd.DataFrame({"arrival_time": b["arrival_time"], "frame": [encode.frame(r) for r in b.to_dict("records")]})
+    def build(batches):
+        rows = (dict(zip(kept, r)) for r in tuples(batches, kept))
+        return packed(({"arrival_time": r["arrival_time"], "frame": encode.frame(r)} for r in rows), "arrival_time timestamp, frame binary")
 
-    got = frames.frames_to_flows(shaped(spark, sf_dir).mapInPandas(build, "arrival_time timestamp, frame binary"))
+    got = frames.frames_to_flows(shaped(spark, sf_dir).select(*kept).mapInArrow(build, "arrival_time timestamp, frame binary"))
     return got.groupBy("src_ip", "dst_ip", "protocol", "vlan", "ttl", "ip_dont_fragment", "ip_fragmented", "ip_length", "status", "source_port").agg(F.count(F.lit(1)).alias("n"))
 
 
